@@ -31,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from callweave.functions.staging import staged
 from callweave.llm.words import as_long
@@ -61,16 +62,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a long)."""
+    """doc_id, text_hash, fp (the fingerprint's bits as a long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 found = np.array([fingerprint(t, shingle) for t in part.column(1).to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(0), as_long(found)], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), as_long(found)], ["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def _forest(members: np.ndarray, bits: int) -> list[tuple[int, int]]:
@@ -119,15 +120,30 @@ def links(distinct: DataFrame, bits: int = BITS, most: int = MOST) -> DataFrame:
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _named(found: DataFrame, bits: int, most: int) -> DataFrame:
+    """fp, component_id, text_hash (of the component's first row) for every fingerprint of found."""
+    distinct = staged(found.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")), "distinct")
+    parts = staged(connected_components(links(distinct.select("fp"), bits, most), "a", "b"), "parts")
+    rooted = distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
+    rooted = staged(rooted, "rooted")
+    ids = staged(rooted.groupBy("root").agg(F.min("first").alias("first")), "ids")
+    return staged(rooted.select("fp", "root").join(ids, "root").select("fp", F.col("first.doc_id").alias("component_id"), F.col("first.text_hash").alias("text_hash"), "root"), "named")
+
+
 def near_duplicates(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, most: int = MOST) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the least doc_id reachable over links)."""
     if bits % 2 or not 0 < bits < 8:
         raise ValueError("bits: 2, 4 or 6")
     found = staged(fingerprints(docs, shingle), "fingerprints")
-    distinct = staged(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    parts = staged(connected_components(links(distinct.select("fp"), bits, most), "a", "b"), "parts")
-    rooted = distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
-    rooted = staged(rooted, "rooted")
-    ids = staged(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "ids")
-    named = staged(rooted.join(ids, "root").select("fp", "component_id"), "named")
+    named = _named(found, bits, most).select("fp", "component_id")
     return found.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, most: int = MOST) -> DataFrame:
+    """The first row of each group of near-duplicates, by doc_id and text hash, with all its columns."""
+    named = _named(staged(fingerprints(docs, shingle), "fingerprints"), bits, most)
+    first = staged(named.select(F.col("component_id").alias("__doc"), F.col("text_hash").alias("__hash")).distinct(), "firsts")
+    held = docs.withColumns({"__d": F.col("doc_id").cast("long"), "__h": F.xxhash64("text")})
+    held = held.join(first, F.col("__d").eqNullSafe(F.col("__doc")) & (F.col("__h") == F.col("__hash")))
+    held = held.withColumn("__n", F.row_number().over(Window.partitionBy("__d", "__h").orderBy(F.lit(0))))
+    return held.where("__n = 1").select(docs.columns)
