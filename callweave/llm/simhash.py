@@ -101,7 +101,8 @@ def links(distinct: DataFrame, bits: int = BITS, most: int = MOST) -> DataFrame:
     listed = F.explode(F.array(*(F.struct(F.lit(k).cast("byte").alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("bytes")) for k, m in enumerate(signed))))
     posted = distinct.select("fp", listed.alias("x")).select("x.k", "x.bytes", "fp")
     lists = staged(posted.groupBy("k", "bytes").agg(F.count("*").alias("n")).where("n > 1"), "lists")
-    short = posted.join(lists.where(F.col("n") <= most), ["k", "bytes"]).groupBy("k", "bytes").agg(F.collect_list("fp").alias("members"))
+    # The lists grow with the input, so they are never broadcast.
+    short = posted.join(lists.where(F.col("n") <= most).hint("merge"), ["k", "bytes"]).groupBy("k", "bytes").agg(F.collect_list("fp").alias("members"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,14 +111,14 @@ def links(distinct: DataFrame, bits: int = BITS, most: int = MOST) -> DataFrame:
 
     near = short.select("members").mapInArrow(run, "a long, b long")
     if not lists.where(F.col("n") > most).isEmpty():
-        hot = staged(posted.join(lists.where(F.col("n") > most), ["k", "bytes"], "left_semi").select("fp").distinct(), "hot")
+        hot = staged(posted.join(lists.where(F.col("n") > most).hint("merge"), ["k", "bytes"], "left_semi").select("fp").distinct(), "hot")
         half = bits // 2
         ball = [sum(1 << i for i in c) for r in range(half + 1) for c in combinations(range(64), r)]
         around = F.from_json(F.lit(str([m - (1 << 64) if m >> 63 else m for m in ball])), "array<long>")
         points = hot.select("fp", F.explode(around).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("point"))
         least = staged(points.groupBy("point").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("point", "a"), "points")
         near = near.union(points.join(least, "point").where("fp <> a").select("a", F.col("fp").alias("b")))
-    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return staged(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
 
 
 def _named(found: DataFrame, bits: int, most: int) -> DataFrame:
