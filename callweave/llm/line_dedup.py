@@ -14,7 +14,8 @@ runs. The first copy of any line is never deleted.
 
 DataFrame functions only. A line repeated in many documents meets in counts and
 minima, and in a join against one row per interval, which adaptive execution
-can split. Null texts have no lines and stay null; lines without a word stay;
+can split. Neither intervals nor deleted lines have a size bound, so neither is
+ever broadcast. Null texts have no lines and stay null; lines without a word stay;
 repeated rows are one document; documents with a null id come first. An empty
 table gives an empty result. Extra columns are kept by `drop_repeats`.
 """
@@ -65,14 +66,14 @@ def later_copies(docs: DataFrame, run: int = RUN) -> DataFrame:
     names = staged(run_names(docs, run), "runs")
     place = F.struct("doc_id", "text_hash", "first")
     intervals = names.groupBy("a", "b").agg(F.min(place).alias("origin"), F.max(place).alias("end")).where("origin <> end").select("a", "b", "origin")
-    return names.join(staged(intervals, "intervals"), ["a", "b"]).where(place != F.col("origin")).select("doc_id", "text_hash", "first", "last")
+    return names.join(staged(intervals, "intervals").hint("merge"), ["a", "b"]).where(place != F.col("origin")).select("doc_id", "text_hash", "first", "last")
 
 
 def drop_repeats(docs: DataFrame, run: int = RUN) -> DataFrame:
     """docs with later copies of repeated runs of at least `run` lines deleted from text, and __lines, __removed."""
     spans = later_copies(docs, run).groupBy(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash")).agg(F.collect_set(F.struct("first", "last")).alias("__spans"))
     held = docs.withColumns({"__d": F.col("doc_id").cast("long"), "__h": F.xxhash64("text")})
-    held = held.join(staged(spans, "line_spans"), F.col("__d").eqNullSafe(F.col("__doc")) & (F.col("__h") == F.col("__hash")), "left")
+    held = held.join(staged(spans, "line_spans").hint("merge"), F.col("__d").eqNullSafe(F.col("__doc")) & (F.col("__h") == F.col("__hash")), "left")
     lines, worded = F.split("text", "\n", -1), F.transform(numbered(F.col("text")), lambda s: s["i"])
     inside = F.array_distinct(F.flatten(F.transform("__spans", lambda s: F.sequence(s["first"], s["last"]))))
     gone = F.when(F.col("__spans").isNotNull(), F.array_intersect(worded, inside)).otherwise(F.array().cast("array<int>"))
