@@ -156,22 +156,22 @@ def subscribers(spark, d):
     return R.subscribers(s, groups)
 
 
-@query("select a.capture_id, a.frame, b.frame bound from (select * from m where label = 'click') a asof left join (select * from m where label = 'view') b on a.user_id = b.user_id and a.ts > b.ts")
+@query("select a.capture_id, a.frame, cast(b.frame as varchar) bound from (select * from m where label = 'click') a asof left join (select * from m where label = 'view') b on a.user_id = b.user_id and a.ts > b.ts")
 def late_body_attach(spark, d):
     rows = messages(spark, d)
     left = rows.where("label = 'click'").select("capture_id", "flow_id", "frame", "ts")
-    right = rows.where("label = 'view'").select("capture_id", "flow_id", "ts", F.col("frame").alias("bound"))
+    right = rows.where("label = 'view'").select("capture_id", "flow_id", "ts", F.col("frame").cast("string").alias("bound"))
     return P.asof_backward(left, right, ["capture_id", "flow_id"], "ts", ["bound"]).select("capture_id", "frame", "bound")
 
 
 QUOTED = ", q as (select capture_id, flow_id, frame, ts, case when k % 2 = 0 then 'forwarded' else 'reported' end looks from m where label = 'click'), s as (select capture_id, flow_id, frame, ts, label = 'purchase' releases from m where label in ('view', 'purchase')), b as (select q.*, p.frame pf, p.ts pt, p.releases pr from q asof left join s p on q.capture_id = p.capture_id and q.flow_id = p.flow_id and q.frame > p.frame), n as (select b.*, x.frame nf, x.ts nt from b asof left join s x on b.capture_id = x.capture_id and b.flow_id = x.flow_id and b.frame < x.frame) "
 
 
-@query(QUOTED + "select capture_id, 'flow' kind, flow_id as value, frame, looks, case when not pr and (looks = 'forwarded' or ts - pt <= 7200) then pf when looks = 'forwarded' and nt - ts <= 3600 then nf end bound_frame from n")
+@query(QUOTED + "select capture_id, 'flow' kind, flow_id as value, frame, looks, cast(case when not pr and (looks = 'forwarded' or ts - pt <= 7200) then pf when looks = 'forwarded' and nt - ts <= 3600 then nf end as varchar) bound_frame from n")
 def quote_binding(spark, d):
     rows = messages(spark, d).select("capture_id", F.lit("flow").alias("kind"), F.col("flow_id").alias("value"), "frame", "ts", "label", F.when(Q.detail("seqno").cast("int") % 2 == 0, "forwarded").otherwise("reported").alias("looks"))
     seen = rows.where("label in ('view', 'purchase')").withColumn("releases", F.col("label") == "purchase")
-    return P.bind_quotes(rows.where("label = 'click'"), seen, 7200.0, 3600.0)
+    return P.bind_quotes(rows.where("label = 'click'"), seen, 7200.0, 3600.0).withColumn("bound_frame", F.col("bound_frame").cast("string"))
 
 
 @query("select coalesce(r.k, a.k) order_key, coalesce(r.n, a.n)::int n, r.t request_at, a.t answer_at from (select o_orderkey k, o_orderdate t, 1 n from orders) r full join (select l_orderkey k, l_shipdate t, row_number() over (partition by l_orderkey order by l_shipdate, l_linenumber) n from lineitem) a on r.k = a.k and r.n = a.n")
@@ -245,3 +245,172 @@ def xdr_totals(spark, d):
 def url_parts(spark, d):
     url = F.col("url")
     return table(spark, d, "pages").select("page_id", S.host_of(url).alias("host"), S.path_of(url).alias("path"), F.try_element_at(S.query_parameters(url), F.lit("page")).alias("page"))
+
+
+from callweave.operators import coverage as V  # noqa: E402
+from callweave.operators import privacy as PR  # noqa: E402
+from callweave.operators import records as D  # noqa: E402
+from callweave.operators import roles as O  # noqa: E402
+
+
+def packets(spark, d):
+    """lineitem as packets: chains from flags, ports from parts, pieces from line numbers."""
+    li = table(spark, d, "lineitem")
+    chain = F.concat_ws(":", F.lit("eth"), F.when(F.col("l_linestatus") == "F", "ip").otherwise("ipv6"), F.element_at(F.array(*map(F.lit, ("tcp", "udp", "sctp"))), (F.col("l_partkey") % 3 + 1).cast("int")), F.when(F.col("l_returnflag") == "R", F.lit("ngap")))
+    return li.select(
+        F.concat(F.lit("cap"), F.col("l_suppkey") % 4).alias("capture_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("number"), F.concat(F.lit("10.1.0."), F.col("l_suppkey") % 50).alias("src"), F.concat(F.lit("10.2.0."), F.col("l_partkey") % 40).alias("dst"),
+        (1000 + F.col("l_partkey") % 25).cast("int").alias("src_port"), (2000 + F.col("l_suppkey") % 9).cast("int").alias("dst_port"), chain.alias("protocols"), F.element_at(F.split(chain, ":"), -1).alias("protocol"), F.col("l_linestatus").alias("info"), F.when(F.col("l_linenumber") == 7, F.col("l_orderkey") * 10 + 1).alias("reassembled_in"),
+        F.when(F.col("l_linenumber") == 5, F.array(F.col("l_orderkey") * 10 + 2, F.col("l_orderkey") * 10 + 3)).otherwise(F.array().cast("array<long>")).alias("fragments"), (F.col("l_suppkey") % 30).alias("stream"),
+    )
+
+
+PACKETS = "with p as (select distinct 'cap' || (l_suppkey % 4) capture_id, l_orderkey * 10 + l_linenumber number, '10.1.0.' || (l_suppkey % 50) src, '10.2.0.' || (l_partkey % 40) dst, (1000 + l_partkey % 25)::int src_port, (2000 + l_suppkey % 9)::int dst_port, 'eth:' || (case when l_linestatus = 'F' then 'ip' else 'ipv6' end) || ':' || (['tcp','udp','sctp'])[l_partkey % 3 + 1] || (case when l_returnflag = 'R' then ':ngap' else '' end) protocols, case when l_linenumber = 7 then l_orderkey * 10 + 1 end reassembled_in, case when l_linenumber = 5 then [l_orderkey * 10 + 2, l_orderkey * 10 + 3] else [] end fragments, l_suppkey % 30 stream, l_returnflag = 'R' decoded, l_linestatus info from lineitem), p2 as (select *, string_split(protocols, ':')[-1] leaf from p) "
+
+
+def _packets(spark, d):
+    return packets(spark, d).distinct()
+
+
+def _decoded(p):
+    return p.where("protocol = 'ngap'").select("capture_id", F.col("number").alias("frame"))
+
+
+@query(PACKETS + ", d as (select distinct capture_id, number from p2 where decoded) select capture_id, leaf, left(protocols, length(protocols) - length(leaf) - 1) as chain, least(src_port, dst_port) as port, count(*) frames, min(number) first_frame from p2 anti join d using (capture_id, number) group by all")
+def coverage_census(spark, d):
+    p = _packets(spark, d)
+    return V.census(p, _decoded(p))
+
+
+@query(PACKETS + ", d as (select distinct capture_id, number, true parsed from p2 where decoded), f as (select distinct capture_id, unnest(fragments) number, true piece from p2), k as (select capture_id, case when parsed then 'p' when piece then 'f' when reassembled_in is not null then 's' else 'm' end kind from p2 left join d using (capture_id, number) left join f using (capture_id, number)) select capture_id, count(*) total, count(*) filter (kind = 'p') parsed, count(*) filter (kind = 'f') fragments, count(*) filter (kind = 's') segments, count(*) filter (kind = 'm') missed, round(1 - count(*) filter (kind = 'm') / count(*), 6) ratio from k group by 1")
+def coverage_totals(spark, d):
+    p = _packets(spark, d)
+    return V.coverage(p, _decoded(p))
+
+
+@query(PACKETS + "select capture_id, count(distinct case when src < dst then src || '|' || dst else dst || '|' || src end) pairs from p2 where leaf = 'ngap' group by 1")
+def address_pairs(spark, d):
+    return V.address_pairs(_packets(spark, d), "ngap")
+
+
+@query(PACKETS + ", d as (select distinct capture_id, number from p2 where decoded), c as (select capture_id, least(src_port, dst_port) as port, count(*) frames from p2 anti join d using (capture_id, number) group by 1, 2 having count(*) >= 10) select capture_id, port, frames from (select *, row_number() over (partition by capture_id order by frames desc, port in (1003, 1007) desc, port) n from c) where n = 1")
+def suggested_port(spark, d):
+    p = _packets(spark, d)
+    return V.suggest_port(V.census(p, _decoded(p)), [1003, 1007])
+
+
+@query(PACKETS + "select capture_id, dst_port server_port, count(*) frames from p2 where leaf <> 'ngap' group by 1, 2 having count(*) >= 2 qualify row_number() over (partition by capture_id order by count(*) desc, dst_port) <= 8")
+def unclaimed_ports(spark, d):
+    return V.unclaimed_ports(_packets(spark, d).where("protocol <> 'ngap'").withColumnRenamed("dst_port", "server_port"))
+
+
+@query(PACKETS + "select capture_id, dst_port server_port, count(distinct stream) streams, case when min(leaf) = max(leaf) then min(leaf) end protocol, min(leaf) <> max(leaf) mixed from p2 group by 1, 2")
+def port_protocols(spark, d):
+    return V.port_protocols(_packets(spark, d).withColumnRenamed("dst_port", "server_port"))
+
+
+@query(PACKETS + ", b as (select capture_id, leaf, count(*) n from p2 where number % 3 > 0 group by 1, 2), a as (select capture_id, leaf, count(*) n from p2 group by 1, 2) select capture_id, sum(coalesce(b.n, 0))::bigint as before, sum(coalesce(a.n, 0))::bigint as after, bool_and(coalesce(a.n, 0) >= coalesce(b.n, 0)) and sum(coalesce(a.n, 0)) > sum(coalesce(b.n, 0)) accepted from b full join a using (capture_id, leaf) group by 1")
+def accepted_rerun(spark, d):
+    p = _packets(spark, d)
+    return V.accept_rerun(p.where("number % 3 > 0"), p)
+
+
+@query(PACKETS + ", h as (select distinct capture_id, stream from p2 where contains(number::varchar, '12345')) select capture_id, count(*) frames from p2 join h using (capture_id, stream) group by 1")
+def narrowed_conversations(spark, d):
+    p = _packets(spark, d).withColumn("transport", F.lit("tcp"))
+    return V.narrow(p, F.col("number").cast("string"), "12345").groupBy("capture_id").agg(F.count("*").alias("frames"))
+
+
+@query(PACKETS + "select capture_id, number from p2 where contains(leaf, 'tcp') or contains(src, 'tcp') or contains(dst, 'tcp') or contains(lower(info), 'tcp')")
+def packet_search(spark, d):
+    return V.search(_packets(spark, d), "TCP").select("capture_id", "number")
+
+
+@query(PACKETS + ", f as (select distinct capture_id, unnest(fragments) frame from p2) select * from f anti join (select distinct capture_id, number frame from p2 where decoded) using (capture_id, frame)")
+def piece_frames(spark, d):
+    p = _packets(spark, d)
+    return V.piece_frames(p, _decoded(p))
+
+
+@query(PACKETS + ", f as (select capture_id, number whole, unnest(fragments) fragment from p2) select f.*, p2.number is not null present from f left join p2 on f.capture_id = p2.capture_id and f.fragment = p2.number")
+def fragment_links(spark, d):
+    return P.fragments_of(_packets(spark, d))
+
+
+@query("select capture_id, frame from m where ts between 1704100000.0 and 1705100000.0")
+def time_window(spark, d):
+    return V.time_window(messages(spark, d), 1704100000.0, 1705100000.0).select("capture_id", "frame")
+
+
+@query("select capture_id, frame from m where flow_id in (select flow_id from m where supi = '001010000000042')")
+def identity_selection(spark, d):
+    return V.select_identity(messages(spark, d), "supi", "001010000000042").select("capture_id", "frame")
+
+
+@query("select capture_id, address, role, 'wire-hint' basis, [role] roles from (select distinct 'net' as capture_id, 's' || s_nationkey address, 'AMF' as role from supplier where s_nationkey not in (select c_nationkey from customer where c_nationkey % 2 = 0) union select distinct 'net', 's' || c_nationkey, 'gNB' from customer where c_nationkey % 2 = 0 and c_nationkey not in (select s_nationkey from supplier)) union all select distinct 'net', 's' || s_nationkey, null, 'wire-hint', ['AMF', 'gNB'] from supplier where s_nationkey in (select c_nationkey from customer where c_nationkey % 2 = 0)")
+def resolved_roles(spark, d):
+    return O.resolve_roles(_votes(spark, d))
+
+
+def _votes(spark, d):
+    vote = lambda df, c, role, basis: df.select(F.lit("net").alias("capture_id"), F.concat(F.lit("s"), c).alias("address"), F.lit(None).cast("int").alias("port"), F.lit(role).alias("role"), F.lit(basis).alias("basis")).distinct()
+    s, c = table(spark, d, "supplier"), table(spark, d, "customer")
+    strong = vote(s, "s_nationkey", "AMF", "wire-hint").unionByName(vote(c.where("c_nationkey % 2 = 0"), "c_nationkey", "gNB", "wire-hint"))
+    return strong.unionByName(vote(c, "c_nationkey", "SMF", "user-agent").join(strong.select("address").distinct(), "address", "left_semi"))
+
+
+@query("select distinct 'net' as capture_id, 's' || s_nationkey address, ['AMF', 'gNB'] roles from supplier where s_nationkey in (select c_nationkey from customer where c_nationkey % 2 = 0)")
+def role_contradictions(spark, d):
+    return O.role_contradictions(O.resolve_roles(_votes(spark, d)))
+
+
+@query(", h as (select capture_id, e2e id, case when src_ip < dst_ip then src_ip || '|' || dst_ip else dst_ip || '|' || src_ip end peers, min(frame) first_frame, min(case when label = 'purchase' then frame end) af, count(*) messages from m where protocol = 'diameter' group by 1, 2, 3) select capture_id, id, count(*) hops, min(first_frame) first_frame, sum(messages)::bigint messages, case when count(af) > 0 then 'success' else 'unanswered' end outcome from h group by 1, 2")
+def diameter_transactions(spark, d):
+    rows = messages(spark, d).withColumn("label", F.when(F.col("label") == "purchase", "Update-Answer").otherwise("Update-Request"))
+    return D.diameter_transactions(rows).drop("relayed", "answer")
+
+
+@query("select capture_id, case when src_ip < dst_ip then src_ip || '|' || dst_ip else dst_ip || '|' || src_ip end as session, list_sort(list(distinct label)) commands, 1::bigint hops, count(*) messages, count(*) filter (is_failure) failures, min(frame) first_frame, round(max(ts) - min(ts), 6) duration from m where protocol = 'diameter' group by 1, 2")
+def diameter_flows(spark, d):
+    return D.diameter_flows(messages(spark, d))
+
+
+@query("select capture_id, supi, tac pdu_id, first_frame, messages, f.dnn, f.frame dnn_frame from (select capture_id, supi, tac, min(frame) first_frame, count(*) messages, min_by({'dnn': dnn, 'frame': frame}, frame) filter (dnn is not null) f from m where supi is not null and tac is not null group by 1, 2, 3) where f is not null")
+def pdu_sessions(spark, d):
+    rows = messages(spark, d).withColumn("detail", F.map_concat("detail", F.when(Q.detail("tac").isNotNull(), F.create_map(F.lit("pdu-session-id"), Q.detail("tac"))).otherwise(F.create_map().cast("map<string,string>"))))
+    return D.pdu_sessions(rows).where("dnn is not null").select("capture_id", "supi", "pdu_id", "first_frame", "messages", F.col("dnn.value").alias("dnn"), F.col("dnn.frame").alias("dnn_frame"))
+
+
+@query()
+def summary_documents(spark, d):
+    rows = messages(spark, d)
+    return D.summary_table(R.capture_facts(rows), R.cause_rollup(explained(spark, d)), blast_radius(spark, d), R.network_elements(rows))
+
+
+KEY = b"test key"
+
+
+@query(r"with f as (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+')) as v from documents) select doc_id as id, count(*) n from f group by 1")
+def found_addresses(spark, d):
+    return PR.originals(table(spark, d, "documents"), "doc_id", "text").where("kind = 'email'").groupBy("id").agg(F.count("*").alias("n"))
+
+
+@query("select doc_id, length(text) as length, 0::bigint as changed_length from documents")
+def scrubbed_lengths(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return PR.scrub(docs, "text", KEY).select("doc_id", F.length("text").cast("long").alias("length"), F.lit(0).cast("long").alias("changed_length"))
+
+
+@query()
+def leak_scan(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return PR.leak_scan(PR.originals(docs, "doc_id", "text"), docs, PR.scrub(docs, "text", KEY), "doc_id", "text")
+
+
+@query()
+def pseudonym_table(spark, d):
+    return PR.pseudonyms(PR.originals(table(spark, d, "documents"), "doc_id", "text"), KEY)
+
+
+@query("select capture_id, frame, event_time - t0 + timestamp '2000-01-01' as event_time from m join (select capture_id, min(event_time) t0 from m group by 1) using (capture_id)")
+def shifted_clocks(spark, d):
+    return PR.shift_clock(messages(spark, d)).select("capture_id", "frame", F.col("event_time").cast("timestamp_ntz"))
