@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from callweave.functions.staging import staged
+from callweave.functions.staging import shuffle_partitions, staged
 from callweave.llm.words import as_long
 from callweave.operators.components import connected_components
 
@@ -99,7 +99,9 @@ def links(distinct: DataFrame, bits: int = BITS, most: int = MOST) -> DataFrame:
     masks = [sum(0xFF << 8 * p for p in c) for c in combinations(range(8), 8 - bits)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     listed = F.explode(F.array(*(F.struct(F.lit(k).cast("byte").alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("bytes")) for k, m in enumerate(signed))))
-    posted = distinct.select("fp", listed.alias("x")).select("x.k", "x.bytes", "fp")
+    # A fingerprint becomes many postings: deal them out first, or few tasks would hold them all.
+    spread = distinct.select("fp").repartition(shuffle_partitions(distinct.sparkSession), "fp")
+    posted = spread.select("fp", listed.alias("x")).select("x.k", "x.bytes", "fp")
     lists = staged(posted.groupBy("k", "bytes").agg(F.count("*").alias("n")).where("n > 1"), "lists")
     # The lists grow with the input, so they are never broadcast.
     short = posted.join(lists.where(F.col("n") <= most).hint("merge"), ["k", "bytes"]).groupBy("k", "bytes").agg(F.collect_list("fp").alias("members"))
