@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 def get(path: str, kind: str = "string", of: str = "layers") -> Column:
     """A field of the layers; the first element where it is a list."""
-    return F.coalesce(F.try_variant_get(of, f"$.{path}", kind), F.try_variant_get(of, f"$.{path}[0]", kind))
+    return F.coalesce(F.try_variant_get(of, f"$.{path}[0]", kind), F.try_variant_get(of, f"$.{path}", kind))
 
 
 def parse_frames(lines: DataFrame) -> DataFrame:
@@ -19,7 +19,7 @@ def parse_frames(lines: DataFrame) -> DataFrame:
     capture's first kept frame.
     """
     held = lines.select("capture_id", F.try_parse_json("value").alias("v")).where("v is not null")
-    number = F.coalesce(F.try_variant_get("v", "$.layers.frame.frame_frame_number", "string"), F.try_variant_get("v", "$.layers.frame.frame_frame_number[0]", "string")).try_cast("long")
+    number = F.coalesce(F.try_variant_get("v", "$.layers.frame.frame_frame_number[0]", "string"), F.try_variant_get("v", "$.layers.frame.frame_frame_number", "string")).try_cast("long")
     stamp = F.try_variant_get("v", "$.timestamp", "string").try_cast("double") / 1000
     rows = held.select("capture_id", number.alias("frame"), stamp.alias("abs_ts"), F.try_variant_get("v", "$.layers", "variant").alias("layers")).where("frame is not null")
     base = rows.groupBy("capture_id").agg(F.min_by("abs_ts", F.when(F.col("abs_ts").isNotNull(), F.col("frame"))).alias("base"))
@@ -34,7 +34,7 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
 def bad_lines(lines: DataFrame) -> DataFrame:
     """Per capture: lines that are no frame, by reason."""
     v = F.try_parse_json("value")
-    reason = F.when(F.trim("value") == "", "blank").when(v.isNull(), "malformed").when(F.try_variant_get(v, "$.index", "variant").isNotNull(), "index").when(F.coalesce(F.try_variant_get(v, "$.layers.frame.frame_frame_number", "string"), F.try_variant_get(v, "$.layers.frame.frame_frame_number[0]", "string")).isNull(), "no frame number")
+    reason = F.when(F.trim("value") == "", "blank").when(v.isNull(), "malformed").when(F.try_variant_get(v, "$.index", "variant").isNotNull(), "index").when(F.coalesce(F.try_variant_get(v, "$.layers.frame.frame_frame_number[0]", "string"), F.try_variant_get(v, "$.layers.frame.frame_frame_number", "string")).isNull(), "no frame number")
     return lines.select("capture_id", reason.alias("reason")).where("reason is not null").groupBy("capture_id", "reason").agg(F.count("*").alias("n"))
 
 
