@@ -414,3 +414,81 @@ def pseudonym_table(spark, d):
 @query("select capture_id, frame, event_time - t0 + timestamp '2000-01-01' as event_time from m join (select capture_id, min(event_time) t0 from m group by 1) using (capture_id)")
 def shifted_clocks(spark, d):
     return PR.shift_clock(messages(spark, d)).select("capture_id", "frame", F.col("event_time").cast("timestamp_ntz"))
+
+
+from callweave import normalise as N  # noqa: E402
+from callweave.sources import readers as RD  # noqa: E402
+
+
+def _frames(spark, d):
+    """events written as dissected lines and read back as frames: PFCP session messages."""
+    rows = messages(spark, d)
+    k = Q.detail("seqno").cast("int")
+    block = F.struct(
+        F.when(F.col("label") == "view", "50").when(F.col("label") == "click", "51").when(F.col("label") == "purchase", "55").otherwise("57").alias("pfcp_pfcp_msg_type"),
+        F.array(F.concat(F.lit("0x"), F.lower(F.hex(F.col("flow_id").cast("int")))), F.lit("0x0")).alias("pfcp_pfcp_seid"),
+        k.cast("string").alias("pfcp_pfcp_seqno"), F.when(F.col("is_failure"), F.lit("64")).otherwise("1").alias("pfcp_pfcp_cause"),
+    )
+    layers = F.struct(F.struct(F.col("frame").cast("string").alias("frame_frame_number")).alias("frame"), F.struct(F.col("src.ip").alias("ip_ip_src"), F.col("dst.ip").alias("ip_ip_dst")).alias("ip"), block.alias("pfcp"))
+    lines = rows.select("capture_id", F.to_json(F.struct((F.col("ts") * 1000).cast("decimal(20,3)").cast("string").alias("timestamp"), layers.alias("layers"))).alias("value"))
+    noise = rows.where("frame % 7 = 0").select("capture_id", F.element_at(F.array(F.lit("{broken"), F.lit(""), F.lit('{"index": {}}')), (F.col("frame") % 3 + 1).cast("int")).alias("value"))
+    return lines.unionByName(noise)
+
+
+@query("select capture_id, case (frame % 3) when 0 then 'malformed' when 1 then 'blank' else 'index' end reason, count(*) n from m where frame % 7 = 0 group by 1, 2")
+def bad_lines(spark, d):
+    return RD.bad_lines(_frames(spark, d))
+
+
+@query("select capture_id, frame, src_ip, dst_ip from m")
+def parsed_frames(spark, d):
+    return RD.with_endpoints(RD.parse_frames(_frames(spark, d))).select("capture_id", "frame", "src_ip", "dst_ip")
+
+
+@query("select capture_id, frame, case label when 'view' then 'Session Establishment Request' when 'click' then 'Session Establishment Response' when 'purchase' then 'Session Deletion Response' else 'Session Report Response' end label, is_failure, case when user_id > 0 then (case when src_ip < dst_ip then src_ip || ',' || dst_ip else dst_ip || ',' || src_ip end) || '/' || user_id end seid, case when label = 'purchase' and user_id > 0 then 1 else 0 end::int releases from m")
+def normalised_pfcp(spark, d):
+    rows = N.normalise(RD.with_endpoints(RD.parse_frames(_frames(spark, d))), ["pfcp"])
+    return rows.select("capture_id", "frame", "label", "is_failure", F.get("keys.value", F.lit(0)).alias("seid"), F.size("releases").alias("releases"))
+
+
+@query("select capture_id, flow_id, frame from m")
+def episodes_and_flows(spark, d):
+    rows = messages(spark, d).where("protocol = 'pfcp'").drop("flow_id")
+    freed = F.when(F.col("label") == "purchase", F.filter("keys", lambda k: k["kind"] == "amf_ue_ngap_id")).otherwise(F.col("releases"))
+    return C.correlate(C.assign_episodes(rows.withColumn("releases", freed))).select("capture_id", "frame", "flow_id")
+
+
+del ORACLE_SQL["episodes_and_flows"]
+
+
+@query()
+def role_votes(spark, d):
+    rows = messages(spark, d).withColumn("label", F.when(F.col("label") == "view", "Session Establishment Request").otherwise(F.col("label")))
+    return O.role_votes(rows)
+
+
+@query(", c as (select distinct capture_id, src_ip a, dst_ip b from m), e as (select capture_id, a x, b y from c union select capture_id, b, a from c), h as (select capture_id, x address from e group by 1, 2 having count(distinct y) >= 2) select capture_id, address, 'P-CSCF' as role, 'ipsec-fanout' basis from h union all select distinct capture_id, y, 'UE', 'ipsec-fanout' from e where (capture_id, x) in (select capture_id, address from h) and (capture_id, y) not in (select capture_id, address from h)")
+def fanout_votes(spark, d):
+    return O.fanout_votes(messages(spark, d).select("capture_id", F.col("src.ip").alias("a"), F.col("dst.ip").alias("b")))
+
+
+@query()
+def causal_chains(spark, d):
+    return Q.causal_chain(messages(spark, d), ["capture_id", "flow_id"])
+
+
+@query(", x as (select capture_id, flow_id, frame, ts, label from m), o as (select capture_id, frame, case when label = 'view' then 'a' else 'b' end kind from x) select capture_id, kind, count(*) total from o group by 1, 2")
+def kind_totals(spark, d):
+    rows = messages(spark, d).select("capture_id", F.when(F.col("label") == "view", "a").otherwise("b").alias("kind"), F.lit("success").alias("outcome"), F.col("frame").alias("start_frame"), F.lit(None).cast("string").alias("cause"))
+    return R.scenario_breakdown(rows).select("capture_id", "kind", "total")
+
+
+@query(FAILED + ", once as (select *, row_number() over (partition by capture_id, flow_id, e2e, label, k order by frame) n from x), o as (select capture_id, cause_name card, count(distinct frame) n from once where n = 1 group by 1, 2), a as (select capture_id, cause_name card, count(distinct frame) frames, min(frame) first_frame, count(distinct case when src_ip < dst_ip then src_ip || dst_ip else dst_ip || src_ip end) peers from x group by 1, 2) select * from o join a using (capture_id, card)")
+def cause_cards(spark, d):
+    rows = explained(spark, d)
+    return R.cause_cards(Q.distinct_observed(rows), rows)
+
+
+@query()
+def message_search_identities(spark, d):
+    return V.lookup(R.identities(messages(spark, d)), "42")
