@@ -31,7 +31,7 @@ def normalise(frames: DataFrame, names: list[str] | None = None) -> DataFrame:
     return core.sequenced(out)
 
 
-from callweave.normalise import access, core_network, ims  # noqa: E402
+from callweave.normalise import access, core_network, ims, nas, sbi  # noqa: E402
 
-for _n, _o, _j in (("ngap", 10, access.ngap), ("s1ap", 11, access.s1ap), ("gtpv2", 13, core_network.gtpv2), ("sip", 25, ims.sip), ("megaco", 30, ims.megaco), ("diameter", 35, core_network.diameter), ("sgsap", 36, access.sgsap), ("enum", 37, ims.enum), ("pfcp", 40, core_network.pfcp), ("gtp", 50, core_network.gtp)):
+for _n, _o, _j in (("ngap", 10, access.ngap), ("s1ap", 11, access.s1ap), ("gtpv2", 13, core_network.gtpv2), ("sbi", 15, sbi.sbi), ("nas-5gs", 20, nas.nas5gs), ("nas-eps", 21, nas.naseps), ("sip", 25, ims.sip), ("megaco", 30, ims.megaco), ("diameter", 35, core_network.diameter), ("sgsap", 36, access.sgsap), ("enum", 37, ims.enum), ("pfcp", 40, core_network.pfcp), ("gtp", 50, core_network.gtp)):
     register(_n, _o, _j)

@@ -54,22 +54,32 @@ def _tmsi(high: Column, middle: Column | None, low: Column) -> Column:
     return F.when(whole, F.concat_ws("-", *parts))
 
 
-def ngap(frames: DataFrame) -> DataFrame:
+def ngap_rows(frames: DataFrame) -> DataFrame:
+    """NGAP blocks with their code, outcome and keys; carriers of NAS."""
     rows = blocks(frames, "ngap").withColumns({"code": number("ngap_ngap_procedureCode"), "outcome": _outcome("ngap")}).where("code is not null")
     tmsi = _tmsi(number("ngap_ngap_aMFSetID"), number("ngap_ngap_aMFPointer"), number("ngap_ngap_fiveG_TMSI"))
     keys = F.concat(F.array(scoped("ran_ue_ngap_id", number("ngap_ngap_RAN_UE_NGAP_ID")), scoped("amf_ue_ngap_id", number("ngap_ngap_AMF_UE_NGAP_ID")), scoped("fiveg_s_tmsi", tmsi)), tunnels("gtp_teid", texts("ngap_ngap_gTP_TEID"), texts("ngap_ngap_TransportLayerAddressIPv4")))
-    rows = rows.withColumn("__keys", F.array_compact(keys))
+    return rows.withColumn("__keys", F.array_compact(keys))
+
+
+def ngap(frames: DataFrame) -> DataFrame:
+    rows = ngap_rows(frames)
     code, outcome = F.col("code"), F.col("outcome")
     initiator = F.when((code == 42) & (outcome == ""), "ran").when((code == 41) & (outcome == ""), "core")
     detail = details(rrc_establishment_cause=text("ngap_ngap_RRCEstablishmentCause"), handover_type=text("ngap_ngap_HandoverType"), tac=text("ngap_ngap_tAC"), cell_id=text("ngap_ngap_NRCellIdentity"), release_initiator=initiator, pdu_session_id=text("ngap_ngap_pDUSessionID"), gtp_teid=text("ngap_ngap_gTP_TEID"), gtp_address=text("ngap_ngap_TransportLayerAddressIPv4"), sst=text("ngap_ngap_sST"), qfi=text("ngap_ngap_qosFlowIdentifier"))
     return messages(rows, "ngap", F.concat(named(code, NGAP, "ProcedureCode-"), outcome), F.col("__keys"), outcome == "Failure", detail, _releases("__keys", ("ran_ue_ngap_id", "amf_ue_ngap_id"), (code == 41) & (outcome == "Response")), _cause("ngap"))
 
 
-def s1ap(frames: DataFrame) -> DataFrame:
+def s1ap_rows(frames: DataFrame) -> DataFrame:
+    """S1AP blocks with their code, outcome and keys; carriers of NAS."""
     rows = blocks(frames, "s1ap").withColumns({"code": number("s1ap_s1ap_procedureCode"), "outcome": _outcome("s1ap")}).where("code is not null")
     s_tmsi = key("s_tmsi", _tmsi(number("s1ap_s1ap_mMEC"), None, number("s1ap_s1ap_m_TMSI")))
     keys = F.concat(F.array(scoped("enb_ue_s1ap_id", number("s1ap_s1ap_ENB_UE_S1AP_ID")), scoped("mme_ue_s1ap_id", number("s1ap_s1ap_MME_UE_S1AP_ID")), s_tmsi), tunnels("gtp_teid", texts("s1ap_s1ap_gTP_TEID"), texts("s1ap_s1ap_transportLayerAddressIPv4")))
-    rows = rows.withColumn("__keys", F.array_compact(keys))
+    return rows.withColumn("__keys", F.array_compact(keys))
+
+
+def s1ap(frames: DataFrame) -> DataFrame:
+    rows = s1ap_rows(frames)
     code, outcome = F.col("code"), F.col("outcome")
     label = F.coalesce(*(F.when((code == c) & (outcome == o), n) for (c, o), n in S1AP_NAMES.items()), F.concat(named(code, S1AP, "ProcedureCode-"), outcome))
     initiator = F.when((code == 18) & (outcome == ""), "ran").when((code == 23) & (outcome == ""), "core")

@@ -67,7 +67,7 @@ def cause(table: str | Column, value: Column) -> Column:
     return F.when(value.isNotNull(), F.struct((F.lit(table) if isinstance(table, str) else table).alias("table"), value.cast("int").alias("value")))
 
 
-def messages(rows: DataFrame, protocol: str, label: Column, keys: Column, failed: Column, detail: Column, releases: Column | None = None, cause_: Column | None = None, src_role: Column | None = None, dst_role: Column | None = None, src_host: Column | None = None, dst_host: Column | None = None) -> DataFrame:
+def messages(rows: DataFrame, protocol: str, label: Column, keys: Column, failed: Column, detail: Column, releases: Column | None = None, cause_: Column | None = None, src_role: Column | None = None, dst_role: Column | None = None, src_host: Column | None = None, dst_host: Column | None = None, quotes: Column | None = None) -> DataFrame:
     """Block rows -> message rows."""
     null = F.lit(None).cast("string")
 
@@ -80,7 +80,7 @@ def messages(rows: DataFrame, protocol: str, label: Column, keys: Column, failed
     return rows.select(
         "capture_id", "frame", F.coalesce("ts", F.lit(0.0)).alias("ts"), F.timestamp_micros(F.round(F.col("abs_ts") * 1_000_000).cast("long")).alias("event_time"), F.lit(protocol).alias("protocol"), label.alias("label"),
         end("src_ip", "src_port", src_host, src_role).alias("src"), end("dst_ip", "dst_port", dst_host, dst_role).alias("dst"), F.coalesce(kept, none).alias("keys"), F.coalesce(releases, none).alias("releases") if releases is not None else none.alias("releases"),
-        F.array().cast("array<struct<kind:string,value:string,looks:string>>").alias("quotes"), given.alias("cause"), F.coalesce(failed, F.lit(False)).alias("is_failure"), detail.alias("detail"), "block",
+        (F.array() if quotes is None else quotes).cast("array<struct<kind:string,value:string,looks:string>>").alias("quotes"), given.alias("cause"), F.coalesce(failed, F.lit(False)).alias("is_failure"), detail.alias("detail"), "block",
     ).where("label is not null")
 
 

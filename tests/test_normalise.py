@@ -34,3 +34,26 @@ def test_frames_to_messages(spark):
     flows = correlate.correlate(rows)
     by_frame = {(r.frame, r.seq): r.flow_id for r in flows.collect()}
     assert by_frame[1, 0] == by_frame[2, 0] == by_frame[2, 1] and by_frame[4, 0] == by_frame[6, 0] and by_frame[5, 0] == by_frame[6, 1] and len(set(by_frame.values())) == 4
+
+
+def test_carried_nas_sbi_and_blind_spots(spark):
+    frame = lambda n, **layers: json.dumps({"timestamp": str(n * 1000), "layers": {"frame": {"frame_frame_number": str(n)}, "ip": {"ip_ip_src": "10.0.0.1", "ip_ip_dst": "10.0.0.2"}, **layers}})
+    five = {"nas-5gs_nas-5gs_mm_message_type": "0x41", "e212_e212_mcc": "001", "e212_e212_mnc": "01", "nas-5gs_nas-5gs_mm_suci_msin": "0000000001"}
+    lines = [
+        frame(1, ngap={"ngap_ngap_procedureCode": "15", "ngap_ngap_RAN_UE_NGAP_ID": "7", "nas-5gs": five}),
+        frame(2, ngap={"ngap_ngap_procedureCode": "4", "ngap_ngap_RAN_UE_NGAP_ID": "7", "nas-5gs": [{"nas-5gs_nas-5gs_security_header_type": "2"}, {"nas-5gs_nas-5gs_mm_message_type": "0x44", "nas-5gs_nas-5gs_mm_5gmm_cause": "22"}]}),
+        frame(3, **{"s1ap": {"s1ap_s1ap_procedureCode": "12", "s1ap_s1ap_ENB_UE_S1AP_ID": "3", "nas-eps": {"nas-eps_nas-eps_security_header_type": "12", "nas-eps_nas-eps_emm_mme_code": "1", "nas-eps_nas-eps_emm_m_tmsi": "0xff"}}}),
+        frame(4, http2=[{"http2_http2_type": "1", "http2_http2_streamid": "5", "http2_http2_headers_method": "POST", "http2_http2_headers_path": "/nsmf-pdusession/v1/sm-contexts/9/modify?x=001010000000001", "http2_http2_headers_authority": "10.1.1.1:80", "http2_http2_header_name": ["3gpp-Sbi-Target-apiRoot"], "http2_http2_header_value": ["http://smf.example:80"], "json_json_member_with_value": ["/n2SmInfoType:PDU_RES_SETUP_RSP", "/supi:imsi-001010000000009"], "ngap_ngap_gTP_TEID": "0x7", "ngap_ngap_TransportLayerAddressIPv4": "10.9.9.9"}, {"http2_http2_type": "1", "http2_http2_streamid": "7"}, {"http2_http2_type": "1", "http2_http2_streamid": "9", "http2_http2_headers_status": "404"}]),
+    ]
+    frames = readers.with_endpoints(readers.parse_frames(spark.createDataFrame([("cap", x) for x in lines], "capture_id string, value string")))
+    got = {(r.frame, r.protocol, r.label): r for r in normalise.normalise(frames).collect()}
+    keys = lambda *at: {(k.kind, k.value) for k in got[at].keys}
+    assert keys(1, "nas-5gs", "Registration request") == {("ran_ue_ngap_id", "10.0.0.1,10.0.0.2/7"), ("supi", "001010000000001")}
+    reject = got[2, "nas-5gs", "Registration reject"]
+    assert reject.is_failure and reject.cause.value == 22 and reject.detail["identity-from"] == "ngap"
+    assert ("s_tmsi", "1-000000ff") in keys(3, "nas-eps", "Service request")
+    post = got[4, "sbi", "POST /nsmf-pdusession/v1/sm-contexts/9/modify?x=001010000000001"]
+    assert {(k.kind, k.value) for k in post.keys} == {("sbi_stream", "10.0.0.1,10.0.0.2/5"), ("supi", "001010000000009"), ("sm_context_ref", "10.1.1.1:80/9")}
+    assert {(q.kind, q.value, q.looks) for q in post.quotes} == {("gtp_teid", "10.9.9.9/7", "reported"), ("supi", "001010000000001", "embedded")}
+    assert post.detail["service"] == "nsmf-pdusession" and post.detail["relay-target"] == "smf.example" and got[4, "sbi", "404"].is_failure
+    assert {(r.kind, r.key, r.n) for r in normalise.nas.blind_spots(frames).collect()} == {("ciphered-nas", None, 1), ("undecoded-stream", "10.0.0.1,10.0.0.2/7", 1)}
