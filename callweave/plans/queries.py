@@ -492,3 +492,83 @@ def cause_cards(spark, d):
 @query()
 def message_search_identities(spark, d):
     return V.lookup(R.identities(messages(spark, d)), "42")
+
+
+ROLES = ", r as (select capture_id, src_ip address, case when user_id % 2 = 0 then 'gNB' else 'AMF' end as role from m group by all union all select capture_id, dst_ip, 'AMF' from m group by all) "
+
+
+def _roles(rows):
+    user = F.col("flow_id").cast("int")
+    a = rows.select("capture_id", F.col("src.ip").alias("address"), F.when(user % 2 == 0, "gNB").otherwise("AMF").alias("role"))
+    return a.unionByName(rows.select("capture_id", F.col("dst.ip").alias("address"), F.lit("AMF").alias("role"))).distinct()
+
+
+@query(ROLES + "select m.capture_id, frame, s.role src_role, t.role dst_role from m join r s on s.capture_id = m.capture_id and s.address = src_ip join r t on t.capture_id = m.capture_id and t.address = dst_ip")
+def applied_roles(spark, d):
+    rows = messages(spark, d)
+    return P.apply_roles(rows, _roles(rows)).select("capture_id", "frame", F.col("src.role").alias("src_role"), F.col("dst.role").alias("dst_role"))
+
+
+@query("select capture_id, case when user_id % 2 = 0 and protocol = 'ngap' then 'N2' when user_id % 2 = 0 and protocol = 'nas-5gs' then 'N1' else 'none' end interface, count(*) messages from m group by 1, 2")
+def reference_points(spark, d):
+    rows = messages(spark, d)
+    points = spark.createDataFrame([("ngap", "AMF", "gNB", "N2"), ("nas-5gs", "gNB", "AMF", "N1")], "protocol string, role_a string, role_b string, interface string")
+    return P.reference_points(P.apply_roles(rows, _roles(rows)), points).groupBy("capture_id", F.coalesce("interface", F.lit("none")).alias("interface")).agg(F.count("*").alias("messages"))
+
+
+@query("select s_suppkey supplier, coalesce(case when s_suppkey % 10 = 0 then s_name end, case when o.lo = o.hi then o.lo end, '-') host from supplier left join (select s_nationkey n, min(case when s_acctbal > 3000 then s_name end) lo, max(case when s_acctbal > 3000 then s_name end) hi from supplier group by 1) o on s_nationkey = o.n")
+def filled_hosts(spark, d):
+    s = table(spark, d, "supplier")
+    ends = s.select(F.col("s_suppkey").alias("supplier"), F.col("s_nationkey").alias("transaction"), F.lit(None).cast("string").alias("host"), F.when(F.col("s_suppkey") % 10 == 0, F.col("s_name")).alias("hint"), F.when(F.col("s_acctbal") > 3000, F.col("s_name")).alias("origin"))
+    return P.fill_hosts(ends, ["transaction"]).select("supplier", F.coalesce("host", F.lit("-")).alias("host"))
+
+
+@query(PACKETS + "select capture_id, stream % 7 esp_spi, count(*) packets, stream % 7 < 4 declared from p2 group by all")
+def declared_associations(spark, d):
+    p = _packets(spark, d).withColumn("esp_spi", F.col("stream") % 7)
+    held = p.where("esp_spi < 4").select("capture_id", F.col("esp_spi").alias("spi"), F.lit(True).alias("readable")).distinct()
+    return P.declared_spis(p, held).select("capture_id", "esp_spi", "packets", "declared")
+
+
+@query(PACKETS + "select capture_id, stream, src_port, count(*) frames from p2 group by all having count(*) >= 4 and count(distinct case when stream < 15 then 1 else number % 2 end) = 1")
+def synthetic_sequences(spark, d):
+    p = _packets(spark, d).withColumns({"payload": F.lit(1), "seq_raw": F.when(F.col("stream") < 15, 1).otherwise(F.col("number") % 2)})
+    return V.synthetic_sequences(p)
+
+
+@query(PACKETS + ", u as (select capture_id, port, count(distinct stream) n from (select capture_id, stream, src_port as port from p2 union all select capture_id, stream, dst_port from p2) group by 1, 2), e as (select capture_id, stream, min(src_port) a, max(src_port) b, min_by(dst_port, number) pay from p2 group by 1, 2) select e.capture_id, stream, case when ua.n > ub.n then a when ub.n > ua.n then b else pay end server_port from e join u ua on ua.capture_id = e.capture_id and ua.port = a join u ub on ub.capture_id = e.capture_id and ub.port = b")
+def server_ports(spark, d):
+    p = _packets(spark, d).withColumns({"payload": F.lit(1), "syn": F.lit(False), "ack": F.lit(False)})
+    return V.server_ports(p)
+
+
+@query("with r as (select 'net' as capture_id, 's' || s_suppkey address, case when s_nationkey % 3 = 0 then null when s_nationkey % 3 = 1 then 'UE' else 'R' || s_nationkey end as role from supplier), b as (select *, coalesce(role, address) base from r where role is null or role <> 'UE') select capture_id, address, case when count(*) over (partition by base) > 1 then base || ' (' || address || ')' else base end lane from b")
+def lanes(spark, d):
+    s = table(spark, d, "supplier")
+    n = F.col("s_nationkey") % 3
+    resolved = s.select(F.lit("net").alias("capture_id"), F.concat(F.lit("s"), "s_suppkey").alias("address"), F.when(n == 1, "UE").when(n == 2, F.concat(F.lit("R"), "s_nationkey")).alias("role"))
+    return O.lanes(resolved)
+
+
+@query("with o as (select 'cap' as capture_id, o_custkey spi, o_orderstatus receiver, o_orderkey frame, case when o_orderkey % 3 = 0 then 'null' else 'aes' end cipher from orders) select capture_id, spi, receiver, min(frame) frame, min_by(cipher, frame) cipher, min_by(cipher, frame) = 'null' readable from o group by 1, 2, 3")
+def security_associations(spark, d):
+    o = table(spark, d, "orders").select(F.lit("cap").alias("capture_id"), F.col("o_custkey").alias("spi"), F.col("o_orderstatus").alias("receiver"), F.col("o_orderkey").alias("frame"), F.when(F.col("o_orderkey") % 3 == 0, "null").otherwise("aes").alias("cipher"))
+    return D.security_associations(o)
+
+
+@query("select m.capture_id, m.flow_id, user_id % 5 connection, arg_min(label, frame) intent, case min(case when is_failure then 0 when label = 'view' then 1 else 2 end) when 0 then 'failure' when 1 then 'incomplete' else 'success' end outcome, round(max(ts) - min(ts), 6) duration from m group by 1, 2, 3")
+def connection_summaries(spark, d):
+    rows = messages(spark, d).select("capture_id", "flow_id", (F.col("flow_id").cast("long") % 5).alias("connection"), F.col("frame").alias("start_frame"), F.col("label").alias("kind"), F.when(F.col("is_failure"), "failure").when(F.col("label") == "view", "incomplete").otherwise("success").alias("outcome"), F.lit(None).cast("string").alias("cause"), F.col("ts").alias("start"), F.col("ts").alias("end"))
+    return Q.connection_summary(rows).drop("cause")
+
+
+@query("select a.o_orderkey order_a, b.c_custkey customer from orders a join customer b on a.o_custkey = b.c_custkey union select a.o_orderkey, b.c_custkey from orders a join customer b on a.o_orderkey = b.c_custkey")
+def calls_of_subscribers(spark, d):
+    a = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("flow"), F.col("o_orderkey").alias("number"))
+    b = table(spark, d, "customer").select("c_custkey", F.col("c_custkey").alias("flow"), F.col("c_custkey").alias("number"))
+    return P.by_either(a, b, ["flow", "number"], [F.col("o_orderkey").alias("order_a"), F.col("c_custkey").alias("customer")])
+
+
+@query("with legs as (select 'cap' as capture_id, l_suppkey c, l_orderkey || '-' || l_linenumber leg from lineitem), n as (select capture_id, c, count(*) n from legs group by 1, 2) select capture_id, count(*) calls, sum(n)::bigint legs, count(*) filter (n > 1) merged from n group by 1")
+def call_totals(spark, d):
+    return C.call_totals(table(spark, d, "lineitem").select(F.lit("cap").alias("capture_id"), F.col("l_suppkey").alias("call")))

@@ -76,10 +76,9 @@ def write_with_late_rows(messages: DataFrame, path: str, late_path: str, checkpo
     """Starts a query that appends rows in time to path and rows behind the bound of their batch to late_path, where they count."""
 
     def split(batch: DataFrame, _: int) -> None:
-        newest = batch.agg(F.max("event_time").alias("newest"))
-        held = batch.crossJoin(F.broadcast(newest)).withColumn("late", F.col("event_time") < F.col("newest") - F.expr(f"interval {behind}")).drop("newest").persist()
-        held.where("not coalesce(late, false)").drop("late").write.mode("append").parquet(path)
-        held.where("late").drop("late").write.mode("append").parquet(late_path)
-        held.unpersist()
+        newest = F.lit(batch.agg(F.max("event_time")).first()[0]).cast("timestamp")
+        late = F.coalesce(F.col("event_time") < newest - F.expr(f"interval {behind}"), F.lit(False))
+        batch.where(~late).write.mode("append").parquet(path)
+        batch.where(late).write.mode("append").parquet(late_path)
 
     return messages.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint)
