@@ -38,7 +38,7 @@ from callweave.functions.staging import staged
 from callweave.llm.words import Windows, as_long, mix, names_of, words_of
 
 WINDOW = 35
-#: Words worked on at once in one task; positions need 24 bits.
+#: Words worked on at once in one task; a longer document is a block of its own, of up to 2**32 words.
 BLOCK = 1 << 20
 _U = np.uint64
 _FIRST, _SECOND = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -97,9 +97,9 @@ def blocks_of(names: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarr
     rounds, reach, _ = rounds_for(window)
     at, seam = beginnings(names, rounds)
     order = np.full(len(names), np.iinfo(_U).max, _U)
-    order[at] = (seam & ~_U((1 << 24) - 1)) | at.astype(_U)
+    order[at] = (seam & ~_U((1 << 32) - 1)) | at.astype(_U)
     best = _least(order[reach:], window - 2 * reach + (reach > 0))[:n]
-    anchor = (best & _U((1 << 24) - 1)).astype(np.int64)
+    anchor = (best & _U((1 << 32) - 1)).astype(np.int64)
     start = np.flatnonzero(doc[:n] == doc[window - 1 :])
     if not len(start):
         return (np.zeros(0, np.int64),) * 3
