@@ -572,3 +572,33 @@ def calls_of_subscribers(spark, d):
 @query("with legs as (select 'cap' as capture_id, l_suppkey c, l_orderkey || '-' || l_linenumber leg from lineitem), n as (select capture_id, c, count(*) n from legs group by 1, 2) select capture_id, count(*) calls, sum(n)::bigint legs, count(*) filter (n > 1) merged from n group by 1")
 def call_totals(spark, d):
     return C.call_totals(table(spark, d, "lineitem").select(F.lit("cap").alias("capture_id"), F.col("l_suppkey").alias("call")))
+
+
+from callweave.operators import links as L  # noqa: E402
+
+
+@query(", o as (select capture_id, frame, 'group' || (user_id % 10) subscriber, is_failure from m where k % 2 = 0) select m.capture_id, m.frame as number, o.subscriber, case when o.is_failure then 'ERROR' when o.is_failure is not null then 'SUCCESS' end status from m left join o on m.capture_id = o.capture_id and m.frame = o.frame")
+def packet_status(spark, d):
+    rows = messages(spark, d)
+    owners = rows.select("capture_id", "flow_id", F.concat(F.lit("group"), F.col("flow_id").cast("int") % 10).alias("subscriber")).distinct()
+    return L.packet_status(rows.select("capture_id", F.col("frame").alias("number")), rows.where(Q.detail("seqno").cast("int") % 2 == 0), owners)
+
+
+@query(", p as (select distinct capture_id, flow_id, supi from m where supi is not null), t as (select distinct capture_id, flow_id, seid as value from m where seid is not null) select capture_id, value, case when min(supi) = max(supi) then min(supi) end supi from t join p using (capture_id, flow_id) group by 1, 2")
+def target_subscribers(spark, d):
+    rows = messages(spark, d)
+    targets = rows.select(F.explode("keys").alias("k")).where("k.kind = 'pfcp_seid'").select(F.col("k.value").alias("value")).distinct()
+    return L.subscriber_of(targets, rows)
+
+
+@query("select capture_id, kind, case when kind = 'error' then 0 else count(*) filter (label = kind) end::bigint n from m, (values ('view'), ('error'), ('click')) v(kind) group by 1, 2")
+def not_visible(spark, d):
+    rows = messages(spark, d)
+    spots = rows.where("label <> 'error'").select("capture_id", F.col("label").alias("kind"), F.lit(1).cast("long").alias("n"))
+    return L.not_visible(rows, spots, ["view", "error", "click"])
+
+
+@query()
+def message_owners(spark, d):
+    rows = messages(spark, d)
+    return L.with_owner(rows, X.segment_procedures(rows, 3600.0, EVENT_OPENERS)).select("capture_id", "frame", "segment", "procedure")

@@ -231,3 +231,24 @@ def test_stream_windows_equal_batch(spark, table, tmp_path):
     q.stop()
     want = table(rows).groupBy(F.window("event_time", "1 minute").alias("w")).agg(F.count("*").alias("messages"), F.count_if("is_failure").alias("failures"))
     assert sorted(map(tuple, spark.table("rates").select("start", "messages", "failures").collect())) == sorted(map(tuple, want.select("w.start", "messages", "failures").collect()))
+
+
+def test_links(spark, table):
+    from callweave.operators import links as L
+
+    rows = [message(1, 0, "AA Request", "diameter", detail={"session-id": "s1", "icid": "i"}), message(2, 1, "AA Answer", "diameter", detail={"session-id": "s1"}), message(3, 2, "AA Request", "diameter", detail={"session-id": "s2"})]
+    calls = spark.createDataFrame([("cap", "call", "i", "f", "+123456789")], "capture_id string, call string, icid string, flow_id string, number string")
+    assert sorted((r.frame, r.call) for r in L.charged_messages(table(rows), calls).collect()) == [(1, "call"), (2, "call")]
+    people = spark.createDataFrame([("cap", "g", "+123456789", "s1"), ("cap", "f", None, "s2"), ("cap", "h", "+1", "s3")], "capture_id string, flow_id string, number string, subscriber string")
+    assert sorted(r.subscriber for r in L.numbers_in_calls(calls, people).collect()) == ["s1", "s2"]
+    members = spark.createDataFrame([("cap", 1, 0, "f", 1), ("cap", 2, 0, "f", 1)], "capture_id string, frame long, seq int, flow_id string, segment long")
+    connections = spark.createDataFrame([("cap", 1, 0, 4), ("cap", 2, 0, 3)], "capture_id string, frame long, seq int, connection long")
+    assert L.first_connection(members, connections).first().connection == 4
+    verdicts = spark.createDataFrame([("joined",), ("joined",), ("refused",)], "verdict string")
+    assert {tuple(r) for r in L.inferred_joins(verdicts).collect()} == {("joined", 2), ("refused", 1)}
+
+
+def test_causal_chain(table):
+    rows = [message(1, 0, "a", src="10.0.0.1", role="ran"), message(2, 1, "b", src="10.0.0.2"), message(3, 2, "c", src="10.0.0.3", failed=True), message(4, 3, "d", src="10.0.0.4", failed=True)]
+    chain = Q.causal_chain(table(rows), ["capture_id", "flow_id"]).first().chain
+    assert [(c.step, c.ip) for c in chain] == [("origin", "10.0.0.1"), ("sender", "10.0.0.2"), ("first failure", "10.0.0.3"), ("last failure", "10.0.0.4")]
