@@ -2,7 +2,8 @@
 
 Calls and results are found in message texts that hold a JSON object with
 `tool_calls` (each id, name, arguments, optional `after`: a call it needs) or
-with `tool_call_id` and `content`. Turns without either are linked as exchanges:
+with `tool_call_id` and `content`. Turns in which neither is found, other JSON
+and broken JSON among them, are linked as exchanges:
 each user turn is a call of the tool `reply`, answered by the assistant turn that
 follows it and needing the exchange before it. Calls and results are hash-joined
 by conversation and identifier.
@@ -73,36 +74,41 @@ def parse(text: str | None) -> tuple[list[dict], list[dict]]:
 
 
 def events(turns: DataFrame) -> DataFrame:
-    """conv_id, turn, kind (call or result), id, name, arguments, after, content, from both readings."""
-    turns = turns.select("conv_id", "turn", "role", "text")
+    """conv_id, turn, kind (call or result), id, name, arguments, after, content, text (of an exchange's call), from both readings."""
+    turns = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
-            for conv, turn, text in zip(part["conv_id"], part["turn"], part["text"], strict=True):
+            for conv, turn, role, text in zip(part["conv_id"], part["turn"], part["role"], part["text"], strict=True):
                 calls, results = parse(text)
+                if not calls and not results:
+                    rows.append((conv, turn, None, None, None, None, None, None, role, text))
                 for c in calls:
                     made = c.get("arguments", {})
                     try:
                         made = json.loads(made) if isinstance(made, str) else made
                     except ValueError:
                         pass
-                    rows.append((conv, turn, "call", str(c["id"]), str(c.get("name")), canonical(made), None if c.get("after") is None else str(c["after"]), None))
-                rows += [(conv, turn, "result", str(r["tool_call_id"]), None, None, None, canonical(r.get("content"))) for r in results]
-            yield pd.DataFrame(rows, columns=["conv_id", "turn", "kind", "id", "name", "arguments", "after", "content"])
-
-    schema = "conv_id long, turn long, kind string, id string, name string, arguments string, after string, content string"
-    stated = turns.where(F.ltrim("text").startswith("{")).selectExpr("cast(conv_id as long) conv_id", "cast(turn as long) turn", "text").mapInPandas(run, schema)
+                    rows.append((conv, turn, "call", str(c["id"]), str(c.get("name")), canonical(made), None if c.get("after") is None else str(c["after"]), None, None, None))
+                rows += [(conv, turn, "result", str(r["tool_call_id"]), None, None, None, canonical(r.get("content")), None, None) for r in results]
+            yield pd.DataFrame(rows, columns=["conv_id", "turn", "kind", "id", "name", "arguments", "after", "content", "role", "text"])
+
+    schema = "conv_id long, turn long, kind string, id string, name string, arguments string, after string, content string, role string, text string"
+    # Only objects are parsed: white space, as JSON knows it, and a brace. Those that state nothing are plain turns.
+    braced = F.coalesce(F.col("text").rlike(r"\A[ \t\n\r]*\{"), F.lit(False))
+    parsed = staged(turns.where(braced).mapInPandas(run, schema), "parsed")
+    stated = parsed.where("kind is not null").drop("role", "text").withColumn("text", F.lit(None).cast("string"))
     # Turns are matched to the next by a join on the turn number, not by a window over the conversation.
-    plain = turns.where(~F.coalesce(F.ltrim("text").startswith("{"), F.lit(False))).select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    user = plain.where("role = 'user'").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
+    plain = turns.where(~braced).unionByName(parsed.where("kind is null").select("conv_id", "turn", "role", "text"))
+    user = plain.where("role = 'user'")
     name = lambda t: F.concat(F.lit("turn-"), t)
-    calls = user.alias("u").join(user.select("conv_id", (F.col("turn") + 2).alias("turn"), F.lit(True).alias("has")).alias("p"), F.expr("u.conv_id <=> p.conv_id and u.turn = p.turn"), "left")
+    calls = user.alias("u").join(user.select("conv_id", (F.col("turn") + 2).alias("turn"), F.lit(True).alias("has")).distinct().alias("p"), F.expr("u.conv_id <=> p.conv_id and u.turn = p.turn"), "left")
     text = F.coalesce("u.text", F.lit(""))
     words = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
     made = F.to_json(F.struct(text.alias("prompt"), words.alias("words")))
-    calls = calls.select("u.conv_id", "u.turn", F.lit("call").alias("kind"), name(F.col("u.turn")).alias("id"), F.lit("reply").alias("name"), made.alias("arguments"), F.when(F.col("has"), name(F.col("u.turn") - 2)).alias("after"), F.lit(None).cast("string").alias("content"))
-    answers = plain.where("role = 'assistant'").select("conv_id", "turn", F.lit("result").alias("kind"), name(F.col("turn") - 1).alias("id"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("arguments"), F.lit(None).cast("string").alias("after"), F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("text"))).alias("content"))
+    calls = calls.select("u.conv_id", "u.turn", F.lit("call").alias("kind"), name(F.col("u.turn")).alias("id"), F.lit("reply").alias("name"), made.alias("arguments"), F.when(F.col("has"), name(F.col("u.turn") - 2)).alias("after"), F.lit(None).cast("string").alias("content"), "u.text")
+    answers = plain.where("role = 'assistant'").select("conv_id", "turn", F.lit("result").alias("kind"), name(F.col("turn") - 1).alias("id"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("arguments"), F.lit(None).cast("string").alias("after"), F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("text"))).alias("content"), F.lit(None).cast("string").alias("text"))
     return stated.unionByName(calls).unionByName(answers)
 
 
@@ -124,8 +130,8 @@ def depths(calls: DataFrame) -> DataFrame:
 def linked(turns: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
     """conv_id, turn, id, depth, status, errors, json: a row per call, orphan result, or repetition."""
     found = events(turns)
-    nth = F.row_number().over(Window.partitionBy("conv_id", "kind", "id").orderBy("turn", F.coalesce("arguments", "content"), "name", "after"))
-    found = staged(found.withColumn("nth", nth), "chat_events")
+    nth = F.row_number().over(Window.partitionBy("conv_id", "kind", "id").orderBy("turn", F.col("text").asc_nulls_last(), F.coalesce("arguments", "content"), "name", "after"))
+    found = staged(found.withColumn("nth", nth).drop("text"), "chat_events")
     first = found.where("nth = 1")
     calls, results = first.where("kind = 'call'"), first.where("kind = 'result'").select("conv_id", "id", F.col("turn").alias("result_turn"), "content")
     order = staged(depths(calls), "order")
