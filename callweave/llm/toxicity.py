@@ -1,9 +1,9 @@
 """Toxicity by weak supervision.
 
 Voters. Each labelled training document gives its distinct lower-cased words and
-their first four and five letters as features; counts per feature over all labelled
-training rows are made by Spark. Features that mark toxic documents by a wide
-margin (least log-odds and count; equal texts count once) become the lexicon, in order of strength; dealt
+their first four and five letters as features; counts per feature, and
+the totals they are compared with, are made by Spark over all labelled training rows. Features that mark toxic documents by a wide
+margin (least log-odds and count) become the lexicon, in order of strength; dealt
 round robin, they form the lexicon voters. Further voters look at patterns:
 shouting, exclamation, address in the second person, and a lexicon word doubled.
 A voter votes toxic, clean, or abstains.
@@ -177,10 +177,10 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn from labelled rows that are not held out."""
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known, "doc_id")
-    total = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    once = rows.groupBy(F.xxhash64("text")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    lexicon = lexicon_of(feature_counts(rows.join(once, "doc_id", "left_semi")), total.get(1, 0), total.get(0, 0))
+    # Labels grow with the input, so they are never broadcast here.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known.hint("merge"), "doc_id")
+    total = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    lexicon = lexicon_of(feature_counts(rows), total.get(1, 0), total.get(0, 0))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
