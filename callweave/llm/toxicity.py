@@ -117,10 +117,10 @@ def votes_of(text: str | None, hits: list[int]) -> list[int]:
     groups = {k % VOTERS for k in hits}
     out = [1 if g in groups else 0 for g in range(VOTERS)]
     n = max(1, len(text))
-    upper = sum(map(str.isupper, text[:: max(1, n // 2000)]))
+    upper = sum(map(str.isupper, text))
     out.append(-1 if not hits else 0)
     out.append(1 if len(hits) >= 3 else 0)
-    out.append(1 if 2 * upper > min(n, 2000) else 0)
+    out.append(1 if 2 * upper > n else 0)
     out.append(1 if text.count("!") * 50 > n else -1 if "!" not in text else 0)
     low = f" {text.lower()} "
     out.append(1 if any(f" {w} " in low for w in ("you", "your", "du", "tu", "vous", "usted")) and hits else 0)

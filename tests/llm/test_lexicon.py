@@ -18,3 +18,10 @@ def test_lexicon_totals_cover_the_counted_rows(spark, monkeypatch):
     assert (seen["n_toxic"], seen["n_clean"]) == (sum(k < 1900 for k in train), sum(k >= 1900 for k in train))
     assert seen["counts"]["=copied"] == (sum(400 <= k < 1900 for k in train), sum(1900 <= k < 2000 for k in train))
     assert seen["counts"]["=insult"] == (sum(k < 400 for k in train), 0)
+
+
+def test_shouting_reads_the_whole_text():
+    shouts = lambda text: toxicity.votes_of(text, [])[toxicity.VOTERS + 2]
+    for n in (100, 2001, 3000, 3999, 4000, 8000):
+        assert [shouts("A" * (n // 2 + k) + "a" * (n - n // 2 - k)) for k in (0, 1)] == [0, 1]
+    assert shouts("aAAA" * 2000) == 1 and shouts("Aaaa" * 2000) == 0
