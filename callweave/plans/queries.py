@@ -453,7 +453,7 @@ def normalised_pfcp(spark, d):
 
 @query("select capture_id, flow_id, frame from m")
 def episodes_and_flows(spark, d):
-    rows = messages(spark, d).where("protocol = 'pfcp'").drop("flow_id")
+    rows = messages(spark, d).drop("flow_id")
     freed = F.when(F.col("label") == "purchase", F.filter("keys", lambda k: k["kind"] == "amf_ue_ngap_id")).otherwise(F.col("releases"))
     return C.correlate(C.assign_episodes(rows.withColumn("releases", freed))).select("capture_id", "frame", "flow_id")
 
