@@ -8,7 +8,9 @@ are left, which become the last piece. Each class is numbered over many
 independent workers (salts); a small table of counts per class and worker tells
 each where its sequences begin. The pieces beyond the last full sequence of
 each class, fewer than i per class and so bounded for all inputs, are packed
-first-fit decreasing.
+first-fit decreasing. Pieces are dealt to workers by a hash of what they hold
+and by their place in the scan, so a document that is repeated very often is
+spread too; which sequence holds a piece therefore depends on the file layout.
 
 Null texts count as empty. An empty table gives an empty result. Repeated rows
 are packed as often as they occur. Extra columns are ignored by `pieces` and
@@ -96,7 +98,7 @@ def pack(found: DataFrame, order: list[str], capacity: int = CAPACITY, salts: in
     salts = salts or shuffle_partitions(spark)
     key = F.xxhash64(*order)
     rows = staged(
-        found.withColumns({"__class": F.floor(F.lit(capacity) / F.col("length")).cast("int"), "__order": key, "__salt": F.pmod(key, F.lit(salts)).cast("int")}), "pieces"
+        found.withColumns({"__class": F.floor(F.lit(capacity) / F.col("length")).cast("int"), "__order": key, "__salt": F.pmod(key + F.monotonically_increasing_id() % 64, F.lit(salts)).cast("int")}), "pieces"
     )
     counts = rows.groupBy("__class", "__salt").agg(F.count("*").alias("__n"))
     by_class = Window.partitionBy("__class").orderBy("__salt")

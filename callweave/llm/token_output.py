@@ -8,6 +8,9 @@ finds the open sequence with the least room that still fits: sequences are kept
 at the place of their room, so the search is for the first place with an open
 sequence at or after the wanted room.
 
+Blocks follow the scan, so another file layout or split size gives other
+sequences of the same pieces.
+
 A sequence is a row of the id matrix (`capacity` little-endian uint32 ids, padded),
 with the cumulative lengths of its segments; positions restart at each of them.
 

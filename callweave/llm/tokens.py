@@ -24,7 +24,8 @@ class Coder(dict):
     The pre-tokeniser never joins what lies left and right of a single space
     between two non-space characters, so such units (" word") are encoded once
     and remembered while there is room. A text with other white space beside a
-    space is encoded in one piece.
+    space, or with the string of one of the tokenizer's own special tokens, is
+    encoded in one piece by the tokenizer's plain call.
     """
 
     def __init__(self, path: str, ranks: str):
@@ -34,7 +35,7 @@ class Coder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         with open(ranks, "rb") as lines:
             merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         core = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})._core_bpe
@@ -57,6 +58,8 @@ class Coder(dict):
         return got
 
     def encode(self, text: str) -> bytes:
+        if any(map(text.__contains__, self.special)):
+            return self.whole(text)
         units = text.split(" ")
         for u in units:
             if not u or u[0].isspace() or u[-1].isspace():

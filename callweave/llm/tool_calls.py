@@ -1,31 +1,38 @@
 """Chat formatting: links tool calls to results and writes canonical JSON.
 
 Calls and results are found in message texts that hold a JSON object with
-`tool_calls` (each id, name, arguments, optional `after`: a call it needs) or
-with `tool_call_id` and `content`. Turns in which neither is found, other JSON
-and broken JSON among them, are linked as exchanges:
+`tool_calls` (each id, name, arguments, optional `after`: the id of a call it
+needs, or a list of ids) or with `tool_call_id` and `content`. Turns in which
+neither is found, other JSON and broken JSON among them, are linked as exchanges:
 each user turn is a call of the tool `reply`, answered by the assistant turn that
 follows it and needing the exchange before it. Calls and results are hash-joined
 by conversation and identifier.
 
-Order: a call's depth is the length of the chain of calls it needs, found by
-pointer doubling (each round joins calls to what their ancestor needs), so a
-conversation is never gathered and the rounds grow with the logarithm of the
-longest chain. Calls on a cycle, or behind one, have no depth and say so. Ties
-in depth are ordered by turn and identifier.
+Order: a call's depth is the length of the longest chain of calls it needs. Calls
+that need exactly one other form chains, which pointer doubling shortens to the
+call at their end (rounds grow with the logarithm of the longest chain). Calls
+that need several are then resolved in rounds, each as soon as all it needs are:
+one round per such call on the longest path. A conversation is never gathered.
+Calls on a cycle, or behind one, have no depth and say so. Ties in depth are
+ordered by turn and identifier. Needs that name no call count as none.
 
-Arguments are checked against a schema table (tool -> fields, type, required).
+Arguments are checked against JSON Schemas (tool -> schema of its arguments):
+type (one or several), enum, const, properties, required, additionalProperties,
+items, and the bounds of numbers, lengths and sizes; other keywords are ignored.
 The canonical form is JSON with sorted keys and no spaces.
 
-Null texts and roles are turns without calls; null conversations are one
-conversation; of repeated calls or results with the same identifier in one
-conversation the first by turn and text counts, the others are reported as
-repeated. Empty tables give empty results. Extra columns are ignored.
+A text is no JSON here if it breaks the grammar, nests too deeply for the parser,
+or holds numbers that JSON can't write (NaN, infinities). Lone surrogates stay
+in their escaped form. Null texts and roles are turns without calls; null
+conversations are one conversation; of repeated calls or results with the same
+identifier in one conversation the first by turn and text counts, the others are
+reported as repeated. Empty tables give empty results. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -35,42 +42,111 @@ from pyspark.sql.window import Window
 
 from callweave.functions.staging import staged
 
-#: tool -> field -> (type, required)
-SCHEMAS = {"reply": {"prompt": ("string", True), "words": ("integer", True), "language": ("string", False)}}
-_TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict}
+#: tool -> JSON Schema of its arguments
+SCHEMAS = {
+    "reply": {
+        "type": "object",
+        "properties": {"prompt": {"type": "string"}, "words": {"type": "integer", "minimum": 0}, "language": {"type": "string"}},
+        "required": ["prompt", "words"],
+        "additionalProperties": False,
+    }
+}
+_SURROGATE = re.compile("[\ud800-\udfff]")
+
+
+def escaped(text: str) -> str:
+    """text with lone surrogates, which UTF-8 can't hold, as their JSON escapes."""
+    return _SURROGATE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
 
 
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return escaped(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
+
+
+def is_a(value, kind: str) -> bool:
+    """Whether a JSON value is of a JSON Schema type."""
+    if isinstance(value, bool) or value is None:
+        return kind == ("null" if value is None else "boolean")
+    if isinstance(value, (int, float)):
+        return kind == "number" or (kind == "integer" and float(value).is_integer() if isinstance(value, float) else kind in ("number", "integer"))
+    return kind == {str: "string", list: "array", dict: "object"}[type(value)]
+
+
+def _same(a, b) -> bool:
+    return canonical(a) == canonical(b)
+
+
+def violations(value, schema: dict, at: str = "") -> list[str]:
+    """What is wrong with a value, each as `place: what`; the recursion is as deep as the schema."""
+    kinds = schema.get("type")
+    kinds = [kinds] if isinstance(kinds, str) else kinds
+    say = lambda what: f"{at or 'arguments'}: {what}"
+    if kinds and not any(is_a(value, k) for k in kinds):
+        return [say("not " + " or ".join(kinds))]
+    out = []
+    if "enum" in schema and not any(_same(value, x) for x in schema["enum"]):
+        out.append(say("not in enum"))
+    if "const" in schema and not _same(value, schema["const"]):
+        out.append(say("not the constant"))
+    size = {str: "Length", list: "Items", dict: "Properties"}.get(type(value))
+    if size and not schema.get(f"min{size}", 0) <= len(value) <= schema.get(f"max{size}", len(value)):
+        out.append(say("size out of bounds"))
+    if is_a(value, "number") and not schema.get("minimum", value) <= value <= schema.get("maximum", value):
+        out.append(say("out of bounds"))
+    if isinstance(value, list) and "items" in schema:
+        for k, x in enumerate(value):
+            out += violations(x, schema["items"], f"{at}[{k}]")
+    if isinstance(value, dict):
+        known, inside = schema.get("properties", {}), f"{at}." if at else ""
+        out += [f"{inside}{f}: missing" for f in schema.get("required", ()) if f not in value]
+        for f, x in value.items():
+            if f in known:
+                out += violations(x, known[f], inside + f)
+            elif schema.get("additionalProperties") is False:
+                out.append(escaped(f"{inside}{f}: unknown"))
+            elif isinstance(schema.get("additionalProperties"), dict):
+                out += violations(x, schema["additionalProperties"], inside + f)
+    return out
 
 
 def errors_of(name: str, arguments, schemas: dict) -> list[str]:
-    """What is wrong with a call's arguments, in order of field."""
+    """What is wrong with a call's arguments, sorted."""
     if name not in schemas:
         return ["unknown tool"]
-    if not isinstance(arguments, dict):
-        return ["arguments are no object"]
-    out = [f"{f}: missing" for f, (_, needed) in schemas[name].items() if needed and f not in arguments]
-    for f, v in arguments.items():
-        kind = schemas[name].get(f, (None,))[0]
-        if kind is None:
-            out.append(f"{f}: unknown")
-        elif not isinstance(v, _TYPES[kind]) or (isinstance(v, bool) and kind in ("integer", "number")):
-            out.append(f"{f}: not {kind}")
-    return sorted(out)
+    return sorted(map(escaped, violations(arguments, schemas[name])))
+
+
+def _read(text: str):
+    """The value of a JSON text whose canonical form can be written; ValueError if there is none."""
+    try:
+        value = json.loads(text)
+        canonical(value)
+    except RecursionError:
+        raise ValueError("nested too deeply") from None
+    return value
 
 
 def parse(text: str | None) -> tuple[list[dict], list[dict]]:
     """(calls, results) that a message text states as JSON."""
-    if not text or not text.lstrip().startswith("{"):
+    if not text or not text.lstrip(" \t\n\r").startswith("{"):
         return [], []
     try:
-        held = json.loads(text)
+        held = _read(text)
     except ValueError:
         return [], []
-    calls = held.get("tool_calls") if isinstance(held, dict) else None
+    calls = held.get("tool_calls")
     calls = [c for c in calls if isinstance(c, dict) and c.get("id") is not None] if isinstance(calls, list) else []
-    return calls, [held] if isinstance(held, dict) and held.get("tool_call_id") is not None else []
+    return calls, [held] if held.get("tool_call_id") is not None else []
+
+
+def _name(value) -> str:
+    """Identifiers and tool names as text; those that are no strings in canonical form."""
+    return escaped(value) if isinstance(value, str) else canonical(value)
+
+
+def _needs(after) -> list[str]:
+    each = after if isinstance(after, list) else [after]
+    return sorted({_name(x) for x in each if x is not None})
 
 
 def events(turns: DataFrame) -> DataFrame:
@@ -87,14 +163,14 @@ def events(turns: DataFrame) -> DataFrame:
                 for c in calls:
                     made = c.get("arguments", {})
                     try:
-                        made = json.loads(made) if isinstance(made, str) else made
+                        made = _read(made) if isinstance(made, str) else made
                     except ValueError:
                         pass
-                    rows.append((conv, turn, "call", str(c["id"]), str(c.get("name")), canonical(made), None if c.get("after") is None else str(c["after"]), None, None, None))
-                rows += [(conv, turn, "result", str(r["tool_call_id"]), None, None, None, canonical(r.get("content")), None, None) for r in results]
+                    rows.append((conv, turn, "call", _name(c["id"]), _name(c.get("name")), canonical(made), _needs(c.get("after")), None, None, None))
+                rows += [(conv, turn, "result", _name(r["tool_call_id"]), None, None, None, canonical(r.get("content")), None, None) for r in results]
             yield pd.DataFrame(rows, columns=["conv_id", "turn", "kind", "id", "name", "arguments", "after", "content", "role", "text"])
 
-    schema = "conv_id long, turn long, kind string, id string, name string, arguments string, after string, content string, role string, text string"
+    schema = "conv_id long, turn long, kind string, id string, name string, arguments string, after array<string>, content string, role string, text string"
     # Only objects are parsed: white space, as JSON knows it, and a brace. Those that state nothing are plain turns.
     braced = F.coalesce(F.col("text").rlike(r"\A[ \t\n\r]*\{"), F.lit(False))
     parsed = staged(turns.where(braced).mapInPandas(run, schema), "parsed")
@@ -107,24 +183,53 @@ def events(turns: DataFrame) -> DataFrame:
     text = F.coalesce("u.text", F.lit(""))
     words = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
     made = F.to_json(F.struct(text.alias("prompt"), words.alias("words")))
-    calls = calls.select("u.conv_id", "u.turn", F.lit("call").alias("kind"), name(F.col("u.turn")).alias("id"), F.lit("reply").alias("name"), made.alias("arguments"), F.when(F.col("has"), name(F.col("u.turn") - 2)).alias("after"), F.lit(None).cast("string").alias("content"), "u.text")
-    answers = plain.where("role = 'assistant'").select("conv_id", "turn", F.lit("result").alias("kind"), name(F.col("turn") - 1).alias("id"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("arguments"), F.lit(None).cast("string").alias("after"), F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("text"))).alias("content"), F.lit(None).cast("string").alias("text"))
+    calls = calls.select("u.conv_id", "u.turn", F.lit("call").alias("kind"), name(F.col("u.turn")).alias("id"), F.lit("reply").alias("name"), made.alias("arguments"), F.when(F.col("has"), F.array(name(F.col("u.turn") - 2))).otherwise(F.array().cast("array<string>")).alias("after"), F.lit(None).cast("string").alias("content"), "u.text")
+    answers = plain.where("role = 'assistant'").select("conv_id", "turn", F.lit("result").alias("kind"), name(F.col("turn") - 1).alias("id"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("arguments"), F.lit(None).cast("array<string>").alias("after"), F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("text"))).alias("content"), F.lit(None).cast("string").alias("text"))
     return stated.unionByName(calls).unionByName(answers)
 
 
+def _chains(calls: DataFrame, edges: DataFrame) -> DataFrame:
+    """conv_id, id, top, steps, ends: the call at the end of the chain that starts at id, how far it is, and whether there is one."""
+    single = edges.groupBy("conv_id", "id").agg(F.count("*").alias("n"), F.min("need").alias("need")).where("n = 1")
+    held = calls.select("conv_id", "id").alias("c").join(single.alias("s"), F.expr("c.conv_id <=> s.conv_id and c.id = s.id"), "left")
+    now = staged(held.select("c.conv_id", "c.id", F.coalesce("s.need", "c.id").alias("top"), F.col("s.need").isNotNull().cast("long").alias("steps"), F.col("s.need").isNull().alias("ends")), "chains")
+    longest = calls.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+    for _ in range(longest.bit_length()):  # then no chain is left, only cycles
+        if now.where("not ends").isEmpty():
+            break
+        above = now.select(F.col("conv_id").alias("conv"), F.col("id").alias("k"), F.col("top").alias("next"), F.col("steps").alias("more"), F.col("ends").alias("done"))
+        open_ = now.where("not ends").alias("c").join(above.alias("k"), F.expr("c.conv_id <=> k.conv and c.top = k.k"))
+        moved = open_.select("c.conv_id", "c.id", F.col("k.next").alias("top"), (F.col("c.steps") + F.col("k.more")).alias("steps"), F.col("k.done").alias("ends"))
+        now = staged(now.where("ends").unionByName(moved), "chains")
+    return now
+
+
 def depths(calls: DataFrame) -> DataFrame:
     """conv_id, id, after -> with depth: 0 for calls that need none (or none that exists), null on and behind cycles."""
     known = calls.select("conv_id", F.col("id").alias("k"))
-    held = calls.select("conv_id", "id", "after").alias("c").join(known.alias("k"), F.expr("c.conv_id <=> k.conv_id and c.after = k.k"), "left")
-    now = staged(held.select("c.conv_id", "c.id", F.col("k.k").alias("up"), F.when(F.col("k.k").isNull(), 0).otherwise(1).cast("long").alias("depth")), "depths")
-    longest = calls.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
-    for _ in range(longest.bit_length()):  # then no chain is left, only cycles
-        if now.where("up is not null").isEmpty():
+    wanted = calls.select("conv_id", "id", F.explode("after").alias("need")).alias("c")
+    edges = staged(wanted.join(known.alias("k"), F.expr("c.conv_id <=> k.conv_id and c.need = k.k")).select("c.conv_id", "c.id", "c.need").distinct(), "needs")
+    chains = _chains(calls, edges)
+    counts = edges.groupBy("conv_id", "id").agg(F.count("*").alias("n"))
+    tops = chains.where("steps = 0 and ends").alias("t").join(counts.alias("n"), F.expr("t.conv_id <=> n.conv_id and t.id = n.id"), "left")
+    tops = staged(tops.select("t.conv_id", "t.id", F.coalesce("n.n", F.lit(0)).alias("n")), "tops")
+    done = tops.where("n = 0").select("conv_id", "id", F.lit(0).cast("long").alias("depth"))
+    # A call with several needs waits for the ends of their chains; a chain into a cycle has no end and is never met.
+    waits = edges.alias("e").join(tops.where("n > 1").alias("t"), F.expr("e.conv_id <=> t.conv_id and e.id = t.id"), "left_semi").alias("e")
+    waits = waits.join(chains.alias("c"), F.expr("e.conv_id <=> c.conv_id and e.need = c.id"))
+    waits = staged(waits.select("e.conv_id", "e.id", F.when(F.col("c.ends"), F.col("c.top")).alias("top"), (F.col("c.steps") + 1).alias("depth"), F.lit(False).alias("met")), "waits")
+    found = done
+    while not waits.isEmpty():
+        join = waits.alias("w").join(done.alias("d"), F.expr("not w.met and w.conv_id <=> d.conv_id and w.top = d.id"), "left")
+        now = staged(join.select("w.conv_id", "w.id", "w.top", (F.col("w.depth") + F.coalesce("d.depth", F.lit(0))).alias("depth"), (F.col("w.met") | F.col("d.id").isNotNull()).alias("met")), "waits")
+        done = now.groupBy("conv_id", "id").agg(F.min("met").alias("met"), F.max("depth").alias("depth")).where("met").select("conv_id", "id", "depth")
+        done = staged(done, "resolved")
+        if done.isEmpty():
             break
-        above = now.select(F.col("conv_id").alias("conv"), F.col("id").alias("k"), F.col("up").alias("next"), F.col("depth").alias("more"))
-        joined = now.alias("c").join(above.alias("k"), F.expr("c.conv_id <=> k.conv and c.up = k.k"), "left")
-        now = staged(joined.select("c.conv_id", "c.id", F.col("k.next").alias("up"), (F.col("c.depth") + F.coalesce("more", F.lit(0))).alias("depth")), "depths")
-    return now.select("conv_id", "id", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
+        found = found.unionByName(done)
+        waits = staged(now.alias("w").join(done.alias("d"), F.expr("w.conv_id <=> d.conv_id and w.id = d.id"), "left_anti"), "waits")
+    held = chains.alias("c").join(found.alias("f"), F.expr("c.ends and c.conv_id <=> f.conv_id and c.top = f.id"), "left")
+    return held.select("c.conv_id", "c.id", (F.col("f.depth") + F.col("c.steps")).alias("depth"))
 
 
 def linked(turns: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
@@ -143,14 +248,16 @@ def linked(turns: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
     joined = joined.withColumn("status", status)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        text = lambda x: x if isinstance(x, str) else None
         for part in parts:
             errors, made = [], []
             for r in part.itertuples():
-                arguments = json.loads(r.arguments) if isinstance(r.arguments, str) else None
-                content = json.loads(r.content) if isinstance(r.content, str) else None
-                name = r.name if isinstance(r.name, str) else None
-                errors.append(errors_of(name, arguments, schemas) if name is not None else [])
-                made.append(canonical({"id": r.id, "name": name, "arguments": arguments, "after": r.after if isinstance(r.after, str) else None, "status": r.status, "result": content}))
+                name, arguments = text(r.name), text(r.arguments)
+                errors.append(errors_of(name, json.loads(arguments), schemas) if name is not None else [])
+                after = [] if r.after is None else list(r.after)
+                # Arguments and result are in canonical form already; they are set in as they are.
+                shown = {"after": canonical(after), "arguments": arguments or "null", "id": canonical(r.id), "name": canonical(name), "result": text(r.content) or "null", "status": canonical(r.status)}
+                made.append("{" + ",".join(f'"{k}":{v}' for k, v in shown.items()) + "}")
             yield part[["conv_id", "turn", "id", "depth", "status"]].assign(errors=errors, json=made)
 
     out = joined.select("conv_id", "turn", "id", "depth", "status", "name", "arguments", "after", "content")

@@ -19,7 +19,6 @@ DOCS = "doc_id long, text string"
 
 def ids_of(text):
     t = Tokenizer.from_file(tokens.TOKENIZER)
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids + [0]
 
 
