@@ -5,15 +5,17 @@ words, symbols, repeated lines, words in three-word windows that occur twice.
 Five rates made of them are rules of the form "reject above a cutoff".
 
 Cutoffs are chosen per stratum (language, others together) on labelled
-documents. For each rule and cutoff of a grid, the null hypothesis is that more
-than `risk` of the good documents of the stratum would be rejected; its exact
-binomial p-value is P(Bin(n, risk) <= rejected). All strata, rules and cutoffs
-are tested together (Bonferroni), so with probability 1 - `error` no chosen
-rule rejects more than `risk` of its stratum's good documents, and all rules
-together at most five times that. The lowest certified cutoff is taken; with
-too few labelled documents none is, and the rule stays off in that stratum.
-Above a million labelled documents the Chernoff bound, which is never smaller,
-stands in for the sum.
+documents. `risk` bounds the share of a stratum's good documents that all rules
+together may reject; each rule gets an equal part of it. For each rule and cutoff
+of a grid, the null hypothesis is that more than that part of the good documents
+would be rejected; its exact binomial p-value is P(Bin(n, part) <= rejected). All
+strata, rules and cutoffs are tested together (Bonferroni), so with probability
+1 - `error` no chosen rule rejects more than its part anywhere, and hence the
+union of the rules, which is what a user sees, no more than `risk`. The lowest
+certified cutoff is taken; with too few labelled documents none is, and the rule
+stays off in that stratum. The p-value has one form at every size: the largest
+term by the saddle-point expansion of the binomial, times a falling sum that is
+cut where what is left is below e**-50 of it.
 
 DataFrame functions only; a document is one row throughout, so no shuffle
 carries texts. The grid's counts are a few rows (strata x rules x cutoffs),
@@ -27,13 +29,15 @@ nothing; without labels only the base rule rejects. Extra columns are kept by
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callweave.functions.staging import staged
 
 STRATA = ("en", "fr", "de", "es")
-RISK = 0.004
+RISK = 0.02
 ERROR = 0.05
 #: rule -> grid of cutoffs, lowest first
 GRID = {
@@ -112,16 +116,24 @@ def stratum(lang: Column, strata: tuple[str, ...] = STRATA) -> Column:
     return F.when(lang.isin(*strata), lang).otherwise("other")
 
 
+def _excess(x: Column) -> Column:
+    """ln x! less Stirling's formula: tabled up to 15, then its series."""
+    table = F.array(*(F.lit(math.lgamma(k + 1) - ((k + 0.5) * math.log(k) - k + 0.5 * math.log(2 * math.pi)) if k else 0.0) for k in range(16)))
+    series = (1 / 12 - (1 / 360 - (1 / 1260 - (1 / 1680 - F.lit(1 / 1188) / (x * x)) / (x * x)) / (x * x)) / (x * x)) / x
+    return F.when(x < 16, F.get(table, x.cast("int"))).otherwise(series)
+
+
 def p_value(n: Column, k: Column, risk: float) -> Column:
-    """P(Bin(n, risk) <= k), exact up to a million trials, then Chernoff's bound; 1 where k >= n * risk."""
-    odds, q = F.ln(F.lit(risk / (1 - risk))), F.log1p(F.lit(-risk))
-    step = lambda a, j: F.struct((a["log"] + F.ln((n - j + 1) / j) + odds).alias("log"), (a["sum"] + F.exp(a["log"] + F.ln((n - j + 1) / j) + odds)).alias("sum"))
-    first = F.struct((n * q).cast("double").alias("log"), F.exp(n * q).cast("double").alias("sum"))
-    terms = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k.cast("long"))).otherwise(F.array().cast("array<long>"))
-    exact = F.aggregate(terms, first, step)["sum"]
-    x = k / n
-    far = F.exp(-n * (F.when(x > 0, x * F.ln(x / risk)).otherwise(0.0) + (1 - x) * F.ln((1 - x) / (1 - risk))))
-    return F.when(k >= n * risk, F.lit(1.0)).when(n <= 1_000_000, exact).otherwise(far)
+    """P(Bin(n, risk) <= k), to double precision; 1 where k >= n * risk."""
+    n, k = n.cast("double"), k.cast("double")
+    away = lambda x, mean: F.when(x > 0, x * F.ln(x / mean)).otherwise(0.0) + mean - x
+    log = _excess(n) - _excess(k) - _excess(n - k) - away(k, n * risk) - away(n - k, n * (1 - risk)) + 0.5 * F.ln(n / (2 * math.pi * k * (n - k)))
+    log = F.when(k == 0, n * F.log1p(F.lit(-risk))).otherwise(log)
+    # Below the mean, terms d places down are under exp(-d * d / 2k) of the largest.
+    last = F.least(k, F.ceil(10 * F.sqrt(k)) + 10).cast("long")
+    step = lambda a, i: F.struct((a["term"] * (k - i + 1) / (n - k + i) * ((1 - risk) / risk)).alias("term"), (a["sum"] + a["term"] * (k - i + 1) / (n - k + i) * ((1 - risk) / risk)).alias("sum"))
+    falling = F.aggregate(F.when(last > 0, F.sequence(F.lit(1).cast("long"), last)).otherwise(F.array().cast("array<long>")), F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum")), step)["sum"]
+    return F.when(k >= n * risk, F.lit(1.0)).otherwise(F.exp(log) * falling)
 
 
 def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> dict[tuple[str, str], float]:
@@ -134,7 +146,7 @@ def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, error: f
     counts = held.groupBy("stratum").agg(F.count("*").alias("n"), *sums)
     each = F.explode(F.array(*(F.struct(F.lit(rule).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"k{i}").alias("k")) for i, (rule, c) in enumerate(tests))))
     tested = counts.select("stratum", "n", each.alias("x")).select("stratum", "n", "x.*")
-    sure = tested.where(p_value(F.col("n").cast("double"), F.col("k"), risk) <= error / (len(tests) * (len(STRATA) + 1)))
+    sure = tested.where(p_value(F.col("n"), F.col("k"), risk / len(GRID)) <= error / (len(tests) * (len(STRATA) + 1)))
     return {(r["stratum"], r["rule"]): r["cutoff"] for r in sure.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff")).collect()}
 
 
@@ -158,6 +170,8 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs that pass, unchanged. Measures are taken again rather than joined, so texts aren't shuffled."""
-    chosen = cutoffs(staged(measured(docs), "measures"), labels)
-    return docs.where(_let(measures(F.col("text")), lambda m: kept(m, stratum(F.col("lang")), chosen)))
+    """docs that pass, unchanged. Each row is staged with its measures, which are taken once."""
+    m = measures(F.col("text")).alias("m")
+    held = staged(docs.select(F.struct("*").alias("row"), stratum(F.col("lang")).alias("stratum"), m), "judged")
+    chosen = cutoffs(held.select(F.col("row.doc_id").cast("long").alias("doc_id"), "stratum", "m"), labels)
+    return held.where(kept(F.col("m"), F.col("stratum"), chosen)).select("row.*")

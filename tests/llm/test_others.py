@@ -125,12 +125,47 @@ def test_quality_measures_and_cutoffs(spark):
     kept = sorted(x.doc_id for x in quality_rules.judge(docs, labels).collect())
     assert kept == sorted(x[0] for x in want if x[-1])
     assert quality_rules.judged(docs.where("false"), labels).count() == 0
-    for n, k, risk in ((900, 0, 0.004), (5000, 7, 0.004), (100, 3, 0.2), (100, 20, 0.2), (1_000_000, 3800, 0.004)):
+    for n, k, risk in ((900, 0, 0.004), (5000, 7, 0.004), (100, 3, 0.2), (100, 20, 0.2), (1_000_000, 3800, 0.004), (1_000_001, 3800, 0.004), (3_000_000, 11_000, 0.004), (40, 20, 0.9), (17, 16, 0.99), (2000, 1, 0.004)):
         exact = sum(math.exp(math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(risk) + (n - j) * math.log1p(-risk)) for j in range(k + 1)) if k < n * risk else 1
         p = spark.range(1).select(quality_rules.p_value(F.lit(float(n)), F.lit(k), risk)).first()[0]
         assert p == pytest.approx(exact, rel=1e-6)
 
 
+def test_cutoffs_equal_brute_force(spark):
+    r = random.Random(8)
+    rows, marks = [], []
+    for k in range(6000):
+        fine = r.random() < 0.95
+        symbols = r.choice([0, 0, 99]) if not fine else 0 if r.random() < 0.985 else r.choice([1, 2, 4, 9, 30])
+        words = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(60)]
+        if r.random() < 0.004:
+            words[:20] = ["LOUD!!"] * 2 + [w.upper() + "!" for w in words[2:20]]
+        rows.append((k, " ".join(words) + " " + "#" * symbols, r.choice(["en", "en", "en", "fr", None])))
+        marks.append((k, int(fine)))
+    good = {k for k, q in marks if q}
+    docs = spark.createDataFrame(rows, DOCS + ", lang string")
+    tail = lambda n, k, p: sum(math.exp(math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(p) + (n - j) * math.log1p(-p)) for j in range(k + 1)) if k < n * p else 1
+    tests = 5 * sum(map(len, quality_rules.GRID.values()))
+    rates, want = {}, {}
+    for doc, text, lang in rows:
+        m = measures(text)
+        if m[0] < 50 or 100 * m[4] > 50 * m[0]:
+            continue
+        lines = [x for x in text.split("\n") if words_of(x)]
+        rates[doc] = lang or "other", {"symbol_rate": m[2] / m[1], "shout_rate": len(re.findall("[A-Z]", text)) / m[1], "mark_rate": len(re.findall("[!?]", text)) / m[1], "dup_line_rate": m[3] / len(lines), "repeat_rate": m[4] / m[0]}
+    for where in ("en", "fr", "other"):
+        each = [v for d, (s, v) in rates.items() if s == where and d in good]
+        for rule, grid in quality_rules.GRID.items():
+            sure = [c for c in grid if tail(len(each), sum(v[rule] > c for v in each), quality_rules.RISK / 5) <= quality_rules.ERROR / tests]
+            if sure:
+                want[where, rule] = min(sure)
+    labels = spark.createDataFrame(marks, "doc_id long, quality int")
+    assert quality_rules.cutoffs(quality_rules.measured(docs), labels) == want and len(want) >= 5
+    keep = {d for d, (s, v) in rates.items() if not any(v[rule] > want.get((s, rule), 9) for rule in v)}
+    assert {x.doc_id for x in quality_rules.judged(docs, labels).where("kept").collect()} == keep
+    assert {x.doc_id for x in quality_rules.judge(docs, labels).collect()} == keep and len(keep) < len(rates)
+
+
 def test_cutoffs_keep_their_promise(spark):
     good = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.concat(F.lit("w"), (F.col("id") * 7 + i * i).cast("string"))), " "), F.when(F.col("id") % 1000 == 0, " " + "#" * 400).otherwise("")).alias("text"), F.lit("en").alias("lang"))
     bad = good.where("doc_id < 500").select(F.col("doc_id") + 50_000, F.concat("text", F.lit(" " + "#" * 400)), "lang").toDF("doc_id", "text", "lang")
