@@ -1,3 +1,4 @@
+import hashlib
 import json
 import math
 import random
@@ -83,7 +84,8 @@ def test_line_runs(spark, run):
     r = random.Random(run)
     rows = [(k, "\n".join(r.choice(["a", "b", "c d", "e", "", " "]) + (str(r.randrange(3)) if r.random() < 0.5 else "") for _ in range(r.randint(0, 25)))) for k in range(60)]
     rows += [(100, None), (101, ""), (102, "x\n" * 50), (None, rows[1][1])]
-    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0))
+    rows += [rows[3], rows[3], (4, rows[5][1] + "\nown line"), (103, "y\n" * 3000)]
+    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, hashlib.md5((x[1] or "").encode()).hexdigest()[:15]))
     seen, want = set(), []
     for doc, text in order:
         lines = text.split("\n") if text is not None else []
@@ -101,6 +103,32 @@ def test_line_runs(spark, run):
     assert line_dedup.drop_repeats(docs.where("false"), run).count() == 0
 
 
+def test_maximal_line_runs_and_long_lines(spark):
+    long, r = " ".join(f"w{k}" for k in range(60)), random.Random(4)
+    rows = [(1, "a\nb\nc\nd\ne"), (2, "x\na\nb\nc\nd\ny"), (3, "b\nc\nz\nd\ne"), (4, "p\n" + long + "\nq"), (5, long), (5, long), (6, "\n".join(f"line {k}" for k in range(37))), (7, "\n".join(f"line {k}" for k in range(37)))]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({"h": F.lit("clash"), "spans": F.lit(1)})
+    rounds = line_dedup.rounds_of(line_dedup.lines_of(docs))
+    assert len(rounds) == 6  # 37 lines: up to runs of 32
+    runs = {(x.doc_id, x.i, x.origin.doc_id, x.origin.i, x.n) for x in line_dedup.maximal_runs(rounds, 2).collect()}
+    assert runs == {(2, 1, 1, 0, 4), (3, 0, 1, 1, 2), (3, 3, 1, 3, 2), (7, 0, 6, 0, 37)}
+    got = [(x.doc_id, x.text) for x in line_dedup.drop_repeats(docs, 2, 50).collect()]
+    assert sorted(got) == sorted([(1, rows[0][1]), (2, "x\ny"), (3, "z"), (4, rows[3][1]), (5, ""), (5, ""), (6, rows[6][1]), (7, "")])
+    assert sorted((x.doc_id, x.text) for x in line_dedup.drop_repeats(docs, 2).collect() if x.doc_id == 5) == [(5, long)] * 2
+
+
+def test_line_dedup_sql(spark):
+    import duckdb
+
+    r = random.Random(14)
+    rows = [(r.choice([None, 1, 2, 3, k]), r.choice([None, "", "\n".join(r.choice("abcde ") for _ in range(r.randint(0, 9)))])) for k in range(90)]
+    rows += rows[:30]
+    got = line_dedup.drop_repeats(spark.createDataFrame(rows, DOCS)).select("doc_id", F.col("__lines"), F.col("__removed"), F.sha2(F.coalesce("text", F.lit("")), 256)).collect()
+    base = duckdb.connect()
+    base.execute("create table documents (doc_id bigint, text varchar)")
+    base.executemany("insert into documents values (?, ?)", rows)
+    assert sorted(map(tuple, got), key=str) == sorted(base.execute(line_dedup.ORACLE_SQL).fetchall(), key=str)
+
+
 def measures(text):
     w = words_of(text)
     grams = Counter(zip(w, w[1:], w[2:]))
