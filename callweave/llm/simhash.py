@@ -1,20 +1,28 @@
-"""SimHash near-duplicates by a byte-position inverted index.
+"""SimHash near-duplicates by a byte-position inverted index with count filtering.
 
 A fingerprint has eight bytes. At most `bits` differing bits leave at least
-8 - bits bytes equal at their positions, so for bits = 4 a linked pair shares
-four positional bytes. The inverted index is therefore kept over four positions
-at a time: a posting list holds the fingerprints that agree in all four, so a
-pair is in a list exactly if its tally of shared positional bytes reaches the
-guaranteed minimum, and no pair below it is ever formed. Pairs are verified by
-counting differing bits.
-
-Only different fingerprints are indexed, with the least doc_id of each. Lists
-are counted first, and lists of one are dropped. A list of up to `most` members
-is linked inside one row, and gives a spanning forest of its links, not its
-pairs. Members of longer lists are linked exactly and in linear size by another
-way: two fingerprints are within four bits of each other exactly if some
-64-bit point is within two bits of both, so each emits the 2081 points around
-it and joins the least fingerprint of each point.
+8 - bits bytes equal at their positions, which is the guaranteed minimum of matches.
+The inverted index is kept over 8 - bits positions at a time: a posting list holds the
+fingerprints that agree in all of them. Pairs are formed inside a list only: their
+shared positional bytes are tallied over all eight positions, pairs below the
+minimum go, each pair counts only in the list of its first equal positions, and what
+is left is verified by counting differing bits. A list gives a spanning forest of
+its links, never its pairs.
+
+Only different fingerprints are indexed, with the least doc_id of each. Lists are
+counted first, and lists of one are dropped. A list of over `most` members is split
+by its next byte position: `bits` differing bits over the positions left (no more of
+them than bits) leave one that differs in at most one bit, so the list is split by
+every such position with every one of its bits left out. Parts that are too long are
+split again while that holds; what is then left has a bound of 2**18 members. Every
+list, long or short, is read in the same way.
+
+`similar` is for documents alike in their shingles rather than in 64 bits: 32 bytes
+of fingerprint and an index over three positions at a time (`KEYS` triples), so that
+a pair in a list has a tally of three at least. Each member is compared with its
+nearest ones of the list by exact similarity of their shingle sets. Pairs at 0.8
+differ in some 39 bits of 256, and a triple meets them with a chance of 0.02, so the
+recall is high but not certain; it is measured in the README.
 
 Null texts have no words; a fingerprint without words is zero and is linked
 like others. Repeated rows get a row each. Rows with a null doc_id take part
@@ -29,98 +37,141 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from callweave.functions.staging import shuffle_partitions, staged
-from callweave.llm.words import as_long
+from callweave.llm.words import as_long, mix
 from callweave.operators.components import connected_components
 
 SHINGLE = 4
 BITS = 4
 SEED = 42
+#: Members of a list that are compared in one row; longer lists are split.
 MOST = 4096
+#: For `similar`: shingle, similarity, longs of a fingerprint, triples of byte positions, nearest members that a member is compared with.
+WORDS, ALIKE, WIDE, KEYS, NEAREST = 5, 0.8, 4, 256, 3
+#: Differing bits of 256 beyond which a pair can't be alike: the mean at a similarity of 0.8 is 39, with a deviation of 6.
+FAR = 64
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """A bit is set if it is in over half of the shingles' hashes, repeats included."""
+def shingles(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of each shingle of lower-cased words, repeats included; of the whole sequence if it is shorter."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return digest(joined, SEED)
+        return np.array([digest(joined, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.append(0, ends[:-1] + 1)
-    h = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)), "<u8", len(words) - shingle + 1)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)), np.uint64, len(words) - shingle + 1)
+
+
+def majority(h: np.ndarray) -> int:
+    """A bit is set if it is in over half of the hashes, repeats included."""
     counts = np.zeros(64, np.int64)
     for lo in range(0, len(h), 4096):
-        part = h[lo : lo + 4096]
+        part = h[lo : lo + 4096].astype("<u8", copy=False)
         counts += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
     return int.from_bytes(np.packbits(2 * counts > len(h), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, text_hash, fp (the fingerprint's bits as a long)."""
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    return majority(shingles(text, shingle))
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, wide: int = 1) -> DataFrame:
+    """doc_id, text_hash, fp (the fingerprint's bits as a long); if wide, more of them (fp1, ...), and each shingle counts once."""
+    names = ["fp", *(f"fp{k}" for k in range(1, wide))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                found = np.array([fingerprint(t, shingle) for t in part.column(1).to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), as_long(found)], ["doc_id", "text_hash", "fp"])
+                found = np.zeros((part.num_rows, wide), np.uint64)
+                for row, text in enumerate(part.column(1).to_pylist()):
+                    h = shingles(text, shingle)
+                    h = np.unique(h) if wide > 1 else h
+                    found[row] = [majority(mix(h, k) if k else h) for k in range(wide)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *(as_long(found[:, k].copy()) for k in range(wide))], ["doc_id", "text_hash", *names])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, " + ", ".join(f"{n} long" for n in names))
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, fp long")
+def linked(codes: np.ndarray, k: int, bits: int, first: int | None) -> np.ndarray:
+    """Which codes (uint64) are linked to the k-th: bytes tallied, then bits counted. first: only pairs whose first equal bytes are these positions (as bits)."""
+    apart = codes ^ codes[k]
+    equal = apart.astype("<u8", copy=False).view(np.uint8).reshape(len(codes), 8) == 0
+    tally = equal.sum(1)
+    keep = tally >= 8 - bits
+    if first is not None:
+        begins = equal & (equal.cumsum(1) <= 8 - bits)
+        keep &= np.packbits(begins, axis=1, bitorder="little")[:, 0] == first
+    near = np.flatnonzero(keep)
+    return near[np.bitwise_count(apart[near]) <= bits]
 
 
-def _forest(members: np.ndarray, bits: int) -> list[tuple[int, int]]:
+def _forest(members: np.ndarray, bits: int, first: int | None) -> list[tuple[int, int]]:
     """A spanning forest of the links among different fingerprints."""
-    n = len(members)
-    if n == 2:
-        a, b = members.tolist()
-        return [(a, b)] if ((a ^ b) & 0xFFFFFFFFFFFFFFFF).bit_count() <= bits else []
-    left, out = np.ones(n, bool), []
+    left, out = np.ones(len(members), bool), []
     codes = members.view(np.uint64)
-    while left.any():
-        queue = [int(np.flatnonzero(left)[0])]
-        left[queue[0]] = False
+    for start in range(len(members)):
+        queue = [start] * int(left[start])
+        left[start] = False
         while queue:
             k = queue.pop()
-            near = np.flatnonzero(left & (np.bitwise_count(codes ^ codes[k]) <= bits))
+            near = linked(codes, k, bits, first)
+            near = near[left[near]]
             left[near] = False
             out += [(int(members[k]), int(members[j])) for j in near]
             queue += near.tolist()
     return out
 
 
-def links(distinct: DataFrame, bits: int = BITS, most: int = MOST) -> DataFrame:
-    """a, b: links among different fingerprints fp that connect just what all links within `bits` bits connect."""
-    masks = [sum(0xFF << 8 * p for p in c) for c in combinations(range(8), 8 - bits)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    listed = F.explode(F.array(*(F.struct(F.lit(k).cast("byte").alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("bytes")) for k, m in enumerate(signed))))
-    # A fingerprint becomes many postings: deal them out first, or few tasks would hold them all.
-    spread = distinct.select("fp").repartition(shuffle_partitions(distinct.sparkSession), "fp")
-    posted = spread.select("fp", listed.alias("x")).select("x.k", "x.bytes", "fp")
-    lists = staged(posted.groupBy("k", "bytes").agg(F.count("*").alias("n")).where("n > 1"), "lists")
-    # The lists grow with the input, so they are never broadcast.
-    short = posted.join(lists.where(F.col("n") <= most).hint("merge"), ["k", "bytes"]).groupBy("k", "bytes").agg(F.collect_list("fp").alias("members"))
+def _forests(lists: DataFrame, bits: int, first: bool) -> DataFrame:
+    """members, used -> a, b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = {p for m in batch.column(0) for p in _forest(np.array(m.as_py(), np.int64), bits)}
+            found = {p for m, used in zip(batch.column(0), batch.column(1).to_pylist(), strict=True) for p in _forest(np.array(m.as_py(), np.int64), bits, used if first else None)}
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    near = short.select("members").mapInArrow(run, "a long, b long")
-    if not lists.where(F.col("n") > most).isEmpty():
-        hot = staged(posted.join(lists.where(F.col("n") > most).hint("merge"), ["k", "bytes"], "left_semi").select("fp").distinct(), "hot")
-        half = bits // 2
-        ball = [sum(1 << i for i in c) for r in range(half + 1) for c in combinations(range(64), r)]
-        around = F.from_json(F.lit(str([m - (1 << 64) if m >> 63 else m for m in ball])), "array<long>")
-        points = hot.select("fp", F.explode(around).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("point"))
-        least = staged(points.groupBy("point").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("point", "a"), "points")
-        near = near.union(points.join(least, "point").where("fp <> a").select("a", F.col("fp").alias("b")))
-    return staged(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    return lists.select("members", "used").mapInArrow(run, "a long, b long")
+
+
+def _split(hot: DataFrame) -> DataFrame:
+    """Postings -> theirs by every further position with one of its bits left out."""
+    part = lambda p, j: F.struct((F.col("used").bitwiseOR(F.lit(1 << p))).cast("int").alias("used"), F.xxhash64("bytes", F.lit(8 * p + j), F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255 ^ 1 << j))).alias("bytes"))
+    each = [F.when(F.col("used").bitwiseAND(F.lit(1 << p)) == 0, F.array(*(part(p, j) for j in range(8)))).otherwise(F.array().cast("array<struct<used:int,bytes:bigint>>")) for p in range(8)]
+    return hot.select("fp", F.explode(F.concat(*each)).alias("x")).select("x.used", "x.bytes", "fp")
+
+
+def links(distinct: DataFrame, bits: int = BITS, most: int = MOST) -> DataFrame:
+    """a, b: links among different fingerprints fp that connect just what all links within `bits` bits connect."""
+    sets = list(combinations(range(8), 8 - bits))
+    masks = [sum(0xFF << 8 * p for p in c) for c in sets]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    listed = F.explode(F.array(*(F.struct(F.lit(sum(1 << p for p in c)).alias("used"), F.col("fp").bitwiseAND(F.lit(m)).alias("bytes")) for c, m in zip(sets, signed, strict=True))))
+    # A fingerprint becomes many postings: deal them out first, or few tasks would hold them all.
+    spread = distinct.select("fp").repartition(shuffle_partitions(distinct.sparkSession), "fp")
+    posted = spread.select("fp", listed.alias("x")).select("x.used", "x.bytes", "fp")
+    near, left = [], bits
+    while True:
+        lists = staged(posted.groupBy("used", "bytes").agg(F.count("*").alias("n")).where("n > 1"), "lists")
+        whole = bits // left > 1  # no position is sure to differ in one bit at most: what is left is bounded
+        # The lists grow with the input, so they are never broadcast.
+        members = lambda some: posted.join(some.hint("merge"), ["used", "bytes"])  # noqa: B023, E731
+        short = members(lists if whole else lists.where(F.col("n") <= most)).groupBy("used", "bytes").agg(F.collect_list("fp").alias("members"))
+        near.append(_forests(short, bits, left == bits))
+        if whole or lists.where(F.col("n") > most).isEmpty():
+            break
+        posted, left = _split(staged(members(lists.where(F.col("n") > most)), "hot")), left - 1
+    every = near[0]
+    for more in near[1:]:
+        every = every.union(more)
+    return staged(every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
 
 
 def _named(found: DataFrame, bits: int, most: int) -> DataFrame:
@@ -142,11 +193,113 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, m
     return found.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, most: int = MOST) -> DataFrame:
-    """The first row of each group of near-duplicates, by doc_id and text hash, with all its columns."""
-    named = _named(staged(fingerprints(docs, shingle), "fingerprints"), bits, most)
-    first = staged(named.select(F.col("component_id").alias("__doc"), F.col("text_hash").alias("__hash")).distinct(), "firsts")
-    held = docs.withColumns({"__d": F.col("doc_id").cast("long"), "__h": F.xxhash64("text")})
-    held = held.join(first, F.col("__d").eqNullSafe(F.col("__doc")) & (F.col("__h") == F.col("__hash")))
-    held = held.withColumn("__n", F.row_number().over(Window.partitionBy("__d", "__h").orderBy(F.lit(0))))
-    return held.where("__n = 1").select(docs.columns)
+def _triples(n: int = KEYS, positions: int = 8 * WIDE) -> list[tuple[int, int, int]]:
+    """Triples of byte positions, spread by a fixed rule."""
+    out: dict[tuple[int, int, int], None] = {}
+    step = 1
+    while len(out) < n:
+        a = len(out) % positions
+        b, c = (a + step) % positions, (a + 3 * step + 1 + step // positions) % positions
+        if len({a, b, c}) == 3:
+            out.setdefault(tuple(sorted((a, b, c))))
+        step += 1
+    return list(out)
+
+
+def candidate_pairs(distinct: DataFrame, most: int = MOST) -> DataFrame:
+    """id and WIDE longs of fingerprint -> a, b (ids): of each list, every member with its nearest ones, none below the tally of its list."""
+    names = ["fp", *(f"fp{k}" for k in range(1, WIDE))]
+    spread = distinct.select("id", *names).repartition(shuffle_partitions(distinct.sparkSession), "id")
+    triples = np.array(_triples())
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2048):
+                part = batch.slice(lo, 2048)
+                codes = np.stack([c.to_numpy() for c in part.columns[1:]], 1).view(np.uint8).astype(np.int32)
+                keys = codes[:, triples[:, 0]] | codes[:, triples[:, 1]] << 8 | codes[:, triples[:, 2]] << 16
+                ids = np.repeat(part.column(0).to_numpy(), len(triples))
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(len(triples), dtype=np.int16), len(codes))), pa.array(keys.ravel()), pa.array(ids)], ["k", "bytes", "id"])
+
+    posted = spread.mapInArrow(post, "k short, bytes int, id long")
+    counted = staged(posted.groupBy("k", "bytes").agg(F.count("*").alias("n")).where("n > 1"), "lists")
+    held = staged(posted.join(counted.hint("merge"), ["k", "bytes"]), "postings").join(distinct.select("id", *names).hint("merge"), "id")
+    # Long lists are dealt into blocks, differently for every triple.
+    block = F.when(F.col("n") > most, F.pmod(F.xxhash64("k", "id"), F.ceil(F.col("n") / most))).otherwise(F.lit(0).cast("long"))
+    lists = held.withColumn("block", block).groupBy("k", "bytes", "block").agg(F.collect_list(F.struct("id", *names)).alias("members"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: set[tuple[int, int]] = set()
+            for m in batch.column(0):
+                rows = m.values
+                ids = rows.field(0).to_numpy()
+                codes = np.stack([rows.field(1 + k).to_numpy().view(np.uint64) for k in range(WIDE)], 1)
+                order = np.argsort(ids)
+                ids, codes = ids[order], codes[order]
+                for k in range(1, len(ids)):
+                    apart = np.bitwise_count(codes[:k] ^ codes[k]).sum(1, dtype=np.int64)
+                    near = np.flatnonzero(apart <= FAR)
+                    if len(near) > NEAREST:
+                        near = near[np.argsort(apart[near], kind="stable")[:NEAREST]]
+                    found.update((int(ids[j]), int(ids[k])) for j in near)
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return staged(lists.select("members").mapInArrow(run, "a long, b long").distinct(), "candidates")
+
+
+def jaccard(a: str | None, b: str | None, shingle: int = WORDS) -> float:
+    """Similarity of the sets of shingles; 1 for two texts without words."""
+    x, y = np.unique(shingles(a, shingle)), np.unique(shingles(b, shingle))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
+
+
+def similar_pairs(docs: DataFrame, distinct: DataFrame, alike: float = ALIKE) -> DataFrame:
+    """a, b (ids): candidates whose shingle sets are at least `alike`."""
+    pairs = candidate_pairs(distinct)
+    needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    first = distinct.join(needed, "id", "left_semi").select("id", F.col("first.doc_id").alias("d"), F.col("first.text_hash").alias("h"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    texts = texts.join(first.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))).select("id", "text")
+    texts = staged(texts.dropDuplicates(["id"]), "texts")
+    side = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
+    held = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").select("a", "b", "text_a", "text_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike_ = [jaccard(x, y) >= alike for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(alike_, pa.bool_()))
+
+    return staged(held.mapInArrow(run, "a long, b long"), "alike")
+
+
+def _groups(docs: DataFrame, alike: float) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of all rows; and per different fingerprint the first row (doc_id, text_hash) of its group, as `first`."""
+    names = ["fp", *(f"fp{k}" for k in range(1, WIDE))]
+    found = staged(fingerprints(docs, WORDS, WIDE), "fingerprints")
+    distinct = found.groupBy(*names).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first"))
+    distinct = staged(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct")
+    parts = staged(connected_components(similar_pairs(docs, distinct, alike), "a", "b"), "parts")
+    rooted = distinct.join(parts.withColumnRenamed("node", "id").hint("merge"), "id", "left").select(*names, "first", F.coalesce("component", "id").alias("root"))
+    rooted = staged(rooted, "rooted")
+    firsts = staged(rooted.groupBy("root").agg(F.min("first").alias("first")), "firsts")
+    return found, rooted.select(*names, "root").join(firsts.hint("merge"), "root")
+
+
+def similar(docs: DataFrame, alike: float = ALIKE) -> DataFrame:
+    """doc_id, text_hash, group_id: the first doc_id of each row's group of texts alike in their five-word shingles."""
+    found, groups = _groups(docs, alike)
+    names = ["fp", *(f"fp{k}" for k in range(1, WIDE))]
+    return found.join(groups.select(*names, F.col("first.doc_id").alias("group_id")), names).select("doc_id", "text_hash", "group_id")
+
+
+def keep_first(docs: DataFrame, alike: float = ALIKE) -> DataFrame:
+    """The first row of each group of similar texts, by doc_id and text hash, with all its columns; of equal rows that with the least columns."""
+    _, groups = _groups(docs, alike)
+    first = staged(groups.select(F.col("first.doc_id").alias("d"), F.col("first.text_hash").alias("h")).distinct(), "kept")
+    held = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("hash"))
+    held = held.join(first.hint("merge"), F.col("doc").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h")))
+    order = [F.col("row")[c] for c in sorted(docs.columns)]
+    held = held.withColumn("nth", F.row_number().over(Window.partitionBy("doc", "hash").orderBy(*order)))
+    return held.where("nth = 1").select("row.*")

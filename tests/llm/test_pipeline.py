@@ -37,16 +37,16 @@ def without_later_runs(docs):
     return out
 
 
-def fingerprint(text):
-    w = (text or "").encode().lower().split()
-    h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 4]), 42) for i in range(max(1, len(w) - 3))] if w else []
-    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+def grams(text):
+    w = words((text or "").lower())
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
 def one_per_group(docs):
-    docs, prints, done, kept = sorted(docs), {}, set(), []
+    docs, sets, done, kept = sorted(docs), {}, set(), []
     for doc, text in docs:
-        prints[doc] = fingerprint(text)
+        sets[doc] = grams(text)
+    alike = lambda x, y: len(x & y) >= 0.8 * len(x | y)
     for doc, text in docs:
         if doc in done:
             continue
@@ -55,7 +55,7 @@ def one_per_group(docs):
         while queue:
             x = queue.pop()
             done.add(x)
-            queue += [y for y in prints if y not in done and (prints[x] ^ prints[y]).bit_count() <= 4]
+            queue += [y for y in sets if y not in done and alike(sets[x], sets[y])]
     return kept
 
 

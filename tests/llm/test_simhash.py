@@ -59,7 +59,7 @@ def test_chains_and_balls(spark):
             x ^= 1 << r.randrange(64)
         codes.add(x)
     signed = [(c - (1 << 64) if c >> 63 else c,) for c in codes]
-    for most in (4096, 3):
+    for most in (4096, 12, 3):
         pairs = simhash.links(spark.createDataFrame(signed, "fp long"), most=most).collect()
         root = {c[0]: c[0] for c in signed}
 
@@ -89,3 +89,41 @@ def test_chains_and_balls(spark):
 
 def test_empty(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_similar_texts(spark):
+    r = random.Random(11)
+    vocabulary = [f"w{k}" for k in range(4000)]
+    rows, base = [], []
+    for k in range(250):
+        w = [r.choice(vocabulary) for _ in range(r.choice([60, 150, 400]))]
+        base.append((k, w))
+        rows.append((1000 + 10 * k, " ".join(w)))
+        for c in range(1, r.randrange(4)):
+            near = list(w)
+            for _ in range(r.randint(1, max(1, len(w) // 50))):
+                near[r.randrange(len(near))] = r.choice(vocabulary)
+            rows.append((1000 + 10 * k + c, " ".join(near)))
+    rows += [(1, None), (2, ""), (3, "one two"), (4, "one two"), (5, "One  TWO"), (None, "one two"), (1000, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"fp": F.lit("clash"), "id": F.lit(1), "row": F.lit("x")})
+    assert simhash.jaccard("a b c d e f", "a b c d e g") == 1 / 3 and simhash.jaccard(None, "") == 1
+    sets = [set(simhash.shingles(t, 5).tolist()) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    alike = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    for i, j in alike:
+        root[max(find(i), find(j))] = min(find(i), find(j))
+    got = {}
+    for x in simhash.similar(docs).collect():
+        got.setdefault(x.doc_id, set()).add(x.group_id)
+    same = lambda i, j: got[rows[i][0]] & got[rows[j][0]]
+    assert sum(bool(same(i, j)) for i, j in alike) >= 0.95 * len(alike) and len(alike) > 200
+    assert all(find(i) == find(j) for i in range(len(rows)) for j in range(i) if same(i, j))
+    kept = simhash.keep_first(docs).collect()
+    assert len(kept) == len({g for s in got.values() for g in s}) and kept[0].fp == "clash"
+    assert simhash.keep_first(docs.where("false")).count() == 0
