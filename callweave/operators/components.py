@@ -8,22 +8,14 @@ from pyspark.sql import functions as F
 from callweave.functions.staging import staged
 
 
-def _star(edges: DataFrame) -> DataFrame:
-    """(u, v) -> the same with m, the least of u and its neighbours.
+def _least(edges: DataFrame, name: str) -> DataFrame:
+    """(u, v), both ways or not -> per u: m, the least of u and its neighbours; open, whether u keeps the graph from being a star forest.
 
-    The minima are staged so that both join sides are plain scans behind an
-    exchange, which lets adaptive execution split a hub's rows over tasks.
+    In a star forest no node has two lesser neighbours, or lesser and greater ones.
+    All of this is one grouping with partial sums, so a hub's edges never meet.
     """
-    least = staged(edges.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m")), "star")
-    return edges.join(least, "u")
-
-
-def _stars(edges: DataFrame) -> bool:
-    """Every node has one lesser neighbour at most, which has none: the components are found."""
-    twice = edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1")
-    # Both sides are made distinct before the shuffle, so a hub's many edges don't meet in one task.
-    roots, leaves = edges.select("v").distinct(), edges.select(F.col("u").alias("v")).distinct()
-    return twice.isEmpty() and roots.join(leaves.hint("merge"), "v", "left_semi").isEmpty()
+    lesser, greater = F.count_if(F.col("v") < F.col("u")), F.count_if(F.col("v") > F.col("u"))
+    return staged(edges.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"), ((lesser > 1) | ((lesser > 0) & (greater > 0))).alias("open")), name)
 
 
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
@@ -39,11 +31,13 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     given = staged(given.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     now = given
     for _ in range(max_rounds):
-        if _stars(now):
-            break
         both = now.union(now.select("v", "u"))
-        large = staged(_star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        small = _star(large)
+        least = _least(both, "star")
+        if least.where("open").isEmpty():
+            break
+        # The minima are staged, so both join sides are plain scans behind an exchange, which adaptive execution can split.
+        large = staged(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        small = large.join(_least(large, "star"), "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
         now = staged(small.where("u <> v").distinct(), "small")
     else:
