@@ -17,11 +17,11 @@ every such position with every one of its bits left out. Parts that are too long
 split again while that holds; what is then left has a bound of 2**18 members. Every
 list, long or short, is read in the same way.
 
-`similar` is for documents alike in their shingles rather than in 64 bits: 32 bytes
+`similar` is for documents alike in their shingles rather than in 64 bits: 64 bytes
 of fingerprint and an index over three positions at a time (`KEYS` triples), so that
 a pair in a list has a tally of three at least. Each member is compared with its
 nearest ones of the list by exact similarity of their shingle sets. Pairs at 0.8
-differ in some 39 bits of 256, and a triple meets them with a chance of 0.02, so the
+differ in some 77 bits of 512, and a triple meets them with a chance of 0.02, so the
 recall is high but not certain; it is measured in the README.
 
 Null texts have no words; a fingerprint without words is zero and is linked
@@ -51,9 +51,9 @@ SEED = 42
 #: Members of a list that are compared in one row; longer lists are split.
 MOST = 4096
 #: For `similar`: shingle, similarity, longs of a fingerprint, triples of byte positions, nearest members that a member is compared with.
-WORDS, ALIKE, WIDE, KEYS, NEAREST = 5, 0.8, 4, 256, 3
-#: Differing bits of 256 beyond which a pair can't be alike: the mean at a similarity of 0.8 is 39, with a deviation of 6.
-FAR = 64
+WORDS, ALIKE, WIDE, KEYS, NEAREST = 5, 0.8, 8, 256, 3
+#: Differing bits of 512 beyond which no pair is compared: at a similarity of 0.8 the mean is 77, with a deviation of 8.
+FAR = 128
 
 
 def shingles(text: str | None, shingle: int) -> np.ndarray:
@@ -69,17 +69,17 @@ def shingles(text: str | None, shingle: int) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)), np.uint64, len(words) - shingle + 1)
 
 
-def majority(h: np.ndarray) -> int:
-    """A bit is set if it is in over half of the hashes, repeats included."""
-    counts = np.zeros(64, np.int64)
-    for lo in range(0, len(h), 4096):
-        part = h[lo : lo + 4096].astype("<u8", copy=False)
-        counts += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
-    return int.from_bytes(np.packbits(2 * counts > len(h), bitorder="little").tobytes(), "little")
+def majority(h: np.ndarray, wide: int = 1) -> np.ndarray:
+    """A bit is set if it is in over half of the hashes, repeats included; further longs come from further hashes of these."""
+    every = np.stack([mix(h, k) if k else h for k in range(wide)], 1).astype("<u8", copy=False)
+    counts = np.zeros(64 * wide, np.int64)
+    for lo in range(0, len(h), 2048):
+        counts += np.unpackbits(every[lo : lo + 2048].view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint16)
+    return np.packbits(2 * counts > len(h), bitorder="little").view("<u8").astype(np.uint64)
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    return majority(shingles(text, shingle))
+    return int(majority(shingles(text, shingle))[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, wide: int = 1) -> DataFrame:
@@ -94,7 +94,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, wide: int = 1) -> Data
                 for row, text in enumerate(part.column(1).to_pylist()):
                     h = shingles(text, shingle)
                     h = np.unique(h) if wide > 1 else h
-                    found[row] = [majority(mix(h, k) if k else h) for k in range(wide)]
+                    found[row] = majority(h, wide)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *(as_long(found[:, k].copy()) for k in range(wide))], ["doc_id", "text_hash", *names])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, " + ", ".join(f"{n} long" for n in names))
