@@ -90,30 +90,36 @@ class Features(dict):
 
 
 class Lexicon:
-    """The features that passed: name, and the folds (places in TRAINING) in whose own counts each passes; seed words follow."""
+    """The features that passed: name, and the folds (places in TRAINING) in whose own counts each passes; the seed lists stand behind them."""
 
     def __init__(self, mined: list[tuple[str, list[int]]]):
         self.names = [n for n, _ in mined]
-        self.place = {n: k for k, n in enumerate(self.names)}
         self.folds = [tuple(f) for _, f in mined]
-        self.seeds_in = [{w: 1 for w in words.split()} for words in SEEDS.values()]
+        marks = [f"{n or ''}=" for n in KINDS]
+        self.kinds = [next(j for j, m in enumerate(marks) if n.startswith(m)) for n in self.names]
+        self.places: list[dict[str, int]] = [{} for _ in KINDS]
+        for k, (n, j) in enumerate(zip(self.names, self.kinds, strict=True)):
+            self.places[j][n[len(marks[j]) :]] = k
+        self.seeds: dict[str, list[int]] = {}
+        for k, words in enumerate(SEEDS.values()):
+            for w in words.split():
+                self.seeds.setdefault(w, []).append(len(self.names) + k)
         self.size = len(self.names) + len(SEEDS)
 
 
 class Scores(dict):
-    """Raw word -> places of its features in the lexicon; the seed lists stand behind the mined features."""
+    """Raw word -> places of its features in the lexicon."""
 
     def __init__(self, lexicon: Lexicon):
         super().__init__()
-        self.lexicon, self.features = lexicon, Features()
+        self.lexicon = lexicon
 
     def __missing__(self, raw: str) -> tuple[int, ...]:
         if len(self) >= 500_000:
             self.clear()
-        held, word = self.lexicon, raw.strip(_TRIM).lower()
-        mined = [held.place[f] for f in self.features[raw] if f in held.place]
-        self[raw] = got = (*mined, *(len(held.names) + k for k, words in enumerate(held.seeds_in) if word in words))
-        self.features.clear()
+        word = raw.strip(_TRIM).lower()
+        found = [places.get(word[:n]) for n, places in zip(KINDS, self.lexicon.places, strict=True) if len(word) >= (n or 1)]
+        self[raw] = got = (*(k for k in found if k is not None), *self.lexicon.seeds.get(word, ()))
         return got
 
     def of(self, text: str | None) -> list[int]:
@@ -181,7 +187,7 @@ def votes_of(text: str | None, hits: list[int], lexicon: Lexicon, fold: int) ->
     held: dict[tuple[int, int], int] = {}
     for k in hits:
         if k < n:
-            kind = next(j for j, letters in enumerate(KINDS) if lexicon.names[k].startswith(f"{letters or ''}="))
+            kind = lexicon.kinds[k]
             for f in lexicon.folds[k]:
                 held[kind, TRAINING[f]] = held.get((kind, TRAINING[f]), 0) + 1
     # Chance hits grow with a text, so a vote for toxic takes two hits and one for every hundred different words.
