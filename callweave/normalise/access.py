@@ -83,7 +83,7 @@ def s1ap(frames: DataFrame) -> DataFrame:
     code, outcome = F.col("code"), F.col("outcome")
     label = F.coalesce(*(F.when((code == c) & (outcome == o), n) for (c, o), n in S1AP_NAMES.items()), F.concat(named(code, S1AP, "ProcedureCode-"), outcome))
     initiator = F.when((code == 18) & (outcome == ""), "ran").when((code == 23) & (outcome == ""), "core")
-    detail = details(rrc_establishment_cause=text("s1ap_s1ap_RRC_Establishment_Cause"), handover_type=text("s1ap_s1ap_HandoverType"), tac=text("s1ap_s1ap_tAC"), cell_id=text("s1ap_s1ap_CellIdentity"), release_initiator=initiator)
+    detail = details(procedure_code=code, outcome=F.nullif(outcome, F.lit("")), rrc_establishment_cause=text("s1ap_s1ap_RRC_Establishment_Cause"), handover_type=text("s1ap_s1ap_HandoverType"), tac=text("s1ap_s1ap_tAC"), cell_id=text("s1ap_s1ap_CellIdentity"), release_initiator=initiator)
     return messages(rows, "s1ap", label, F.col("__keys"), outcome == "Failure", detail, _releases("__keys", ("enb_ue_s1ap_id", "mme_ue_s1ap_id"), (code == 23) & (outcome == "Response")), _cause("s1ap"))
 
 

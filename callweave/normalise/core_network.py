@@ -28,8 +28,8 @@ GTPV2 = {
     149: "Detach Notification", 150: "Detach Acknowledge", 162: "Suspend Notification", 163: "Suspend Acknowledge", 164: "Resume Notification", 165: "Resume Acknowledge", 170: "Release Access Bearers Request",
     171: "Release Access Bearers Response", 176: "Downlink Data Notification", 177: "Downlink Data Notification Acknowledge", 211: "Modify Access Bearers Request", 212: "Modify Access Bearers Response",
 }
-#: F-TEID interface types of the user plane (3GPP TS 29.274): eNodeB, SGW and PGW GTP-U.
-USER_PLANE = (0, 1, 4, 5, 15, 19, 20, 31)
+# F-TEID interface types of the user plane (3GPP TS 29.274, 8.22).
+USER_PLANE = (0, 1, 2, 3, 4, 5, 15, 16, 19, 20, 21, 22, 23, 28, 29, 31, 33, 34, 37, 38, 39, 41)
 # Diameter applications and commands (IANA).
 APPLICATIONS = {0: "Base", 16777216: "Cx/Dx", 16777217: "Sh", 16777236: "Rx", 16777238: "Gx", 16777251: "S6a/S6d", 16777265: "SWx", 16777272: "S6b"}
 COMMANDS = {
@@ -39,6 +39,7 @@ COMMANDS = {
     320: "3GPP-Delete-Subscriber-Data", 321: "3GPP-Purge-UE", 322: "3GPP-Reset", 323: "3GPP-Notify",
 }
 VENDOR_3GPP, REDIRECT = 10415, 3006
+VENDOR_ID = 266
 
 
 def pfcp(frames: DataFrame) -> DataFrame:
@@ -69,9 +70,16 @@ def gtpv2(frames: DataFrame) -> DataFrame:
     return messages(rows, "gtpv2", label, keys, F.col("c") >= 64, details(seqno=F.col("n"), dnn=text("gtpv2_gtpv2_apn"), ebi=text("gtpv2_gtpv2_ebi")), F.when(F.col("answer") & F.col("n").isNotNull(), F.array(exchange)), cause("gtpv2", F.col("c")))
 
 
+def _grouped(group: Column, code: int) -> Column:
+    """The 32-bit value of an AVP without a vendor inside a group given as hex digits; its AVPs are eight bytes of head and four of value each."""
+    avp = F.regexp_extract(group, f"^(?:[0-9a-f]{{24}})*?{code:08x}[0-9a-f]{{2}}00000c([0-9a-f]{{8}})", 1)
+    return F.conv(F.nullif(avp, F.lit("")), 16, 10).cast("long")
+
+
 def diameter(frames: DataFrame) -> DataFrame:
     f = lambda n: text(f"diameter_diameter_{n}")
-    rows = blocks(frames, "diameter").withColumns({"code": integer_of(f("cmd_code")), "base": integer_of(f("Result-Code")), "special": integer_of(f("Experimental-Result-Code")), "vendor": integer_of(f("Vendor-Id")), "redirect": F.array_join(texts("diameter_diameter_Redirect-Host"), ",")}).where("code is not null")
+    group = F.lower(F.regexp_replace(F.coalesce(f("Experimental-Result"), F.lit("")), "[^0-9A-Fa-f]", ""))
+    rows = blocks(frames, "diameter").withColumns({"code": integer_of(f("cmd_code")), "base": integer_of(f("Result-Code")), "special": integer_of(f("Experimental-Result-Code")), "vendor": F.coalesce(_grouped(group, VENDOR_ID), integer_of(f("Vendor-Id"))), "redirect": F.array_join(texts("diameter_diameter_Redirect-Host"), ",")}).where("code is not null")
     request = F.lower(f("flags_request")).isin("true", "1")
     result = F.coalesce("base", "special")
     table = F.when(F.col("base").isNull() & (F.col("vendor") == VENDOR_3GPP), "diameter_3gpp").otherwise("diameter_base")

@@ -41,7 +41,8 @@ def bind_quotes(quotes: DataFrame, sightings: DataFrame, max_age: float = QUOTE_
     by = ["capture_id", "kind", "value"]
     rows = quotes.select(*by, "frame", "ts", "looks", F.lit(None).cast("boolean").alias("releases"), F.lit(True).alias("q")).unionByName(sightings.select(*by, "frame", "ts", F.lit(None).cast("string").alias("looks"), "releases", F.lit(False).alias("q")))
     before = Window.partitionBy(*by).orderBy("frame").rangeBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy(*by).orderBy("frame").rangeBetween(1, Window.unboundedFollowing)
+    # Read from the end, so that each frame grows by a row instead of being taken anew.
+    after = Window.partitionBy(*by).orderBy(-F.col("frame")).rangeBetween(Window.unboundedPreceding, -1)
     seen = F.when(~F.col("q"), F.struct("frame", "ts", "releases"))
     got = rows.withColumns({"p": F.max(seen).over(before), "n": F.min(seen).over(after)}).where("q")
     fresh = ~F.col("p.releases") & ((F.col("looks") == "forwarded") | (F.col("ts") - F.col("p.ts") <= max_age))

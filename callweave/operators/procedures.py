@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -42,7 +44,8 @@ OPENERS = (
     ("pdn-connection-release", "Delete Session Request", True, ("Delete Session Response",)),
 )
 NETWORK_TRIGGERS = ("Downlink Data Notification", "Paging")
-CANCELS = ("HandoverCancel", "HandoverCancelResponse", "Relocation Cancel Request", "Relocation Cancel Response")
+#: What a cancelling message's own label begins with.
+CANCELS = ("HandoverCancel", "Relocation Cancel")
 RELEASES = ("ue-context-release",)
 UNFINISHED_ABSORB = ("tau", "attach", "registration")
 
@@ -73,7 +76,7 @@ class Segmenter:
         return self.number, self.kind, self.success, self.last, self.failed, self.outcome
 
     def _seen(self, label: str) -> bool:
-        return any(s in label for s in self.success) or any(c in label for c in CANCELS)
+        return any(s in label for s in self.success) or own_labels(label).startswith(CANCELS)
 
     def step(self, ts: float, label: str, failed: bool) -> tuple[int, str] | None:
         """(segment, kind) that the message belongs to, or None."""
@@ -82,12 +85,11 @@ class Segmenter:
         n = _opens(label, self.openers)
         if n is not None:
             kind, _, _, success = self.openers[n]
-            cancel = any(c in label for c in CANCELS)
+            cancel = own_labels(label).startswith(CANCELS)
+            # A repeated opener belongs to the open segment, which keeps the rule that opened it.
             same = self.kind == kind and not (self.failed or (self.outcome and not cancel))
             absorbed = kind == "context-transfer" and self.kind in UNFINISHED_ABSORB and not self.outcome
-            if same:
-                self.success = tuple(dict.fromkeys(self.success + success))
-            elif not absorbed:
+            if not same and not absorbed:
                 self.number, self.kind, self.success, self.failed, self.outcome = self.number + 1, kind, success, False, False
         if not self.kind:
             return None
@@ -99,18 +101,27 @@ def segment_procedures(messages: DataFrame, quiet: float = QUIET_GAP, openers=OP
     """capture_id, flow_id, frame, seq, segment, kind (null: unassigned), SIP left out.
 
     Which message closes a segment depends on what the segment holds, so flows
-    are replayed in order; the null flow is dealt by message and stays unassigned.
+    are replayed in order: rows are dealt and sorted by flow and time, and one pass
+    over a partition's batches keeps the state of the current flow alone, so a long
+    flow costs time but no memory. The null flow stays unassigned where it is.
     """
     rows = messages.where("protocol <> 'sip'").select("capture_id", "flow_id", "frame", "seq", "ts", "label", "is_failure")
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["ts", "frame", "seq"])
-        machine = Segmenter(quiet, openers)
-        got = [machine.step(t, x, f) for t, x, f in zip(g["ts"], g["label"], g["is_failure"], strict=True)]
-        return g[["capture_id", "flow_id", "frame", "seq"]].assign(segment=[x[0] if x else None for x in got], kind=[x[1] if x else None for x in got])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flow, machine = None, Segmenter(quiet, openers)
+        for batch in batches:
+            capture, flows, ts, label, failed = (batch.column(n).to_pylist() for n in ("capture_id", "flow_id", "ts", "label", "is_failure"))
+            got = []
+            for c, f, t, x, bad in zip(capture, flows, ts, label, failed, strict=True):
+                if (c, f) != flow:
+                    flow, machine = (c, f), Segmenter(quiet, openers)
+                got.append(machine.step(t, x, bad))
+            made = [pa.array([g and g[k] for g in got], kind) for k, kind in ((0, pa.int64()), (1, pa.string()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("capture_id", "flow_id", "frame", "seq")), *made], ["capture_id", "flow_id", "frame", "seq", "segment", "kind"])
 
     schema = "capture_id string, flow_id string, frame long, seq int, segment long, kind string"
-    made = rows.where("flow_id is not null").groupBy("capture_id", "flow_id").applyInPandas(run, schema)
+    dealt = rows.where("flow_id is not null").repartition("capture_id", "flow_id").sortWithinPartitions("capture_id", "flow_id", "ts", "frame", "seq")
+    made = dealt.mapInArrow(run, schema)
     none = rows.where("flow_id is null").select("capture_id", "flow_id", "frame", "seq", F.lit(None).cast("long").alias("segment"), F.lit(None).cast("string").alias("kind"))
     return made.unionByName(none)
 
@@ -123,7 +134,8 @@ def finish(messages: DataFrame, segments: DataFrame, openers=OPENERS) -> DataFra
     rows = messages.join(segments.where("segment is not null").drop("flow_id"), list(ROW))
     success = F.coalesce(*(F.when(F.col("kind") == k, F.exists(F.array(*map(F.lit, sorted({s for kk, _, _, ss in openers if kk == k for s in ss}))), lambda s: F.col("label").contains(s))) for k in sorted({o[0] for o in openers})), F.lit(False))
     place = F.struct("ts", "frame", "seq")
-    cancel = F.exists(F.array(*map(F.lit, CANCELS)), lambda c: F.col("label").contains(c))
+    own = F.split("label", r" \+ ")[0]
+    cancel = own.startswith(CANCELS[0]) | own.startswith(CANCELS[1])
     reason = F.coalesce("cause_name", "label") if "cause_name" in messages.columns else F.coalesce(F.concat_ws(" ", "cause.table", "cause.value"), "label")
     failed = F.col("is_failure")
     only = lambda name: F.when(F.min(detail(name)) == F.max(detail(name)), F.min(detail(name)))

@@ -30,16 +30,16 @@ def with_causes(messages: DataFrame, causes: DataFrame) -> DataFrame:
 
 
 def failures(explained: DataFrame) -> DataFrame:
-    """Failure rows with their cause, in the order frame, protocol, label."""
-    return explained.where("is_failure").select("capture_id", "frame", "seq", "protocol", "label", F.col("cause.table").alias("cause_table"), F.col("cause.value").alias("cause_value"), "cause_name").orderBy("capture_id", "frame", "protocol", "label", "seq")
+    """Failure rows with their cause; sinks order them by frame, protocol, label."""
+    return explained.where("is_failure").select("capture_id", "frame", "seq", "protocol", "label", F.col("cause.table").alias("cause_table"), F.col("cause.value").alias("cause_value"), "cause_name")
 
 
 def cause_rollup(explained: DataFrame, approximate: bool = False) -> DataFrame:
-    """Per capture and cause: failures, first frame, subscribers; most first. Frames stay rows (see failures), not arrays."""
+    """Per capture and cause: failures, first frame, subscribers. Frames stay rows (see failures), not arrays."""
     distinct = F.approx_count_distinct if approximate else F.count_distinct
     held = explained.where("is_failure").withColumn("supi", F.explode_outer(supis()))
     counts = held.groupBy("capture_id", "cause_name").agg(F.count_distinct("frame", "seq").alias("n"), F.min("frame").alias("first_frame"), distinct("supi").alias("subscribers"))
-    return counts.orderBy("capture_id", F.desc("n"), "cause_name")
+    return counts
 
 
 def blast_radius(messages: DataFrame, dimensions: dict[str, Column], approximate: bool = False) -> DataFrame:
@@ -51,9 +51,16 @@ def blast_radius(messages: DataFrame, dimensions: dict[str, Column], approximate
 
 
 def identities(messages: DataFrame) -> DataFrame:
-    """Per key: messages, flows, failures of those messages, and its scope."""
-    keys = messages.select("capture_id", "frame", "seq", "flow_id", "is_failure", F.explode(F.array_distinct("keys")).alias("k")).select("*", "k.kind", "k.value")
-    return keys.groupBy("capture_id", "kind", "value").agg(F.count("*").alias("messages"), F.count_distinct("flow_id").alias("flows"), F.count_if("is_failure").alias("failures")).withColumn("scope", F.when(F.col("value").contains("/"), F.substring_index("value", "/", 1)))
+    """Per key of a flow: messages, flows and failures of all flows that hold it, SUPIs that share one of them, and its scope."""
+    rows = messages.where("flow_id is not null")
+    totals = rows.groupBy("capture_id", "flow_id").agg(F.count("*").alias("messages"), F.count_if("is_failure").alias("failures"))
+    keys = rows.select("capture_id", "flow_id", F.explode("keys").alias("k")).select("capture_id", "flow_id", "k.kind", "k.value").distinct()
+    counts = keys.join(totals, ["capture_id", "flow_id"]).groupBy("capture_id", "kind", "value").agg(F.sum("messages").alias("messages"), F.count("*").alias("flows"), F.sum("failures").alias("failures"))
+    # A flow has few SUPIs, but a key may be in many flows: distinct pairs, then counts.
+    people = keys.where("kind = 'supi'").select("capture_id", "flow_id", F.col("value").alias("supi"))
+    shared = keys.join(people, ["capture_id", "flow_id"]).groupBy("capture_id", "kind", "value").agg(F.count_distinct("supi").alias("supis"))
+    scope = F.when(F.col("value").contains("/"), F.substring_index("value", "/", 1))
+    return counts.join(shared, ["capture_id", "kind", "value"], "left").fillna(0, ["supis"]).withColumn("scope", scope)
 
 
 def frame_owners(messages: DataFrame) -> DataFrame:
@@ -84,12 +91,12 @@ def sessions(messages: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def subscribers(sessions_: DataFrame, groups: DataFrame) -> DataFrame:
-    """Per subscriber group: its sessions, messages and worst light; flows of no group share one orphan row, last."""
+    """Per subscriber group: its sessions, messages and worst light; flows of no group share one orphan row."""
     joined = sessions_.join(groups, ["capture_id", "flow_id"], "left")
     rank = F.try_element_at(F.create_map(*(F.lit(x) for kv in LIGHT_RANK.items() for x in kv)), F.col("light"))
     names = F.create_map(*(F.lit(x) for kv in LIGHT_RANK.items() for x in kv[::-1]))
     rolled = joined.groupBy("capture_id", "subscriber").agg(F.count("*").alias("sessions"), F.sum("messages").alias("messages"), F.sum("failures").alias("failures"), F.min("start").alias("start"), F.max("end").alias("end"), F.min(rank).alias("worst"))
-    return rolled.withColumn("light", names[F.col("worst")]).drop("worst").orderBy("capture_id", F.col("subscriber").isNull(), "start")
+    return rolled.withColumn("light", names[F.col("worst")]).drop("worst")
 
 
 def network_elements(messages: DataFrame) -> DataFrame:
@@ -104,15 +111,16 @@ def capture_facts(messages: DataFrame) -> DataFrame:
 
 
 def cause_cards(observed: DataFrame, all_rows: DataFrame) -> DataFrame:
-    """Per cause, else protocol and label: deduplicated failures, all frames, peers; most first."""
+    """Per cause, else protocol and label: deduplicated failures, all frames, peers, and its place in its capture, most first."""
     card = F.coalesce("cause_name", F.concat_ws(" ", "protocol", "label"))
     once = observed.where("is_failure").groupBy("capture_id", card.alias("card")).agg(F.count_distinct("frame").alias("n"))
     every = all_rows.where("is_failure").groupBy("capture_id", card.alias("card")).agg(F.count_distinct("frame").alias("frames"), F.min("frame").alias("first_frame"), F.count_distinct(F.array_sort(F.array("src.ip", "dst.ip"))).alias("peers"))
-    return once.join(every, ["capture_id", "card"]).orderBy("capture_id", F.desc("n"), "first_frame")
+    place = F.row_number().over(Window.partitionBy("capture_id").orderBy(F.desc("n"), "first_frame", "card"))
+    return once.join(every, ["capture_id", "card"]).withColumn("place", place)
 
 
 def scenario_breakdown(procedures: DataFrame) -> DataFrame:
-    """Per kind: outcomes, top cause, a sample frame (a failure's first); worst first."""
+    """Per kind: outcomes, top cause, a sample frame (a failure's first), and its place, worst first."""
     rows = procedures.groupBy("capture_id", "kind").agg(
         *(F.count_if(F.col("outcome") == o).alias(o) for o in ("success", "failure", "incomplete")),
         F.count("*").alias("total"),
@@ -120,7 +128,8 @@ def scenario_breakdown(procedures: DataFrame) -> DataFrame:
     )
     causes = procedures.where("cause is not null").groupBy("capture_id", "kind", "cause").count()
     top = causes.groupBy("capture_id", "kind").agg(F.min(F.struct((-F.col("count")).alias("n"), F.col("cause").alias("c")))["c"].alias("top_cause"))
-    return rows.join(top, ["capture_id", "kind"], "left").orderBy("capture_id", F.desc("failure"), F.desc("incomplete"), F.desc("total"), "kind")
+    place = F.row_number().over(Window.partitionBy("capture_id").orderBy(F.desc("failure"), F.desc("incomplete"), F.desc("total"), "kind"))
+    return rows.join(top, ["capture_id", "kind"], "left").withColumn("place", place)
 
 
 def subscriber_titles(messages: DataFrame) -> DataFrame:

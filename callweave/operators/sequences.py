@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from callweave.functions.scalars import is_nas
 from callweave.schema import IN_TIME
 
 SLOW_GAP, TAIL_SLACK, NAS_WINDOW, TOLERANCE = 1.0, 2.0, 30.0, 0.15
@@ -25,8 +26,13 @@ TIMERS = (
 )
 
 
+def alone() -> Column:
+    """Rows without a flow are dealt by themselves: the null flow is never one partition, and nothing is next to its rows."""
+    return F.when(F.col("flow_id").isNull(), F.struct("frame", "seq"))
+
+
 def in_flow(*more: str):
-    return Window.partitionBy(*FLOW, *more).orderBy(*IN_TIME)
+    return Window.partitionBy(*FLOW, alone(), *more).orderBy(*IN_TIME)
 
 
 def detail(name: str) -> Column:
@@ -60,15 +66,15 @@ def timer_hints(messages: DataFrame, timers=TIMERS, tolerance: float = TOLERANCE
 
 def runs(rows: DataFrame, by: list[str], gap: float, least: int = 2) -> DataFrame:
     """Islands: rows alike in `by` whose gap to the one before is at most `gap` seconds; runs of at least `least`."""
-    w = Window.partitionBy(*by).orderBy(*IN_TIME)
+    w = Window.partitionBy(*by, *([alone()] if "flow_id" in by else [])).orderBy(*IN_TIME)
     new = F.when(F.col("ts") - F.lag("ts").over(w) <= gap, 0).otherwise(1)
     held = rows.withColumn("__new", new).withColumn("run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     return held.groupBy(*by, "run").agg(F.count("*").alias("n"), F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"), F.round(F.max("ts") - F.min("ts"), 6).alias("span")).where(F.col("n") >= least)
 
 
 def nas_retransmissions(messages: DataFrame, window: float = NAS_WINDOW) -> DataFrame:
-    """Suspected: same direction, label and keys, chained by gaps of at most 30 s."""
-    rows = messages.withColumns({"src_ip": F.col("src.ip"), "dst_ip": F.col("dst.ip"), "key_set": F.to_json(F.array_sort(F.array_distinct("keys")))})
+    """Suspected: NAS messages of one direction, label and key set, chained by gaps of at most 30 s."""
+    rows = messages.where(is_nas(F.col("protocol"), F.col("detail"))).withColumns({"src_ip": F.col("src.ip"), "dst_ip": F.col("dst.ip"), "key_set": F.to_json(F.array_sort(F.array_distinct("keys")))})
     return runs(rows, [*FLOW, "src_ip", "dst_ip", "label", "key_set"], window)
 
 
@@ -76,7 +82,7 @@ def confirmed_retransmissions(messages: DataFrame, protocol: str, id_: str) -> D
     """Same direction, label and identifier twice or more (PFCP: seqno; Diameter: end-to-end-id)."""
     rows = messages.where(F.col("protocol") == protocol).withColumns({"src_ip": F.col("src.ip"), "dst_ip": F.col("dst.ip"), "id": detail(id_)})
     label = ["label"] if protocol == "pfcp" else []
-    flagged = F.max(F.coalesce(detail("retransmitted") == "true", F.lit(False))).alias("flagged")
+    flagged = F.max(F.coalesce(F.lower(detail("retransmitted")).isin("true", "1"), F.lit(False))).alias("flagged")
     return rows.where("id is not null").groupBy("capture_id", "src_ip", "dst_ip", *label, "id").agg(F.count("*").alias("n"), F.min("frame").alias("first_frame"), F.min("flow_id").alias("flow_id"), flagged).where("n > 1")
 
 
@@ -133,7 +139,7 @@ def match_sequences(failures: DataFrame, rules: DataFrame, segment: list[str]) -
 
 def truncate_ladder(messages: DataFrame, limit: int) -> DataFrame:
     """The first `limit` rows of each flow, with how many there are."""
-    w = Window.partitionBy(*FLOW)
+    w = Window.partitionBy(*FLOW, alone())
     return messages.withColumns({"shown": F.row_number().over(in_flow()), "total": F.count("*").over(w)}).where(F.col("shown") <= limit)
 
 
