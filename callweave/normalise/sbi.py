@@ -31,7 +31,7 @@ def sbi(frames: DataFrame) -> DataFrame:
     names, values = texts("http2_http2_header_name"), texts("http2_http2_header_value")
     target = F.filter(F.arrays_zip(names.alias("n"), values.alias("v")), lambda x: F.lower(x["n"]) == "3gpp-sbi-target-apiroot")
     member = lambda n: F.get(F.transform(F.filter("members", lambda m: m["name"] == n), lambda m: m["value"]), F.lit(0))
-    detail = details(path=path, service=F.nullif(F.regexp_extract(path, "^/([^/?]+)", 1), F.lit("")), user_agent=h("user_agent"), relay_target=host_of(F.get(target, F.lit(0))["v"]), declared_nf_type=F.when(F.col("method") == "PUT", member("nfType")), dnn=member("dnn"), pdu_session_id=member("pduSessionId"))
+    detail = details(path=path, service=F.nullif(F.regexp_extract(path, "^/([^/?]+)", 1), F.lit("")), user_agent=h("user_agent"), relay_target=host_of(F.get(target, F.lit(0))["v"]), declared_nf_type=F.when(F.col("method") == "PUT", member("nfType")), callback_uris=F.nullif(F.array_join(F.transform(F.filter("members", lambda m: F.lower(m["name"]).contains("uri") & m["value"].rlike("^https?://")), lambda m: m["value"]), " "), F.lit("")), dnn=member("dnn"), pdu_session_id=member("pduSessionId"))
     return messages(rows, "sbi", label, keys, status >= FAILURE, detail, quotes=_quotes())
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -40,9 +43,13 @@ def correlate(messages: DataFrame) -> DataFrame:
 
 
 def flow_order(flowed: DataFrame) -> DataFrame:
-    """Flows ordered by their first (ts, frame): capture_id, flow_id, place."""
+    """Flows ordered by their first (ts, frame): capture_id, flow_id, place. Ranges are sorted apart and offset by the counts before them."""
     first = flowed.where("flow_id is not null").groupBy("capture_id", "flow_id").agg(F.min(F.struct("ts", "frame")).alias("first"))
-    return first.withColumn("place", F.row_number().over(Window.partitionBy("capture_id").orderBy("first", "flow_id"))).drop("first")
+    dealt = staged(first.repartitionByRange("capture_id", "first", "flow_id").withColumn("part", F.spark_partition_id()), "flow_order")
+    counts = dealt.groupBy("capture_id", "part").agg(F.count("*").alias("n"))
+    before = counts.select("capture_id", "part", (F.sum("n").over(Window.partitionBy("capture_id").orderBy("part")) - F.col("n")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("capture_id", "part").orderBy("first", "flow_id")) + F.col("before")
+    return dealt.join(before, ["capture_id", "part"]).select("capture_id", "flow_id", place.cast("int").alias("place"))
 
 
 def supi_bridges(flowed: DataFrame) -> DataFrame:
@@ -64,48 +71,62 @@ def subscriber_groups(flowed: DataFrame) -> DataFrame:
     return edges.select("capture_id", "flow_id").distinct().join(parts, F.col("flow_id") == F.col("node")).select("capture_id", "flow_id", F.col("component").alias("subscriber"))
 
 
-def replay_episodes(rows: pd.DataFrame) -> pd.DataFrame:
-    """One component's messages in frame order: reusable keys become value@n after each observed release.
+class Episodes:
+    """The state of one component: episodes of its reusable keys, which of them meet, and which an anchor carried.
 
-    A release takes effect after its message and closes every key seen together
-    with the released one in this episode.
+    A message belongs to the episode before its own releases. The release of a
+    reusable key ends the episode of all that it met, directly or by others. An
+    anchor, such as a call, is not used again itself: its release ends the episode
+    of the reusable keys that its messages carried, and of no other.
     """
-    episode: dict[tuple, int] = {}
-    together: dict[tuple, set] = {}
-    out = []
-    for r in rows.sort_values(["frame", "ts", "seq"]).itertuples():
-        own = [tuple(k) if not isinstance(k, dict) else (k["kind"], k["value"]) for k in r.keys]
-        reusable = {k for k in own if k[0] in REUSABLE and k[0] not in SOLITARY}
-        for k in reusable:
-            together.setdefault(k, set()).update(reusable)
-        for a in list(reusable):
-            for b in list(together[a]):
-                together.setdefault(b, set()).update(reusable)
-        out.append([{"kind": k, "value": f"{v}@{episode[k, v] + 1}" if episode.get((k, v)) else v} for k, v in own])
-        for k in r.releases:
-            k = tuple(k) if not isinstance(k, dict) else (k["kind"], k["value"])
-            closed, queue = set(), [k]
-            while queue:
-                x = queue.pop()
-                if x not in closed:
-                    closed.add(x)
-                    queue += together.pop(x, ())
-            for x in closed:
-                if x[0] in REUSABLE:
-                    episode[x] = episode.get(x, 0) + 1
-    return rows.sort_values(["frame", "ts", "seq"]).assign(keys=out)
+
+    def __init__(self):
+        self.episode: dict[tuple, int] = {}
+        self.met: dict[tuple, set] = {}
+        self.carried: dict[tuple, set] = {}
+
+    def _end(self, keys: set) -> None:
+        for k in keys:
+            self.episode[k] = self.episode.get(k, 0) + 1
+            for other in self.met.pop(k, ()):
+                self.met.get(other, set()).discard(k)
+
+    def step(self, keys: list[tuple], releases: list[tuple]) -> list[tuple]:
+        """The message's keys with their episodes."""
+        pairing = {k for k in keys if k[0] in REUSABLE and k[0] not in SOLITARY}
+        out = [(k, f"{v}@{self.episode[k, v] + 1}" if self.episode.get((k, v)) else v) for k, v in keys]
+        for k in pairing:
+            self.met.setdefault(k, set()).update(pairing - {k})
+        for k in keys:
+            if k[0] not in REUSABLE:
+                self.carried.setdefault(k, set()).update(pairing)
+        ended, queue = set(), [k for k in releases if k[0] in REUSABLE]
+        while queue:
+            k = queue.pop()
+            if k not in ended:
+                ended.add(k)
+                queue += self.met.get(k, ())
+        self._end(ended)
+        for k in releases:
+            if k[0] not in REUSABLE:
+                self._end(self.carried.pop(k, set()))
+        return out
 
 
 def assign_episodes(messages: DataFrame) -> DataFrame:
     """Reusable keys rewritten per episode. Without any release the input comes back.
 
-    Only messages connected to a released key are replayed, one component of
-    associating reusable keys at a time. Solitary kinds never associate, so theirs
-    is a running count of earlier releases.
+    Only messages connected to a released key, or to an anchor of a kind that is
+    released, are replayed: dealt and sorted by component and frame, in one pass
+    over the batches that keeps the keys of the current component, never its
+    messages. Solitary kinds never associate, so theirs is a running count of
+    earlier releases.
     """
-    if messages.where("size(releases) > 0").isEmpty():
+    freed = messages.where("size(releases) > 0").select(F.explode("releases.kind").alias("kind")).distinct()
+    kinds = sorted(r[0] for r in freed.collect())  # of a fixed list of kinds
+    if not kinds:
         return messages
-    associating = [k for k in REUSABLE if k not in SOLITARY]
+    associating = [k for k in REUSABLE if k not in SOLITARY] + [k for k in kinds if k not in REUSABLE]
     held = messages.withColumn("__r", F.filter(F.concat("keys", "releases"), lambda k: k["kind"].isin(*associating)))
     some = held.where(F.size("__r") > 0)
     name = lambda k: F.concat_ws("|", "capture_id", F.concat_ws("=", k["kind"], k["value"]))
@@ -114,7 +135,22 @@ def assign_episodes(messages: DataFrame) -> DataFrame:
     tagged = some.withColumn("__n", F.array_min(F.transform("__r", name))).join(parts, F.col("__n") == F.col("node"))
     live = staged(tagged.where(F.size("releases") > 0).select("component").distinct(), "released")
     cols = messages.columns
-    replayed = tagged.join(live, "component", "left_semi").groupBy("component").applyInPandas(lambda g: replay_episodes(g)[cols], messages.schema)
+    place = cols.index("keys")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        component, state = None, Episodes()
+        plain = lambda ks: [(k["kind"], k["value"]) for k in ks or ()]
+        for batch in batches:
+            made = []
+            for c, keys, releases in zip(batch.column("component").to_pylist(), batch.column("keys").to_pylist(), batch.column("releases").to_pylist(), strict=True):
+                if c != component:
+                    component, state = c, Episodes()
+                made.append([{"kind": k, "value": v} for k, v in state.step(plain(keys), plain(releases))])
+            out = batch.select(cols)
+            yield out.set_column(place, out.schema.field(place), pa.array(made, out.schema.field(place).type))
+
+    dealt = tagged.join(live, "component", "left_semi").select(*cols, "component").repartition("component").sortWithinPartitions("component", "frame", "ts", "seq")
+    replayed = dealt.mapInArrow(run, messages.schema)
     rest = tagged.join(live, "component", "left_anti").select(cols).unionByName(held.where(F.size("__r") == 0).select(cols))
     return _solitary(replayed.unionByName(rest))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callweave.functions import scalars as S
@@ -11,26 +10,9 @@ from callweave.operators import pairing as P
 from callweave.operators import procedures as X
 from callweave.operators import rollups as R
 from callweave.operators import sequences as Q
+from callweave.plans.registry import ORACLE_SQL, QUERIES, query, table  # noqa: F401
 from callweave.plans.standins import SQL, causes, messages
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None, name: str | None = None):
-    def register(f):
-        QUERIES[name or f.__name__] = f
-        if sql:
-            ORACLE_SQL[name or f.__name__] = sql if sql.startswith("with") else SQL + sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def explained(spark, d):
     return R.with_causes(messages(spark, d), causes(spark))
 
@@ -56,7 +38,7 @@ def blast_radius(spark, d):
 KEYS = ", keys as (select capture_id, frame, flow_id, is_failure, unnest(['supi','amf_ue_ngap_id','pfcp_seid']) kind, unnest([supi, 'cap/' || user_id, seid]) as value from m) "
 
 
-@query(KEYS + "select capture_id, kind, value, count(*) messages, count(distinct flow_id) flows, count(*) filter (is_failure) failures, case when contains(value, '/') then split_part(value, '/', 1) end as scope from keys where value is not null group by capture_id, kind, value")
+@query(KEYS + ", kf as (select distinct capture_id, flow_id, kind, value from keys where value is not null), t as (select capture_id, flow_id, count(*) n, count(*) filter (is_failure) f, max(supi) supi from m group by 1, 2) select capture_id, kind, value, sum(n)::bigint messages, count(*) flows, sum(f)::bigint failures, count(distinct supi) supis, case when contains(value, '/') then split_part(value, '/', 1) end as scope from kf join t using (capture_id, flow_id) group by capture_id, kind, value")
 def identities(spark, d):
     return R.identities(messages(spark, d))
 
@@ -71,9 +53,12 @@ def key_availability(spark, d):
     return R.availability(messages(spark, d))
 
 
-@query("select capture_id, address, count(*) messages, 0::bigint ports, []::varchar[] roles from (select capture_id, src_ip address from m union all select capture_id, dst_ip from m) group by all")
+@query("select capture_id, address, count(*) messages, count(distinct port) ports, list_sort(list(distinct role)) roles from (select capture_id, src_ip address, k % 5 port, 'r' || (k % 2) as role from m union all select capture_id, dst_ip, 80, 'core' from m) group by all")
 def network_elements(spark, d):
-    return R.network_elements(messages(spark, d))
+    k = Q.detail("seqno").cast("int")
+    src = F.col("src").withField("port", k % 5).withField("role", F.concat(F.lit("r"), k % 2))
+    dst = F.col("dst").withField("port", F.lit(80)).withField("role", F.lit("core"))
+    return R.network_elements(messages(spark, d).withColumns({"src": src, "dst": dst}))
 
 
 @query("select capture_id, count(distinct frame) frames, round(max(ts) - min(ts), 6) span, min(event_time) started_at, list_sort(list(distinct protocol)) protocols from m group by all")
@@ -99,7 +84,7 @@ def timer_hints(spark, d):
     return Q.timer_hints(messages(spark, d), timers=(("T1", 21600.0, "nas-5gs", ("click", "view")),))
 
 
-@query(", r as (select *, case when ts - lag(ts) over w <= 86400 then 0 else 1 end as fresh from m window w as (partition by capture_id, flow_id, src_ip, dst_ip, label, supi, seid order by ts, frame)), i as (select *, sum(fresh) over (partition by capture_id, flow_id, src_ip, dst_ip, label, supi, seid order by ts, frame rows unbounded preceding) run from r) select capture_id, flow_id, src_ip, dst_ip, label, count(*) n, min(frame) first_frame, max(frame) last_frame, round(max(ts) - min(ts), 6) span from i group by capture_id, flow_id, src_ip, dst_ip, label, supi, seid, run having count(*) >= 2")
+@query(", r as (select *, case when ts - lag(ts) over w <= 86400 then 0 else 1 end as fresh from m where protocol = 'nas-5gs' window w as (partition by capture_id, flow_id, src_ip, dst_ip, label, supi, seid order by ts, frame)), i as (select *, sum(fresh) over (partition by capture_id, flow_id, src_ip, dst_ip, label, supi, seid order by ts, frame rows unbounded preceding) run from r) select capture_id, flow_id, src_ip, dst_ip, label, count(*) n, min(frame) first_frame, max(frame) last_frame, round(max(ts) - min(ts), 6) span from i group by capture_id, flow_id, src_ip, dst_ip, label, supi, seid, run having count(*) >= 2")
 def nas_retransmissions(spark, d):
     return Q.nas_retransmissions(messages(spark, d), window=86400.0).drop("key_set", "run")
 
@@ -195,23 +180,27 @@ def first_answer_delay(spark, d):
     return P.first_answer_after(requests, answers, ["order_key"], "at").select("order_key", "answered_at", "delay")
 
 
-@query()
-def correlated_flows(spark, d):
-    flowed = C.correlate(messages(spark, d).drop("flow_id"))
-    return flowed.groupBy("flow_id").agg(F.count("*").alias("messages")).select("messages", F.lit(1).cast("long").alias("parts"))
+# Flows of the test table: users of one capture that share a session key, directly or through others. Named by the least key.
+FLOWS = "with recursive " + SQL[5:] + ", n as (select distinct capture_id || '|amf_ue_ngap_id=cap/' || user_id u, capture_id || '|pfcp_seid=' || seid v from m where seid is not null), e as (select u a, v b from n union select v, u from n), w as (select a node, a root from e union select e.b, w.root from w join e on w.node = e.a), c as (select node, min(root) root from w group by 1), fl as (select m.*, coalesce(c.root, capture_id || '|amf_ue_ngap_id=cap/' || user_id) flow from m left join c on c.node = capture_id || '|amf_ue_ngap_id=cap/' || user_id) "
 
 
-ORACLE_SQL["correlated_flows"] = "with recursive " + SQL[5:] + ", n as (select distinct 'u' || user_id || '/' || (user_id % 3) u, 'k' || seid || '/' || (user_id % 3) v from m where seid is not null), e as (select u a, v b from n union select v, u from n), w as (select a node, a root from e union select e.b, w.root from w join e on w.node = e.a), c as (select node, min(root) root from w group by 1) select count(*) messages, 1::bigint parts from (select m.frame, coalesce(c.root, 'u' || user_id || '/' || (user_id % 3)) root from m left join c on c.node = 'u' || user_id || '/' || (user_id % 3)) group by root"
+@query(FLOWS + "select capture_id, frame, flow as flow_id from fl")
+def correlated_flows(spark, d):
+    return C.correlate(messages(spark, d).drop("flow_id")).select("capture_id", "frame", "flow_id")
 
 
-@query()
+@query(FLOWS + "select flow as flow_id, count(distinct supi) supis, count(distinct supi) parts from fl group by 1 having count(distinct supi) > 1")
 def supi_bridge_audit(spark, d):
-    return C.supi_bridges(C.correlate(messages(spark, d).drop("flow_id")))
+    """The shared session key stands for a kind that bridges by reuse; users are apart without it."""
+    bridge = F.transform("keys", lambda k: F.when(k["kind"] == "pfcp_seid", k.withField("kind", F.lit("s_tmsi"))).otherwise(k))
+    return C.supi_bridges(C.correlate(messages(spark, d).drop("flow_id").withColumn("keys", bridge)))
 
 
-@query("with recursive " + SQL[5:] + ", k as (select distinct capture_id, flow_id, supi from m where supi is not null union select distinct capture_id, flow_id, 'cap/' || user_id from m) select capture_id, flow_id from (select distinct capture_id, flow_id from k)")
+@query(", k as (select distinct capture_id, flow_id, case when supi is not null then user_id % 50 end g from m), p as (select capture_id, g, min(flow_id) least from k where g is not null group by 1, 2) select capture_id, flow_id, coalesce(min(least), flow_id) subscriber from k left join p using (capture_id, g) group by 1, 2")
 def subscriber_groups(spark, d):
-    return C.subscriber_groups(messages(spark, d)).select("capture_id", "flow_id")
+    """Users with the same remainder share their SUPI."""
+    shared = F.transform("keys", lambda k: F.when(k["kind"] == "supi", k.withField("value", (F.col("flow_id").cast("long") % 50).cast("string"))).otherwise(k))
+    return C.subscriber_groups(messages(spark, d).withColumn("keys", shared))
 
 
 @query("with legs as (select 'cap' as capture_id, l_orderkey || '-' || l_linenumber leg, 's' || l_suppkey icid, epoch_us(l_shipdate) / 1e6 as \"start\", epoch_us(l_shipdate) / 1e6 + 86400 * l_quantity / 10 as \"end\" from lineitem), r as (select *, case when \"start\" <= max(\"end\") over (partition by icid order by \"start\", \"end\", leg rows between unbounded preceding and 1 preceding) then 0 else 1 end fresh from legs), i as (select *, sum(fresh) over (partition by icid order by \"start\", \"end\", leg rows unbounded preceding)::bigint isl from r) select capture_id, leg, icid || '#' || isl as call from i")
@@ -221,24 +210,45 @@ def call_legs(spark, d):
     return C.merge_legs(legs).select("capture_id", "leg", "call")
 
 
-@query()
+EVENT_OPENERS = (("visit", "view", True, ("click",)), ("order", "signup", True, ("purchase",)))
+# The rules of segmentation as a walk over each flow, message by message.
+SEGMENTED = (
+    "with recursive " + SQL[5:] + ", s as (select capture_id, flow_id, frame, seq, ts, label, is_failure, k, supi, dnn, row_number() over (partition by capture_id, flow_id order by ts, frame) n from m where protocol <> 'sip')"
+    ", w as (select distinct capture_id, flow_id, 0::bigint n, null::bigint frame, 0::bigint num, null::varchar kind, 0.0::double last, false failed, false outcome from s"
+    " union all select capture_id, flow_id, n, frame, num, kind, case when kind is null then last else ts end, coalesce(failed, false) or (kind is not null and is_failure),"
+    " outcome or coalesce((kind = 'visit' and label = 'click') or (kind = 'order' and label = 'purchase'), false)"
+    " from (select capture_id, flow_id, n, frame, ts, label, is_failure, last, num + fresh::int num, case when fresh then opened else k0 end kind, failed and not fresh failed, outcome and not fresh outcome"
+    " from (select *, opened is not null and not coalesce(k0 = opened and not failed and not outcome, false) fresh"
+    " from (select s.capture_id, s.flow_id, s.n, s.frame, s.ts, s.label, s.is_failure, w.last, w.num, w.failed, w.outcome, case when w.kind is not null and w.outcome and s.ts - w.last > 3600 then null else w.kind end k0,"
+    " case s.label when 'view' then 'visit' when 'signup' then 'order' end opened from w join s on s.capture_id = w.capture_id and s.flow_id = w.flow_id and s.n = w.n + 1))))"
+    ", g as (select s.*, case when w.kind is not null then w.num end segment, w.kind from s join w using (capture_id, flow_id, n)) "
+)
+
+
+@query(SEGMENTED + "select capture_id, flow_id, frame, seq, segment, kind from g")
 def procedure_segments(spark, d):
     return X.segment_procedures(messages(spark, d), 3600.0, EVENT_OPENERS)
 
 
-EVENT_OPENERS = (("visit", "view", True, ("click",)), ("order", "signup", True, ("purchase",)))
+FINISHED = (
+    SEGMENTED + ", f as (select capture_id, flow_id, segment, kind, min(frame) start_frame, max(frame) end_frame, min(ts) \"start\", max(ts) \"end\", round(max(ts) - min(ts), 6) duration, count(*) messages,"
+    " max(n) filter ((kind = 'visit' and label = 'click') or (kind = 'order' and label = 'purchase')) s, max(n) filter (is_failure) f,"
+    " arg_max('nas_5gmm ' || k, n) filter (is_failure) cause, arg_min('nas_5gmm ' || k, n) filter (is_failure) first_cause, case when min(dnn) = max(dnn) then min(dnn) end dnn, min(supi) supi"
+    " from g where segment is not null group by 1, 2, 3, 4)"
+    ", p as (select *, case when s is not null and (f is null or s > f) then 'success' when f is not null then 'failure' else 'incomplete' end outcome, case when cause <> first_cause then first_cause end first_failure from f) "
+)
 
 
-@query()
+@query(FINISHED + "select capture_id, flow_id, segment, kind, outcome, cause, first_failure, start_frame, end_frame, \"start\", \"end\", duration, messages, null::varchar as trigger, null::varchar handover_type, null::varchar pdu_session_id, dnn, null::varchar initiator, null::double prep_s, null::double exec_s, supi from p")
 def procedures(spark, d):
     rows = messages(spark, d)
     return X.finish(rows, X.segment_procedures(rows, 3600.0, EVENT_OPENERS), EVENT_OPENERS).drop("first_pos", "last_pos")
 
 
-@query("select capture_id, count(*) messages from m where protocol <> 'sip' group by 1")
+@query(SEGMENTED + "select capture_id, count(*) messages, count(segment) assigned, count(*) filter (segment is null) unassigned from g group by 1")
 def xdr_totals(spark, d):
     rows = messages(spark, d)
-    return X.xdr_totals(rows, X.segment_procedures(rows, 3600.0, EVENT_OPENERS)).where("messages = assigned + unassigned").select("capture_id", "messages")
+    return X.xdr_totals(rows, X.segment_procedures(rows, 3600.0, EVENT_OPENERS))
 
 
 @query("select page_id, lower(regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*://)?([^/:?#]+)', 1)) host, regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)', 1) as path, nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') as page from pages")
@@ -394,10 +404,17 @@ def found_addresses(spark, d):
     return PR.originals(table(spark, d, "documents"), "doc_id", "text").where("kind = 'email'").groupBy("id").agg(F.count("*").alias("n"))
 
 
-@query("select doc_id, length(text) as length, 0::bigint as changed_length from documents")
+ADDRESS = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+
+
+@query("select doc_id, length(text) as length, len(regexp_extract_all(text, '" + ADDRESS + "')) as addresses, 0 as addresses_left from documents")
 def scrubbed_lengths(spark, d):
+    """A scrubbed text is as long as before and holds none of the addresses that it held."""
     docs = table(spark, d, "documents").select("doc_id", "text")
-    return PR.scrub(docs, "text", KEY).select("doc_id", F.length("text").cast("long").alias("length"), F.lit(0).cast("long").alias("changed_length"))
+    found = F.regexp_extract_all("text", F.lit(ADDRESS), 0)
+    both = docs.select("doc_id", found.alias("before")).join(PR.scrub(docs, "text", KEY).select("doc_id", "text"), "doc_id")
+    left = F.size(F.filter("before", lambda a: F.col("text").contains(a)))
+    return both.select("doc_id", F.length("text").cast("long").alias("length"), F.size("before").cast("long").alias("addresses"), left.alias("addresses_left"))
 
 
 @query()
@@ -461,10 +478,17 @@ def episodes_and_flows(spark, d):
 del ORACLE_SQL["episodes_and_flows"]
 
 
-@query()
+VOTES = ", v as (select capture_id, frame, k, src_ip, dst_ip, protocol, case when protocol = 'pfcp' and label = 'view' then 'smf' when protocol = 'ngap' and label = 'view' then 'amf-answer' when protocol = 'ngap' and label = 'click' then 'n2' when protocol = 'diameter' and label = 'view' then 'air' end as what from m), u as (select capture_id, src_ip address, case what when 'smf' then 'SMF' when 'amf-answer' then 'AMF' when 'air' then 'MME' end as role, case what when 'smf' then 'pfcp-dir' when 'air' then 'diameter-dir' else 'ngap-dir' end basis, frame, null::int port from v union all select capture_id, dst_ip, case what when 'smf' then 'UPF' when 'amf-answer' then 'gNB' when 'air' then 'HSS' when 'n2' then 'AMF' end, case what when 'smf' then 'pfcp-dir' when 'air' then 'diameter-dir' when 'n2' then 'n2-port' else 'ngap-dir' end, frame, case when what = 'n2' then 38412 end from v) "
+
+
+@query(VOTES + "select capture_id, address, port::int port, role, arg_min(basis, frame) basis from u where role is not null group by 1, 2, 3, 4")
 def role_votes(spark, d):
-    rows = messages(spark, d).withColumn("label", F.when(F.col("label") == "view", "Session Establishment Request").otherwise(F.col("label")))
-    return O.role_votes(rows)
+    rows, p = messages(spark, d), F.col("protocol")
+    view, click = F.col("label") == "view", F.col("label") == "click"
+    label = F.when((p == "pfcp") & view, "Session Establishment Request").when((p == "ngap") & view, "InitialUEMessageResponse").when((p == "diameter") & view, "3GPP-Authentication-Information Request").otherwise(F.col("label"))
+    asked = F.create_map(F.lit("application-id"), F.lit("16777251"), F.lit("command-code"), F.lit("318"))
+    dst = F.when((p == "ngap") & click, F.col("dst").withField("port", F.lit(38412))).otherwise(F.col("dst"))
+    return O.role_votes(rows.withColumns({"label": label, "dst": dst, "detail": F.when((p == "diameter") & view, F.map_concat("detail", asked)).otherwise(F.col("detail"))}))
 
 
 @query(", c as (select distinct capture_id, src_ip a, dst_ip b from m), e as (select capture_id, a x, b y from c union select capture_id, b, a from c), h as (select capture_id, x address from e group by 1, 2 having count(distinct y) >= 2) select capture_id, address, 'P-CSCF' as role, 'ipsec-fanout' basis from h union all select distinct capture_id, y, 'UE', 'ipsec-fanout' from e where (capture_id, x) in (select capture_id, address from h) and (capture_id, y) not in (select capture_id, address from h)")
@@ -472,24 +496,30 @@ def fanout_votes(spark, d):
     return O.fanout_votes(messages(spark, d).select("capture_id", F.col("src.ip").alias("a"), F.col("dst.ip").alias("b")))
 
 
-@query()
+CHAINS = ", x as (select capture_id, flow_id, ts, frame, seq, label, is_failure, '10.0.0.' || (k % 3) as ip, row_number() over (partition by capture_id, flow_id order by ts, frame) n from m), f as (select capture_id, flow_id, min(n) filter (is_failure) f, max(n) filter (is_failure) l from x group by 1, 2 having count(*) filter (is_failure) > 0), p as (select f.*, (select ip from x where x.capture_id = f.capture_id and x.flow_id = f.flow_id and x.n = f.f) fip from f), o as (select p.capture_id, p.flow_id, max(x.n) n from p join x using (capture_id, flow_id) where x.n < p.f and x.ip <> p.fip group by 1, 2), st as (select capture_id, flow_id, 1::bigint n, 'origin' step from f union all select capture_id, flow_id, n, 'sender' from o union all select capture_id, flow_id, f, 'first failure' from f union all select capture_id, flow_id, l, 'last failure' from f) "
+
+
+@query(CHAINS + "select capture_id, flow_id, step, frame, ip, label from st join x using (capture_id, flow_id, n)")
 def causal_chains(spark, d):
-    return Q.causal_chain(messages(spark, d), ["capture_id", "flow_id"])
+    rows = messages(spark, d).withColumn("src", F.col("src").withField("ip", F.concat(F.lit("10.0.0."), Q.detail("seqno").cast("int") % 3)))
+    chain = Q.causal_chain(rows, ["capture_id", "flow_id"])
+    return chain.select("capture_id", "flow_id", F.explode(chain.columns[-1]).alias("x")).select("capture_id", "flow_id", "x.step", "x.frame", "x.ip", "x.label")
 
 
-@query(", x as (select capture_id, flow_id, frame, ts, label from m), o as (select capture_id, frame, case when label = 'view' then 'a' else 'b' end kind from x) select capture_id, kind, count(*) total from o group by 1, 2")
+@query(", o as (select capture_id, frame, case when label = 'view' then 'a' else 'b' end kind, case when is_failure then 'failure' when k % 4 = 0 then 'incomplete' else 'success' end outcome, case when is_failure then 'c' || (k % 3) end cause from m), t as (select capture_id, kind, arg_min(cause, (-n, cause)) top_cause from (select capture_id, kind, cause, count(*) n from o where cause is not null group by 1, 2, 3) group by 1, 2), r as (select capture_id, kind, count(*) filter (outcome = 'success') success, count(*) filter (outcome = 'failure') failure, count(*) filter (outcome = 'incomplete') incomplete, count(*) total, coalesce(min(frame) filter (outcome = 'failure'), min(frame)) sample_frame from o group by 1, 2) select *, row_number() over (partition by capture_id order by failure desc, incomplete desc, total desc, kind)::int place from r left join t using (capture_id, kind)")
 def kind_totals(spark, d):
-    rows = messages(spark, d).select("capture_id", F.when(F.col("label") == "view", "a").otherwise("b").alias("kind"), F.lit("success").alias("outcome"), F.col("frame").alias("start_frame"), F.lit(None).cast("string").alias("cause"))
-    return R.scenario_breakdown(rows).select("capture_id", "kind", "total")
+    k, bad = Q.detail("seqno").cast("int"), F.col("is_failure")
+    rows = messages(spark, d).select("capture_id", F.when(F.col("label") == "view", "a").otherwise("b").alias("kind"), F.when(bad, "failure").when(k % 4 == 0, "incomplete").otherwise("success").alias("outcome"), F.col("frame").alias("start_frame"), F.when(bad, F.concat(F.lit("c"), k % 3)).alias("cause"))
+    return R.scenario_breakdown(rows)
 
 
-@query(FAILED + ", once as (select *, row_number() over (partition by capture_id, flow_id, e2e, label, k order by frame) n from x), o as (select capture_id, cause_name card, count(distinct frame) n from once where n = 1 group by 1, 2), a as (select capture_id, cause_name card, count(distinct frame) frames, min(frame) first_frame, count(distinct case when src_ip < dst_ip then src_ip || dst_ip else dst_ip || src_ip end) peers from x group by 1, 2) select * from o join a using (capture_id, card)")
+@query(FAILED + ", once as (select *, row_number() over (partition by capture_id, flow_id, e2e, label, k order by frame) n from x), o as (select capture_id, cause_name card, count(distinct frame) n from once where n = 1 group by 1, 2), a as (select capture_id, cause_name card, count(distinct frame) frames, min(frame) first_frame, count(distinct case when src_ip < dst_ip then src_ip || dst_ip else dst_ip || src_ip end) peers from x group by 1, 2) select *, row_number() over (partition by capture_id order by n desc, first_frame, card)::int place from o join a using (capture_id, card)")
 def cause_cards(spark, d):
     rows = explained(spark, d)
     return R.cause_cards(Q.distinct_observed(rows), rows)
 
 
-@query()
+@query(KEYS + ", kf as (select distinct capture_id, flow_id, kind, value from keys where value is not null), t as (select capture_id, flow_id, count(*) n, count(*) filter (is_failure) f, max(supi) supi from m group by 1, 2) select capture_id, kind, value, sum(n)::bigint messages, count(*) flows, sum(f)::bigint failures, count(distinct supi) supis, case when contains(value, '/') then split_part(value, '/', 1) end as scope from kf join t using (capture_id, flow_id) where contains(lower(value), '42') group by capture_id, kind, value")
 def message_search_identities(spark, d):
     return V.lookup(R.identities(messages(spark, d)), "42")
 
@@ -556,10 +586,10 @@ def security_associations(spark, d):
     return D.security_associations(o)
 
 
-@query("select m.capture_id, m.flow_id, user_id % 5 connection, arg_min(label, frame) intent, case min(case when is_failure then 0 when label = 'view' then 1 else 2 end) when 0 then 'failure' when 1 then 'incomplete' else 'success' end outcome, round(max(ts) - min(ts), 6) duration from m group by 1, 2, 3")
+@query("select m.capture_id, m.flow_id, user_id % 5 connection, arg_min(label, frame) intent, case min(case when is_failure then 0 when label = 'view' then 1 else 2 end) when 0 then 'failure' when 1 then 'incomplete' else 'success' end outcome, arg_min('nas_5gmm ' || k, frame) filter (is_failure) cause, round(max(ts) - min(ts), 6) duration from m group by 1, 2, 3")
 def connection_summaries(spark, d):
-    rows = messages(spark, d).select("capture_id", "flow_id", (F.col("flow_id").cast("long") % 5).alias("connection"), F.col("frame").alias("start_frame"), F.col("label").alias("kind"), F.when(F.col("is_failure"), "failure").when(F.col("label") == "view", "incomplete").otherwise("success").alias("outcome"), F.lit(None).cast("string").alias("cause"), F.col("ts").alias("start"), F.col("ts").alias("end"))
-    return Q.connection_summary(rows).drop("cause")
+    rows = messages(spark, d).select("capture_id", "flow_id", (F.col("flow_id").cast("long") % 5).alias("connection"), F.col("frame").alias("start_frame"), F.col("label").alias("kind"), F.when(F.col("is_failure"), "failure").when(F.col("label") == "view", "incomplete").otherwise("success").alias("outcome"), F.when(F.col("is_failure"), F.concat_ws(" ", "cause.table", "cause.value")).alias("cause"), F.col("ts").alias("start"), F.col("ts").alias("end"))
+    return Q.connection_summary(rows)
 
 
 @query("select a.o_orderkey order_a, b.c_custkey customer from orders a join customer b on a.o_custkey = b.c_custkey union select a.o_orderkey, b.c_custkey from orders a join customer b on a.o_orderkey = b.c_custkey")
@@ -598,7 +628,7 @@ def not_visible(spark, d):
     return L.not_visible(rows, spots, ["view", "error", "click"])
 
 
-@query()
+@query(SEGMENTED + "select m.capture_id, m.frame, g.segment, g.kind as procedure from m left join g using (capture_id, frame, seq)")
 def message_owners(spark, d):
     rows = messages(spark, d)
     return L.with_owner(rows, X.segment_procedures(rows, 3600.0, EVENT_OPENERS)).select("capture_id", "frame", "segment", "procedure")
