@@ -16,12 +16,24 @@ NGAP = {
     29: "PDUSessionResourceSetup", 30: "PDUSessionResourceNotify", 31: "PrivateMessage", 32: "PWSCancel", 33: "PWSFailureIndication", 34: "PWSRestartIndication", 35: "RANConfigurationUpdate", 36: "RerouteNASRequest",
     37: "RRCInactiveTransitionReport", 38: "TraceFailureIndication", 39: "TraceStart", 40: "UEContextModification", 41: "UEContextRelease", 42: "UEContextReleaseRequest", 43: "UERadioCapabilityCheck",
     44: "UERadioCapabilityInfoIndication", 45: "UETNLABindingRelease", 46: "UplinkNASTransport",
+    47: "UplinkNonUEAssociatedNRPPaTransport", 48: "UplinkRANConfigurationTransfer", 49: "UplinkRANStatusTransfer", 50: "UplinkUEAssociatedNRPPaTransport", 51: "WriteReplaceWarning",
+    52: "SecondaryRATDataUsageReport", 53: "UplinkRIMInformationTransfer", 54: "DownlinkRIMInformationTransfer", 55: "RetrieveUEInformation", 56: "UEInformationTransfer",
+    57: "RANCPRelocationIndication", 58: "UEContextResume", 59: "UEContextSuspend", 60: "UERadioCapabilityIDMapping", 61: "HandoverSuccess", 62: "UplinkRANEarlyStatusTransfer",
+    63: "DownlinkRANEarlyStatusTransfer", 64: "AMFCPRelocationIndication", 65: "ConnectionEstablishmentIndication",
 }
 # S1AP procedure codes (3GPP TS 36.413), and messages whose name isn't procedure plus outcome.
 S1AP = {
-    0: "HandoverPreparation", 1: "HandoverResourceAllocation", 2: "HandoverNotification", 3: "PathSwitchRequest", 4: "HandoverCancel", 5: "E-RABSetup", 6: "E-RABModify", 7: "E-RABRelease", 8: "E-RABReleaseIndication",
-    9: "InitialContextSetup", 10: "Paging", 11: "downlinkNASTransport", 12: "initialUEMessage", 13: "uplinkNASTransport", 14: "Reset", 15: "ErrorIndication", 16: "NASNonDeliveryIndication", 17: "S1Setup",
-    18: "UEContextReleaseRequest", 21: "UEContextModification", 22: "UECapabilityInfoIndication", 23: "UEContextRelease", 24: "eNBStatusTransfer", 25: "MMEStatusTransfer", 50: "E-RABModificationIndication",
+    0: "HandoverPreparation", 1: "HandoverResourceAllocation", 2: "HandoverNotification", 3: "PathSwitchRequest", 4: "HandoverCancel", 5: "E-RABSetup", 6: "E-RABModify", 7: "E-RABRelease",
+    8: "E-RABReleaseIndication", 9: "InitialContextSetup", 10: "Paging", 11: "downlinkNASTransport", 12: "initialUEMessage", 13: "uplinkNASTransport", 14: "Reset", 15: "ErrorIndication",
+    16: "NASNonDeliveryIndication", 17: "S1Setup", 18: "UEContextReleaseRequest", 19: "DownlinkS1cdma2000tunnelling", 20: "UplinkS1cdma2000tunnelling", 21: "UEContextModification",
+    22: "UECapabilityInfoIndication", 23: "UEContextRelease", 24: "eNBStatusTransfer", 25: "MMEStatusTransfer", 26: "DeactivateTrace", 27: "TraceStart", 28: "TraceFailureIndication",
+    29: "ENBConfigurationUpdate", 30: "MMEConfigurationUpdate", 31: "LocationReportingControl", 32: "LocationReportingFailureIndication", 33: "LocationReport", 34: "OverloadStart",
+    35: "OverloadStop", 36: "WriteReplaceWarning", 37: "eNBDirectInformationTransfer", 38: "MMEDirectInformationTransfer", 39: "PrivateMessage", 40: "eNBConfigurationTransfer",
+    41: "MMEConfigurationTransfer", 42: "CellTrafficTrace", 43: "Kill", 44: "downlinkUEAssociatedLPPaTransport", 45: "uplinkUEAssociatedLPPaTransport", 46: "downlinkNonUEAssociatedLPPaTransport",
+    47: "uplinkNonUEAssociatedLPPaTransport", 48: "UERadioCapabilityMatch", 49: "PWSRestartIndication", 50: "E-RABModificationIndication", 51: "PWSFailureIndication", 52: "RerouteNASRequest",
+    53: "UEContextModificationIndication", 54: "ConnectionEstablishmentIndication", 55: "UEContextSuspend", 56: "UEContextResume", 57: "NASDeliveryIndication", 58: "RetrieveUEInformation",
+    59: "UEInformationTransfer", 60: "eNBCPRelocationIndication", 61: "MMECPRelocationIndication", 62: "SecondaryRATDataUsageReport", 63: "UERadioCapabilityIDMapping", 64: "HandoverSuccess",
+    65: "eNBEarlyStatusTransfer", 66: "MMEEarlyStatusTransfer",
 }
 S1AP_NAMES = {(23, ""): "UEContextReleaseCommand", (23, "Response"): "UEContextReleaseComplete", (9, ""): "InitialContextSetup"}
 # SGsAP message types (3GPP TS 29.118).

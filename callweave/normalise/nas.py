@@ -35,21 +35,37 @@ SERVICE_REQUEST_HEADER = 12
 TMSI_TYPES = (2, 4)
 
 
+#: Layers that may stand between a carrier and the NAS block it holds, and how deep they are looked through.
+BETWEEN, DEPTH = ("nas-5gs", "nas-eps", "ngap", "s1ap"), 3
+
+
+def _children(block: Column, layer: str) -> Column:
+    """Blocks of a layer directly inside a block: an object or a list of them."""
+    many, one = F.try_variant_get(block, f"$['{layer}']", "array<variant>"), F.try_variant_get(block, f"$['{layer}']", "variant")
+    return F.when(many.isNotNull(), many).when(one.isNotNull(), F.array(one)).otherwise(F.array().cast("array<variant>"))
+
+
 def _inside(carrier: DataFrame, layer: str, name: str) -> DataFrame:
-    """Blocks of a layer nested in carrier blocks, with the carrier's keys."""
-    many = F.try_variant_get("b", f"$['{layer}']", "array<variant>")
-    one = F.try_variant_get("b", f"$['{layer}']", "variant")
-    held = carrier.withColumn("__n", F.when(many.isNotNull(), many).when(one.isNotNull(), F.array(one))).where("__n is not null")
-    held = held.select("*", F.posexplode("__n").alias("i", "nested"))
-    return held.withColumns({"b": F.col("nested"), "block": F.col("block") * 100 + F.col("i"), "carrier": F.lit(name)}).drop("__n", "i", "nested", "code", "outcome")
+    """Blocks of a layer nested in carrier blocks, up to DEPTH levels deep, with the carrier's keys."""
+    level, found = F.array("b"), F.array().cast("array<variant>")
+    for _ in range(DEPTH):
+        found = F.concat(found, F.flatten(F.transform(level, lambda x: _children(x, layer))))
+        level = F.flatten(F.transform(level, lambda x: F.concat(*(_children(x, other) for other in BETWEEN))))
+    held = carrier.select("*", F.posexplode(found).alias("i", "nested"))
+    return held.withColumns({"b": F.col("nested"), "block": F.col("block") * 100 + F.col("i"), "carrier": F.lit(name)}).drop("i", "nested", "code", "outcome")
 
 
 def carried(frames: DataFrame, layer: str) -> DataFrame:
     """Every block of the NAS layer once: under its carrier, else at the top."""
-    rows, name = (ngap_rows(frames), "ngap") if layer == "nas-5gs" else (s1ap_rows(frames), "s1ap")
     none = F.array().cast("array<struct<kind:string,value:string>>")
-    top = blocks(frames, layer).withColumns({"__keys": none, "carrier": F.lit(None).cast("string")})
-    return _inside(rows, layer, name).unionByName(top)
+    if layer == "nas-5gs":
+        carriers = [("ngap", ngap_rows(frames)), ("sbi", blocks(frames, "http2").withColumn("__keys", none))]
+    else:
+        carriers = [("s1ap", s1ap_rows(frames)), ("gtpv2", blocks(frames, "gtpv2").withColumn("__keys", F.array_compact(F.array(key("supi", text("e212_e212_imsi"))))))]
+    out = blocks(frames, layer).withColumns({"__keys": none, "carrier": F.lit(None).cast("string")})
+    for name, rows in carriers:
+        out = out.unionByName(_inside(rows, layer, name))
+    return out
 
 
 def _label(a: Column, b: Column, names: dict[int, str]) -> Column:
