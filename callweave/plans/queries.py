@@ -632,3 +632,6 @@ def not_visible(spark, d):
 def message_owners(spark, d):
     rows = messages(spark, d)
     return L.with_owner(rows, X.segment_procedures(rows, 3600.0, EVENT_OPENERS)).select("capture_id", "frame", "segment", "procedure")
+
+
+from callweave.plans import protocol_queries, scalar_queries  # noqa: E402, F401
