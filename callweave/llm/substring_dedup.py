@@ -4,7 +4,9 @@ Rounds name, in every document alike, first runs of two equal words and then
 pairs of neighbouring symbols: a bit of each symbol's name says whether it may
 be the left or the right part of a pair. A name is a hash of what the symbol
 stands for, so equal runs and pairs get the same name everywhere without a
-dictionary. Whether a symbol begins at a word depends only on the `reach` words
+dictionary, and the rounds themselves need no shuffle: they run inside the scan.
+Runs are named two words at a time, as a longer run's name would depend on words
+outside a window. Whether a symbol begins at a word depends only on the `reach` words
 on either side of it, and no symbol is longer than `span` words; rounds go on
 while every window of L words still holds at least one beginning that is decided
 inside the window. Of those, the window's anchor is the one with the least hash
@@ -127,8 +129,8 @@ def _groups(batches: Iterator[pa.RecordBatch], n_keys: int):
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, text: rows that agree in the first two are copies of each other."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("text_hash"), "text")
+    """doc_id, text_hash (64 bits), text: rows that agree in the first two are copies of each other."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
 
 
 def same_doc(a: str, b: str) -> Column:
@@ -148,11 +150,11 @@ def anchors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             context = Windows(names, _SECOND)(anchor - reach, anchor + max(reach, 1))
             block = Windows(names, _FIRST)(first, last + window)
             yield pa.RecordBatch.from_arrays(
-                [as_long(context), as_long(block), pa.array([rows[k][0] for k in own], pa.int64()), pa.array([rows[k][1] for k in own], pa.int32()), pa.array((first - base[own]).astype(np.int32)), pa.array((last - first + 1).astype(np.int32))],
+                [as_long(context), as_long(block), pa.array([rows[k][0] for k in own], pa.int64()), pa.array([rows[k][1] for k in own], pa.int64()), pa.array((first - base[own]).astype(np.int32)), pa.array((last - first + 1).astype(np.int32))],
                 ["context", "block", "doc_id", "text_hash", "start", "windows"],
             )
 
-    return keyed(docs).mapInArrow(run, "context long, block long, doc_id long, text_hash int, start int, windows int")
+    return keyed(docs).mapInArrow(run, "context long, block long, doc_id long, text_hash long, start int, windows int")
 
 
 def window_names(held: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -172,11 +174,11 @@ def window_names(held: DataFrame, window: int = WINDOW) -> DataFrame:
             which = pa.array(np.repeat(np.arange(len(own)), reps))
             yield pa.RecordBatch.from_arrays(
                 [as_long(Windows(names, b)(start, start + window)) for b in (_FIRST, _SECOND)]
-                + [pa.array(ids, pa.int64()).take(which), pa.array(hashes, pa.int32()).take(which), pa.array((start - np.repeat([a for _, a, _ in own], reps)).astype(np.int32))],
+                + [pa.array(ids, pa.int64()).take(which), pa.array(hashes, pa.int64()).take(which), pa.array((start - np.repeat([a for _, a, _ in own], reps)).astype(np.int32))],
                 ["a", "b", "doc_id", "text_hash", "start"],
             )
 
-    return held.mapInArrow(run, "a long, b long, doc_id long, text_hash int, start int")
+    return held.mapInArrow(run, "a long, b long, doc_id long, text_hash long, start int")
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
