@@ -19,8 +19,8 @@ list, long or short, is read in the same way.
 
 `similar` is for documents alike in their shingles rather than in 64 bits: 64 bytes
 of fingerprint and an index over three positions at a time (`KEYS` triples), so that
-a pair in a list has a tally of three at least. Each member is compared with its
-nearest ones of the list by exact similarity of their shingle sets. Pairs at 0.8
+a pair in a list has a tally of three at least. Each fingerprint is compared with the
+nearest lesser ones of all its lists by exact similarity of their shingle sets. Pairs at 0.8
 differ in some 77 bits of 512, and a triple meets them with a chance of 0.02, so the
 recall is high but not certain; it is measured in the README.
 
@@ -207,7 +207,11 @@ def _triples(n: int = KEYS, positions: int = 8 * WIDE) -> list[tuple[int, int, i
 
 
 def candidate_pairs(distinct: DataFrame, most: int = MOST) -> DataFrame:
-    """id and WIDE longs of fingerprint -> a, b (ids): of each list, every member with its nearest ones, none below the tally of its list."""
+    """id and WIDE longs of fingerprint -> a, b (ids, a < b): every b with the nearest of the lesser ids that share a list with it.
+
+    So a group of any size gives a few pairs a member, and each member a way to the
+    group's least id.
+    """
     names = ["fp", *(f"fp{k}" for k in range(1, WIDE))]
     spread = distinct.select("id", *names).repartition(shuffle_partitions(distinct.sparkSession), "id")
     triples = np.array(_triples())
@@ -230,7 +234,7 @@ def candidate_pairs(distinct: DataFrame, most: int = MOST) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: set[tuple[int, int]] = set()
+            found: dict[tuple[int, int], int] = {}
             for m in batch.column(0):
                 rows = m.values
                 ids = rows.field(0).to_numpy()
@@ -242,10 +246,13 @@ def candidate_pairs(distinct: DataFrame, most: int = MOST) -> DataFrame:
                     near = np.flatnonzero(apart <= FAR)
                     if len(near) > NEAREST:
                         near = near[np.argsort(apart[near], kind="stable")[:NEAREST]]
-                    found.update((int(ids[j]), int(ids[k])) for j in near)
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+                    found.update(((int(ids[j]), int(ids[k])), int(apart[j])) for j in near)
+            yield pa.RecordBatch.from_arrays([*(pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)), pa.array(list(found.values()), pa.int64())], ["a", "b", "apart"])
 
-    return staged(lists.select("members").mapInArrow(run, "a long, b long").distinct(), "candidates")
+    near = lists.select("members").mapInArrow(run, "a long, b long, apart long")
+    # At most NEAREST of each of KEYS lists meet here.
+    best = near.groupBy("b").agg(F.slice(F.array_sort(F.collect_set(F.struct("apart", "a"))), 1, NEAREST).alias("best"))
+    return staged(best.select("b", F.explode("best.a").alias("a")).select("a", "b"), "candidates")
 
 
 def jaccard(a: str | None, b: str | None, shingle: int = WORDS) -> float:
