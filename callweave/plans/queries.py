@@ -634,4 +634,4 @@ def message_owners(spark, d):
     return L.with_owner(rows, X.segment_procedures(rows, 3600.0, EVENT_OPENERS)).select("capture_id", "frame", "segment", "procedure")
 
 
-from callweave.plans import protocol_queries, scalar_queries  # noqa: E402, F401
+from callweave.plans import protocol_queries, scalar_queries, view_queries  # noqa: E402, F401
