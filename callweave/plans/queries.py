@@ -373,10 +373,10 @@ def role_contradictions(spark, d):
     return O.role_contradictions(O.resolve_roles(_votes(spark, d)))
 
 
-@query(", h as (select capture_id, e2e id, case when src_ip < dst_ip then src_ip || '|' || dst_ip else dst_ip || '|' || src_ip end peers, min(frame) first_frame, min(case when label = 'purchase' then frame end) af, count(*) messages from m where protocol = 'diameter' group by 1, 2, 3) select capture_id, id, count(*) hops, min(first_frame) first_frame, sum(messages)::bigint messages, case when count(af) > 0 then 'success' else 'unanswered' end outcome from h group by 1, 2")
+@query(", h as (select capture_id, e2e id, case when src_ip < dst_ip then src_ip || '|' || dst_ip else dst_ip || '|' || src_ip end peers, min(frame) first_frame, min(case when label = 'purchase' then frame end) af, count(*) messages from m where protocol = 'diameter' group by 1, 2, 3) select capture_id, id, count(*) hops, count(*) > 1 relayed, min(first_frame) first_frame, sum(messages)::bigint messages, case when count(af) > 0 then 'Update-Answer' end answer, case when count(af) > 0 then 'success' else 'unanswered' end outcome from h group by 1, 2")
 def diameter_transactions(spark, d):
     rows = messages(spark, d).withColumn("label", F.when(F.col("label") == "purchase", "Update-Answer").otherwise("Update-Request"))
-    return D.diameter_transactions(rows).drop("relayed", "answer")
+    return D.diameter_transactions(rows)
 
 
 @query("select capture_id, case when src_ip < dst_ip then src_ip || '|' || dst_ip else dst_ip || '|' || src_ip end as session, list_sort(list(distinct label)) commands, 1::bigint hops, count(*) messages, count(*) filter (is_failure) failures, min(frame) first_frame, round(max(ts) - min(ts), 6) duration from m where protocol = 'diameter' group by 1, 2")
@@ -634,4 +634,4 @@ def message_owners(spark, d):
     return L.with_owner(rows, X.segment_procedures(rows, 3600.0, EVENT_OPENERS)).select("capture_id", "frame", "segment", "procedure")
 
 
-from callweave.plans import protocol_queries, scalar_queries, view_queries  # noqa: E402, F401
+from callweave.plans import protocol_queries, rule_queries, scalar_queries, view_queries  # noqa: E402, F401
