@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from callweave import normalise
-from callweave.operators import correlate, procedures, roles, sequences
+from callweave.operators import correlate, privacy, procedures, roles, sequences
 from callweave.schema import MESSAGES
 from callweave.sources import readers
 
@@ -97,3 +97,10 @@ def test_result_of_the_group(spark, tmp_path):
     (tmp_path / "a.ndjson").write_text(frame(1, {"diameter": {"diameter_diameter_cmd_code": "318", "diameter_diameter_Vendor-Id": ["999", "10415"], "diameter_diameter_Experimental-Result": group, "diameter_diameter_Experimental-Result-Code": "5001"}}))
     got = normalise.normalise(readers.with_endpoints(readers.read_frames(spark, str(tmp_path / "a.ndjson")))).first()
     assert (got.cause.table, got.cause.value, got.is_failure) == ("diameter_3gpp", 5001, True)
+
+
+def test_what_a_scrub_changes():
+    text = "imsi-001010000000001 at 10.0.0.7, not 10.0.0.700 or 1.2.3; call tel:+15551234567 or +4915123456789. IMEI 490154203237518: no 12345; suci-0-001-01-0-0-0-123456789 me.you@mail.example.org 2001:db8::1 ims.mnc001.mcc999.3gppnetwork.org"
+    got = [(k, v) for _, _, k, v in privacy.spans_of(text)]
+    assert got == [("identity", "001010000000001"), ("ipv4", "10.0.0.7"), ("uri", "15551234567"), ("number", "4915123456789"), ("digits", "490154203237518"), ("identity", "123456789"), ("email", "me.you"), ("ipv6", "2001:db8::1"), ("plmn", "001"), ("plmn", "999")]
+    assert all(text[a:b] == v for a, b, _, v in privacy.spans_of(text)) and privacy.spans_of(None) == []
