@@ -37,7 +37,13 @@ SEGMENTS = "capture_id string, flow_id string, frame long, segment long, kind st
 
 
 class _Segments(StatefulProcessor):
-    """Per flow: the Segmenter's state; a flow's state goes when nothing came for the time to live."""
+    """Per flow: the Segmenter's state, and rows that the watermark hasn't passed yet.
+
+    Rows wait until no earlier one can come, and are then stepped in their order in
+    time, as in a batch. A flow's state goes when nothing came for the time to live.
+    """
+
+    ROW = "frame long, seq int, ts double, at long, label string, is_failure boolean"
 
     def __init__(self, quiet: float, openers, keep_ms: int):
         self.quiet, self.openers, self.keep_ms = quiet, openers, keep_ms
@@ -45,29 +51,44 @@ class _Segments(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.held = handle.getValueState("segmenter", "number long, kind string, success array<string>, last double, failed boolean, outcome boolean")
+        self.waiting = handle.getListState("waiting", self.ROW)
+
+    def _alarm(self, at_ms: int) -> None:
+        for t in self.handle.listTimers():
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(at_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        new = [(int(r.frame), int(r.seq), float(r.ts), int(r.event_time.value // 1_000_000), r.label, bool(r.is_failure)) for part in rows for r in part.itertuples()]
+        self.waiting.appendList(new)
+        self._alarm(min(r[3] for r in self.waiting.get()) + 1)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        rows, passed = list(self.waiting.get()), timerValues.getCurrentWatermarkInMs()
+        due = sorted(((r[2], r[0], r[1], r[4], r[5]) for r in rows if r[3] < passed))
+        if not due:
+            if not rows:
+                self.held.clear()
+            return
         had = self.held.get() if self.held.exists() else None
         machine = Segmenter(self.quiet, self.openers, (had[0], had[1], tuple(had[2]), had[3], had[4], had[5]) if had else None)
-        g = pd.concat(list(rows)).sort_values(["ts", "frame", "seq"])
-        got = [machine.step(t, x, f) for t, x, f in zip(g["ts"], g["label"], g["is_failure"], strict=True)]
+        got = [machine.step(ts, label, failed) for ts, _, _, label, failed in due]
         n, kind, success, last, failed, outcome = machine.state()
         self.held.update((n, kind, list(success), last, failed, outcome))
-        for t in self.handle.listTimers():
-            self.handle.deleteTimer(t)
-        self.handle.registerTimer(timers.getCurrentWatermarkInMs() + self.keep_ms)
-        yield pd.DataFrame({"capture_id": key[0], "flow_id": key[1], "frame": g["frame"].to_numpy(), "segment": pd.array([x[0] if x else None for x in got], "Int64"), "kind": [x[1] if x else None for x in got]})
-
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
-        self.held.clear()
-        yield from ()
+        left = [tuple(r) for r in rows if r[3] >= passed]
+        self.waiting.clear()
+        if left:
+            self.waiting.put(left)
+        self._alarm(min(r[3] for r in left) + 1 if left else passed + self.keep_ms)
+        yield pd.DataFrame({"capture_id": key[0], "flow_id": key[1], "frame": [r[1] for r in due], "segment": pd.array([x[0] if x else None for x in got], "Int64"), "kind": [x[1] if x else None for x in got]})
 
     def close(self) -> None:
         pass
 
 
 def segment_stream(messages: DataFrame, quiet: float = QUIET_GAP, openers=OPENERS, late: str = "1 minute", keep_ms: int = 3_600_000) -> DataFrame:
-    """Procedure segments as messages arrive: the batch rules, state per flow, event-time expiry."""
+    """Procedure segments as messages arrive: the batch rules in the order of time, a row once the watermark has passed it."""
     held = messages.where("flow_id is not null and protocol <> 'sip'").withWatermark("event_time", late).select("capture_id", "flow_id", "frame", "seq", "ts", "event_time", "label", "is_failure")
     return held.groupBy("capture_id", "flow_id").transformWithStateInPandas(_Segments(quiet, openers, keep_ms), SEGMENTS, "append", "eventTime")
 

@@ -210,8 +210,13 @@ def test_stream_segments_equal_batch(spark, table, tmp_path):
     labels = ["Registration request", "Registration accept", "Registration reject", "Service request", "Service accept", "x", "UEContextReleaseRequest", "UEContextReleaseComplete"]
     rows = [message(k, k * 0.4, (x := r.choice(labels)), flow=f"f{k % 3}", failed="reject" in x) for k in range(90)]
     batch = table(rows)
-    for n in range(3):
-        batch.where(f"frame >= {30 * n} and frame < {30 * n + 30}").coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    # Each file holds rows that are earlier than some of the file before; the last one moves the watermark past all.
+    files = [[] for _ in range(3)]
+    for k in range(90):
+        files[min(2, max(0, (k + r.randint(-12, 12)) // 30))].append(k)
+    for n, held in enumerate(files):
+        batch.where(F.col("frame").isin(held)).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    table([message(999, 90_000.0, "x", flow="end")]).coalesce(1).write.parquet(f"{tmp_path}/in/9")
     stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     q = live.segment_stream(stream).writeStream.format("memory").queryName("segments").outputMode("append").option("checkpointLocation", f"{tmp_path}/ck").start()
