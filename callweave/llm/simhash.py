@@ -19,8 +19,9 @@ list, long or short, is read in the same way.
 
 `similar` is for documents alike in their shingles rather than in 64 bits: 64 bytes
 of fingerprint and an index over three positions at a time (`KEYS` triples), so that
-a pair in a list has a tally of three at least. Each fingerprint is compared with the
-nearest lesser ones of all its lists by exact similarity of their shingle sets. Pairs at 0.8
+a pair in a list has a tally of three at least. The lists that a pair shares are
+tallied, and each fingerprint is compared with the lesser ones it shares most lists
+with, by exact similarity of their shingle sets. Pairs at 0.8
 differ in some 77 bits of 512, and a triple meets them with a chance of 0.02, so the
 recall is high but not certain; it is measured in the README.
 
@@ -31,6 +32,7 @@ and get the component's least non-null doc_id. Extra columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -50,10 +52,10 @@ BITS = 4
 SEED = 42
 #: Members of a list that are compared in one row; longer lists are split.
 MOST = 4096
-#: For `similar`: shingle, similarity, longs of a fingerprint, triples of byte positions, nearest members that a member is compared with.
+#: For `similar`: shingle, similarity, longs of a fingerprint, triples of byte positions, lesser ones that a fingerprint is compared with.
 WORDS, ALIKE, WIDE, KEYS, NEAREST = 5, 0.8, 8, 256, 3
-#: Differing bits of 512 beyond which no pair is compared: at a similarity of 0.8 the mean is 77, with a deviation of 8.
-FAR = 128
+#: Lists of up to so many members give all pairs, longer ones each member with the one before it and the first.
+FEW = 8
 
 
 def shingles(text: str | None, shingle: int) -> np.ndarray:
@@ -207,7 +209,7 @@ def _triples(n: int = KEYS, positions: int = 8 * WIDE) -> list[tuple[int, int, i
 
 
 def candidate_pairs(distinct: DataFrame, most: int = MOST) -> DataFrame:
-    """id and WIDE longs of fingerprint -> a, b (ids, a < b): every b with the nearest of the lesser ids that share a list with it.
+    """id and WIDE longs of fingerprint -> a, b (ids, a < b): every b with those of the lesser ids that share most lists with it.
 
     So a group of any size gives a few pairs a member, and each member a way to the
     group's least id.
@@ -226,32 +228,32 @@ def candidate_pairs(distinct: DataFrame, most: int = MOST) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(len(triples), dtype=np.int16), len(codes))), pa.array(keys.ravel()), pa.array(ids)], ["k", "bytes", "id"])
 
     posted = spread.mapInArrow(post, "k short, bytes int, id long")
-    counted = staged(posted.groupBy("k", "bytes").agg(F.count("*").alias("n")).where("n > 1"), "lists")
-    held = staged(posted.join(counted.hint("merge"), ["k", "bytes"]), "postings").join(distinct.select("id", *names).hint("merge"), "id")
-    # Long lists are dealt into blocks, differently for every triple.
-    block = F.when(F.col("n") > most, F.pmod(F.xxhash64("k", "id"), F.ceil(F.col("n") / most))).otherwise(F.lit(0).cast("long"))
-    lists = held.withColumn("block", block).groupBy("k", "bytes", "block").agg(F.collect_list(F.struct("id", *names)).alias("members"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hot = staged(posted.groupBy("k", "bytes").agg(F.count("*").alias("n")).where(F.col("n") > most), "hot")
+    members = F.collect_list("id").alias("members")
+    if hot.isEmpty():
+        lists = posted.groupBy("k", "bytes").agg(members)
+    else:
+        # Long lists are dealt into blocks, differently for every triple.
+        cold = posted.join(hot.hint("merge"), ["k", "bytes"], "left_anti").groupBy("k", "bytes").agg(members)
+        block = F.pmod(F.xxhash64("k", "id"), F.ceil(F.col("n") / most))
+        blocks = posted.join(hot.hint("merge"), ["k", "bytes"]).withColumn("block", block).groupBy("k", "bytes", "block").agg(members)
+        lists = cold.select("members").unionByName(blocks.select("members"))
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: dict[tuple[int, int], int] = {}
-            for m in batch.column(0):
-                rows = m.values
-                ids = rows.field(0).to_numpy()
-                codes = np.stack([rows.field(1 + k).to_numpy().view(np.uint64) for k in range(WIDE)], 1)
-                order = np.argsort(ids)
-                ids, codes = ids[order], codes[order]
-                for k in range(1, len(ids)):
-                    apart = np.bitwise_count(codes[:k] ^ codes[k]).sum(1, dtype=np.int64)
-                    near = np.flatnonzero(apart <= FAR)
-                    if len(near) > NEAREST:
-                        near = near[np.argsort(apart[near], kind="stable")[:NEAREST]]
-                    found.update(((int(ids[j]), int(ids[k])), int(apart[j])) for j in near)
-            yield pa.RecordBatch.from_arrays([*(pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)), pa.array(list(found.values()), pa.int64())], ["a", "b", "apart"])
-
-    near = lists.select("members").mapInArrow(run, "a long, b long, apart long")
-    # At most NEAREST of each of KEYS lists meet here.
-    best = near.groupBy("b").agg(F.slice(F.array_sort(F.collect_set(F.struct("apart", "a"))), 1, NEAREST).alias("best"))
+            tally: Counter[tuple[int, int]] = Counter()
+            for m in batch.column(0).to_pylist():
+                m.sort()
+                if len(m) <= FEW:
+                    tally.update(combinations(m, 2))
+                else:
+                    tally.update({p for before, x in zip(m, m[1:], strict=False) for p in ((m[0], x), (before, x))})
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in tally], pa.int64()), pa.array([p[1] for p in tally], pa.int64()), pa.array(list(tally.values()), pa.int64())], ["a", "b", "tally"])
+
+    met = lists.where(F.size("members") > 1).select("members").mapInArrow(pair, "a long, b long, tally long")
+    each = met.groupBy("a", "b").agg(F.sum("tally").alias("tally"))
+    # At most FEW of each of KEYS lists meet here.
+    best = each.groupBy("b").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("tally")).alias("t"), "a"))), 1, NEAREST).alias("best"))
     return staged(best.select("b", F.explode("best.a").alias("a")).select("a", "b"), "candidates")
 
 
