@@ -92,8 +92,10 @@ def checked(made: DataFrame, name: str) -> DataFrame:
 
 
 def sequenced(union: DataFrame) -> DataFrame:
-    """seq: the place of a message in its frame, by protocol order and block."""
-    w = Window.partitionBy("capture_id", "frame").orderBy("__order", "protocol", "block", "label")
+    """seq: the place of a message in its frame, by protocol order and block; on a stream a number in the same order, with gaps."""
     names = ["capture_id", "frame", "seq", "ts", "event_time", "protocol", "label", "src", "dst", "keys", "releases", "quotes", "cause", "is_failure", "detail"]
+    if union.isStreaming:
+        return union.withColumn("seq", (F.col("__order") * 65536 + F.col("block")).cast("int")).select(names)
+    w = Window.partitionBy("capture_id", "frame").orderBy("__order", "protocol", "block", "label")
     return union.withColumn("seq", (F.row_number().over(w) - 1).cast("int")).select(names)
 

@@ -44,3 +44,15 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
         raise RuntimeError("components did not converge")
     ends = now.groupBy("u").agg(F.min("v").alias("v"))
     return nodes.distinct().join(ends, "u", "left").select(F.col("u").alias("node"), F.coalesce("v", "u").alias("component"))
+
+
+def chain_ends(links: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
+    """a, b with every chain a -> b -> ... followed to its end, by pointer doubling. Each a has one b; there are no rings."""
+    now = staged(links.select(a, b), "chains")
+    for _ in range(max_rounds):
+        ahead = now.select(F.col(a).alias(b), F.col(b).alias("__next"))
+        now = staged(now.join(ahead, b, "left").select(a, F.coalesce("__next", b).alias(b), F.col("__next").isNotNull().alias("moved")), "chains")
+        if now.where("moved").isEmpty():
+            return now.select(a, b)
+        now = now.select(a, b)
+    raise RuntimeError("the chains have no end")

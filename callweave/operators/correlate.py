@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +11,7 @@ from pyspark.sql.window import Window
 
 from callweave.functions.staging import staged
 from callweave.operators.components import connected_components
+from callweave.operators.quotes import apply_quotes as apply_quotes
 from callweave.operators.rollups import exchange_only
 from callweave.schema import REUSABLE, ROW, SOLITARY, SUBSCRIBER
 
@@ -33,7 +33,11 @@ def correlate(messages: DataFrame) -> DataFrame:
     Keyless rows never enter the joins on keys. Components of exchange keys
     alone share the null flow.
     """
-    parts = staged(connected_components(edges_of(messages), "a", "b"), "components")
+    return with_flows(messages, staged(connected_components(edges_of(messages), "a", "b"), "components"))
+
+
+def with_flows(messages: DataFrame, parts: DataFrame) -> DataFrame:
+    """messages with flow_id from their keys' components (node, component)."""
     kinds = parts.withColumn("kind", F.regexp_extract("node", r"^[^|]*\|([^=]*)=", 1))
     worthy = kinds.groupBy("component").agg(F.max(~F.col("kind").isin("sbi_stream", "h248_transaction", "gtpv2_transaction")).alias("worthy")).where("worthy").select("component")
     flows = staged(parts.join(worthy, "component").select("node", F.col("component").alias("flow_id")), "flows")
@@ -145,7 +149,9 @@ def assign_episodes(messages: DataFrame) -> DataFrame:
             for c, keys, releases in zip(batch.column("component").to_pylist(), batch.column("keys").to_pylist(), batch.column("releases").to_pylist(), strict=True):
                 if c != component:
                     component, state = c, Episodes()
-                made.append([{"kind": k, "value": v} for k, v in state.step(plain(keys), plain(releases))])
+                # Solitary kinds are counted over all messages, below.
+                named = iter(state.step([k for k in plain(keys) if k[0] not in SOLITARY], [k for k in plain(releases) if k[0] not in SOLITARY]))
+                made.append([{"kind": k, "value": v} for k, v in (x if x[0] in SOLITARY else next(named) for x in plain(keys))])
             out = batch.select(cols)
             yield out.set_column(place, out.schema.field(place), pa.array(made, out.schema.field(place).type))
 
@@ -168,49 +174,6 @@ def _solitary(messages: DataFrame) -> DataFrame:
     return joined.withColumn("keys", F.when(F.col("__e").isNotNull(), keys).otherwise(F.col("keys"))).drop("__e")
 
 
-def replay_quotes(rows: pd.DataFrame) -> pd.DataFrame:
-    """One weak super-component: quotes in frame order join their flows unless that would put two SUPIs together."""
-    parent: dict[str, str] = {}
-    people: dict[str, set] = {}
-
-    def find(x: str) -> str:
-        while parent.get(x, x) != x:
-            x = parent[x]
-        return x
-
-    for flow, supis in {**dict(zip(rows["a"], rows["a_supis"])), **dict(zip(rows["b"], rows["b_supis"]))}.items():
-        people[flow] = set(supis)
-    out = []
-    for r in rows.sort_values(["frame", "a", "b"]).itertuples():
-        a, b = find(r.a), find(r.b)
-        if a == b:
-            verdict = "already joined"
-        elif people[a] and people[b] and len(people[a] | people[b]) > 1:
-            verdict = "refused"
-        else:
-            root, leaf = min(a, b), max(a, b)
-            parent[leaf], verdict = root, "joined"
-            people[root] |= people[leaf]
-        out.append((r.frame, r.a, r.b, verdict))
-    frame = pd.DataFrame(out, columns=["frame", "a", "b", "verdict"])
-    return frame.assign(a_flow=[find(x) for x in frame["a"]], b_flow=[find(x) for x in frame["b"]])
-
-
-def apply_quotes(quotes: DataFrame, flow_supis: DataFrame) -> DataFrame:
-    """quotes (frame, a, b: flows that a bound quote would join) -> verdict and final flows.
-
-    flow_supis: flow_id, supis. Flows are grouped by connected components of
-    the quotes, and each group is replayed in order.
-    """
-    parts = staged(connected_components(quotes, "a", "b"), "quote_parts")
-    held = quotes.join(parts, quotes["a"] == parts["node"]).select("component", "frame", "a", "b")
-    for end in ("a", "b"):
-        held = held.join(flow_supis.select(F.col("flow_id").alias(end), F.col("supis").alias(f"{end}_supis")), end, "left")
-    empty = F.array().cast("array<string>")
-    held = held.withColumns({"a_supis": F.coalesce("a_supis", empty), "b_supis": F.coalesce("b_supis", empty)})
-    return held.groupBy("component").applyInPandas(replay_quotes, "frame long, a string, b string, verdict string, a_flow string, b_flow string")
-
-
 def merge_legs(legs: DataFrame) -> DataFrame:
     """Legs (capture_id, leg, icid, start, end) -> call: legs of one ICID that overlap in time; no ICID: a call each."""
     w = Window.partitionBy("capture_id", "icid").orderBy("start", "end", "leg")

@@ -12,16 +12,21 @@ def get(path: str, kind: str = "string", of: str = "layers") -> Column:
     return F.coalesce(F.try_variant_get(of, f"$.{path}[0]", kind), F.try_variant_get(of, f"$.{path}", kind))
 
 
+def frame_rows(lines: DataFrame) -> DataFrame:
+    """value, capture_id -> capture_id, frame, abs_ts, layers: rows with a frame number; row by row, so a stream will do."""
+    held = lines.select("capture_id", F.try_parse_json("value").alias("v")).where("v is not null")
+    number = F.coalesce(F.try_variant_get("v", "$.layers.frame.frame_frame_number[0]", "string"), F.try_variant_get("v", "$.layers.frame.frame_frame_number", "string")).try_cast("long")
+    stamp = F.try_variant_get("v", "$.timestamp", "string").try_cast("double") / 1000
+    return held.select("capture_id", number.alias("frame"), stamp.alias("abs_ts"), F.try_variant_get("v", "$.layers", "variant").alias("layers")).where("frame is not null")
+
+
 def parse_frames(lines: DataFrame) -> DataFrame:
     """value, capture_id -> frames: rows with a frame number; blank, malformed and index-only lines are left out.
 
     abs_ts is the timestamp in seconds (null: no clock); ts counts from the
     capture's first kept frame.
     """
-    held = lines.select("capture_id", F.try_parse_json("value").alias("v")).where("v is not null")
-    number = F.coalesce(F.try_variant_get("v", "$.layers.frame.frame_frame_number[0]", "string"), F.try_variant_get("v", "$.layers.frame.frame_frame_number", "string")).try_cast("long")
-    stamp = F.try_variant_get("v", "$.timestamp", "string").try_cast("double") / 1000
-    rows = held.select("capture_id", number.alias("frame"), stamp.alias("abs_ts"), F.try_variant_get("v", "$.layers", "variant").alias("layers")).where("frame is not null")
+    rows = frame_rows(lines)
     base = rows.groupBy("capture_id").agg(F.min_by("abs_ts", F.when(F.col("abs_ts").isNotNull(), F.col("frame"))).alias("base"))
     return rows.join(base, "capture_id").withColumn("ts", F.round(F.col("abs_ts") - F.col("base"), 6)).drop("base")
 

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from callweave.functions.staging import staged
 from callweave.operators.procedures import OPENERS, QUIET_GAP, Segmenter
+from callweave.streaming.ordered import marked_late
 
 
 def unanswered(requests: DataFrame, answers: DataFrame, key: str, within: str = "10 seconds", late: str = "1 minute") -> DataFrame:
@@ -94,12 +96,15 @@ def segment_stream(messages: DataFrame, quiet: float = QUIET_GAP, openers=OPENER
 
 
 def write_with_late_rows(messages: DataFrame, path: str, late_path: str, checkpoint: str, behind: str = "1 minute"):
-    """Starts a query that appends rows in time to path and rows behind the bound of their batch to late_path, where they count."""
+    """Starts a query that appends rows in time to path and rows behind the query's own watermark to late_path, where they count.
 
-    def split(batch: DataFrame, _: int) -> None:
-        newest = F.lit(batch.agg(F.max("event_time")).first()[0]).cast("timestamp")
-        late = F.coalesce(F.col("event_time") < newest - F.expr(f"interval {behind}"), F.lit(False))
-        batch.where(~late).write.mode("append").parquet(path)
-        batch.where(late).write.mode("append").parquet(late_path)
+    Whether a row is late is settled once, before the batch is written; a batch that
+    is run again after a failure replaces what it had written.
+    """
+
+    def split(batch: DataFrame, number: int) -> None:
+        held = staged(batch, "late-rows")
+        for late, where in ((False, path), (True, late_path)):
+            held.where(F.col("late") == late).drop("late").write.mode("overwrite").parquet(f"{where}/batch={number}")
 
-    return messages.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint)
+    return marked_late(messages, behind).writeStream.foreachBatch(split).option("checkpointLocation", checkpoint)

@@ -6,12 +6,14 @@ at = lambda s: datetime.fromtimestamp(1_700_000_000 + s, UTC)
 
 
 def test_late_rows_are_kept_apart(spark, tmp_path):
-    rows = spark.createDataFrame([(1, at(0)), (2, at(300)), (3, at(290)), (4, None)], "frame long, event_time timestamp")
-    rows.coalesce(1).write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema = "frame long, event_time timestamp"
+    for k, rows in enumerate([[(2, at(300)), (3, at(290)), (4, None)], [(1, at(0)), (5, at(301))]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
     q = live.write_with_late_rows(stream, f"{tmp_path}/out", f"{tmp_path}/late", f"{tmp_path}/ck").trigger(availableNow=True).start()
     assert q.awaitTermination(120)
-    assert sorted(r.frame for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [2, 3, 4]
+    assert sorted(r.frame for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [2, 3, 4, 5]
     assert [r.frame for r in spark.read.parquet(f"{tmp_path}/late").collect()] == [1]
 
 
