@@ -1,22 +1,26 @@
-"""Keyed pseudonyms, text scrub, and the leak scan."""
+"""Keyed pseudonyms, text scrub with learned words, the survey before it, and the leak scan."""
 
 from __future__ import annotations
 
-import hashlib
-import hmac
 import re
 from collections.abc import Iterator
 from ipaddress import ip_address
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from callweave.operators.permutation import STRUCTURE, TLDS, Permuter
+
 #: Characters that identifiers are written with, those of single numbers and names, and mail addresses.
 _RUN = re.compile(r"[0-9A-Za-z+:.@%_-]+", re.ASCII)
 _PIECE = re.compile(r"[0-9A-Za-z+.-]+", re.ASCII)
 _MAIL = re.compile(r"([A-Za-z0-9._%+-]+)@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", re.ASCII)
-_NETWORK = re.compile(r"mnc([0-9]{2,3})\.mcc([0-9]{3})", re.IGNORECASE)
+_NETWORK = re.compile(r"mnc[0-9]{2,3}\.mcc[0-9]{3}", re.IGNORECASE)
+_LABEL = re.compile(r"[0-9A-Za-z](?:[0-9A-Za-z_-]*[0-9A-Za-z])?", re.ASCII)
+#: Words of an automaton at most; more of them are matched in further passes.
+WORDS = 100_000
 #: Names that stand before an identifier, and schemes before a user part.
 TAGS, SCHEMES = ("imsi", "msisdn", "imei", "nai", "suci"), ("sip", "sips", "tel")
 #: Digits of an international number without its + (E.164), and of an IMSI or IMEI that stands alone.
@@ -39,21 +43,30 @@ def _six(text: str) -> bool:
         return False
 
 
-def identifiers(run: str) -> list[tuple[int, int, str]]:
+def _host(piece: str) -> bool:
+    """A host name: three labels or more, or two with a known last one, and a letter in the last."""
+    labels = piece.split(".")
+    return len(labels) > 1 and all(map(_LABEL.fullmatch, labels)) and not labels[-1].isdigit() and (len(labels) > 2 or labels[-1].lower() in TLDS)
+
+
+def identifiers(run: str, hosts: bool = False) -> list[tuple[int, int, str]]:
     """(start, end, kind) of what has to change in a run of identifier characters; the first reading that holds is taken.
 
     A URI with a number as user, mail addresses, an IPv6 address, then piece by
-    piece: tagged identifiers (of a SUCI the last field), IPv4, international
-    numbers, bare subscriber or equipment numbers, and network names.
+    piece: tagged identifiers (a SUCI whole), IPv4, international numbers, bare
+    subscriber or equipment numbers, host names if asked for, and network names.
     """
     scheme, colon, rest = run.partition(":")
     user = rest.partition("@")[0].lstrip("+").rstrip(".")
     if colon and scheme.lower() in SCHEMES and _number(user) and len(user) >= 5:
         at = run.index(user, len(scheme) + 1)
-        return [(at, at + len(user), "uri")]
+        at_sign = run.find("@", at)
+        rest = [(at_sign + 1 + a, at_sign + 1 + b, k) for a, b, k in identifiers(run[at_sign + 1 :], hosts)] if at_sign > 0 else []
+        return [(at, at + len(user), "uri"), *rest]
     mails = [(*m.span(1), "email") for m in _MAIL.finditer(run)]
     if mails:
-        return mails
+        domains = [(m.end(1) + 1, m.end(), "fqdn") for m in _MAIL.finditer(run)] if hosts else []
+        return sorted(mails + domains)
     bare = run.strip(".-")
     if _six(bare):
         at = run.index(bare)
@@ -63,53 +76,80 @@ def identifiers(run: str) -> list[tuple[int, int, str]]:
         piece = m[0].strip(".-")
         at, fields = m.start() + m[0].find(piece), piece.split("-")
         if len(fields) > 1 and fields[0].lower() in TAGS and _number(fields[-1]) and len(fields[-1]) >= 5:
-            out.append((at + len(piece) - len(fields[-1]), at + len(piece), "identity"))
+            tag = fields[0].lower()
+            if tag == "suci":
+                out.append((at, at + len(piece), "suci"))
+            else:
+                out.append((at + len(piece) - len(fields[-1]), at + len(piece), "imsi" if tag == "imsi" else "identity"))
         elif _quad(piece):
             out.append((at, at + len(piece), "ipv4"))
         elif piece.startswith("+") and _number(piece[1:]) and len(piece) - 1 in E164:
             out.append((at + 1, at + len(piece), "number"))
         elif _number(piece) and len(piece) in BARE:
             out.append((at, at + len(piece), "digits"))
+        elif hosts and _host(piece):
+            out.append((at, at + len(piece), "fqdn"))
         else:
-            out += [(at + a, at + b, "plmn") for n in _NETWORK.finditer(piece) for a, b in (n.span(1), n.span(2))]
+            out += [(at + n.start(), at + n.end(), "plmn") for n in _NETWORK.finditer(piece)]
     return out
 
 
 def pseudonym(key: bytes, kind: str, value: str) -> str:
-    """Same length, character by character of the same class; an IPv4's octets keep their width and stay below 256."""
-    stream, n = b"", 0
-    while len(stream) < 2 * len(value) + 8:
-        stream += hmac.new(key, f"{kind}:{value}:{n}".encode(), hashlib.sha256).digest()
-        n += 1
-    if kind == "ipv4":
-        lows = {1: (1, 9), 2: (10, 99), 3: (100, 223)}
-        parts = value.split(".")
-        return ".".join(str(lows[len(p)][0] + stream[i] % (lows[len(p)][1] - lows[len(p)][0] + 1)) for i, p in enumerate(parts))
-    digit = "0123456789abcdef" if kind == "ipv6" else "0123456789"
-    low, up = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    out = []
-    for i, c in enumerate(value):
-        pool = digit if c in digit else low if c in low else up if c in up else None
-        out.append(pool[(stream[2 * i] * 256 + stream[2 * i + 1]) % len(pool)] if pool else c)
-    return "".join(out)
+    """Same length, character by character of the same class, and another for every original of a kind."""
+    return Permuter(key).of(kind, value)
 
 
-def pseudonyms(values: DataFrame, key: bytes) -> DataFrame:
-    """kind, value -> pseudonym, once per distinct value; `collides` where two values of a kind got the same."""
+def pseudonyms(values: DataFrame, key: bytes, mcc3: tuple[str, ...] = ()) -> DataFrame:
+    """kind, value -> pseudonym, once per distinct value; `collides` where two values of a kind got the same, which would be an error."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = Permuter(key, mcc3)
         for p in parts:
-            yield p.assign(pseudonym=[pseudonym(key, k, v) for k, v in zip(p["kind"], p["value"], strict=True)])
+            yield p.assign(pseudonym=[held.of(k, v) for k, v in zip(p["kind"], p["value"], strict=True)])
 
     made = values.select("kind", "value").where("kind is not null and value is not null").distinct().mapInPandas(run, "kind string, value string, pseudonym string")
     twice = made.groupBy("kind", "pseudonym").agg(F.count("*").alias("n"))
     return made.join(twice, ["kind", "pseudonym"]).select("kind", "value", "pseudonym", (F.col("n") > 1).alias("collides"))
 
 
-def spans_of(text: str | None) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, original) of what the scrub finds; non-overlapping."""
+def automaton(words: list[str]) -> ahocorasick.Automaton | None:
+    made = ahocorasick.Automaton()
+    for w in words:
+        made.add_word(w.lower(), w)
+    if not len(made):
+        return None
+    made.make_automaton()
+    return made
+
+
+def _words_in(text: str, words: ahocorasick.Automaton) -> Iterator[tuple[int, int]]:
+    """Leftmost longest learned words that no letter or digit touches."""
+    low = "".join(c.lower() if c.isascii() else c for c in text)
+    held: dict[int, int] = {}
+    for last, word in words.iter(low):
+        first = last - len(word) + 1
+        if not (first and low[first - 1].isalnum()) and not (last + 1 < len(low) and low[last + 1].isalnum()):
+            held[first] = max(held.get(first, 0), last + 1)
+    upto = 0
+    for first in sorted(held):
+        if first >= upto:
+            yield first, held[first]
+            upto = held[first]
+
+
+def spans_of(text: str | None, words: ahocorasick.Automaton | None = None, hosts: bool = False) -> list[tuple[int, int, str, str]]:
+    """(start, end, kind, original) of what the scrub finds; non-overlapping, identifiers before learned words."""
     text = text or ""
-    return [(m.start() + a, m.start() + b, kind, m[0][a:b]) for m in _RUN.finditer(text) for a, b, kind in identifiers(m[0])]
+    found = [(m.start() + a, m.start() + b, kind, m[0][a:b]) for m in _RUN.finditer(text) for a, b, kind in identifiers(m[0], hosts)]
+    if words is None:
+        return found
+    free, at = [], 0
+    for s, e in _words_in(text, words):
+        while at < len(found) and found[at][1] <= s:
+            at += 1
+        if at == len(found) or found[at][0] >= e:
+            free.append((s, e, "word", text[s:e]))
+    return sorted(found + free)
 
 
 def originals(df: DataFrame, id_: str, text: str) -> DataFrame:
@@ -123,33 +163,58 @@ def originals(df: DataFrame, id_: str, text: str) -> DataFrame:
     return df.select(F.col(id_).cast("long").alias("id"), F.col(text).alias("text")).mapInPandas(run, "id long, kind string, value string, start long")
 
 
-def scrub(df: DataFrame, text: str, key: bytes) -> DataFrame:
-    """df with the findings in text replaced by pseudonyms of the same length."""
-    names = df.columns
+def _blocks(words: DataFrame, size: int) -> Iterator[list[str]]:
+    """The learned words, at most `size` at a time on the driver."""
+    held: list[str] = []
+    for row in words.select("word").where("word is not null and word <> ''").distinct().toLocalIterator():
+        held.append(row[0])
+        if len(held) == size:
+            yield held
+            held = []
+    if held:
+        yield held
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[tuple[str, str], str] = {}
-
-        def fake(kind: str, value: str) -> str:
-            if len(known) > 200_000:
-                known.clear()
-            if (kind, value) not in known:
-                known[kind, value] = pseudonym(key, kind, value)
-            return known[kind, value]
-
-        def clean(t):
-            if not isinstance(t, str):
-                return t
-            out, at = [], 0
-            for s, e, kind, value in spans_of(t):
-                out += [t[at:s], fake(kind, value)]
-                at = e
-            return "".join(out) + t[at:]
 
-        for p in parts:
-            yield p.assign(**{text: p[text].map(clean)})[names]
+def scrub(df: DataFrame, text: str, key: bytes, words: DataFrame | None = None, mcc3: tuple[str, ...] = (), block: int = WORDS) -> DataFrame:
+    """df with the findings in text replaced by pseudonyms of the same length.
 
-    return df.mapInPandas(run, df.schema)
+    words (word): what a survey learned; then host names are replaced too. Texts are
+    read once for all words of a block, whatever their number, and a further time
+    only for the words beyond it: what one pass has replaced is marked, so that no
+    pass reads another's pseudonyms.
+    """
+    names = df.columns
+    hosts = words is not None
+    passes: list[tuple[list[str] | None, bool]] = [(None, True)]
+    if words is not None:
+        blocks = list(enumerate(_blocks(words, block)))
+        passes = [(held, n == 0) for n, held in blocks] or passes
+
+    def cleaned(df: DataFrame, held: list[str] | None, first: bool) -> DataFrame:
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            fake, machine = Permuter(key, mcc3), automaton(held or [])
+
+            def clean(t, done):
+                if not isinstance(t, str):
+                    return t, done
+                spans = spans_of(t, machine, hosts) if first else [(s, e, "word", t[s:e]) for s, e in (_words_in(t, machine) if machine else ())]
+                spans = [x for x in spans if all(x[1] <= s or x[0] >= e for s, e in done)]
+                out, at = [], 0
+                for s, e, kind, value in spans:
+                    out += [t[at:s], fake.of(kind, value)]
+                    at = e
+                return "".join(out) + t[at:], [*done, *((s, e) for s, e, _, _ in spans)]
+
+            for p in parts:
+                both = [clean(t, [tuple(x) for x in d]) for t, d in zip(p[text], p["__done"], strict=True)]
+                yield p.assign(**{text: [b[0] for b in both], "__done": [[list(x) for x in b[1]] for b in both]})
+
+        return df.mapInPandas(run, df.schema)
+
+    out = df.withColumn("__done", F.array().cast("array<array<int>>"))
+    for held, first in passes:
+        out = cleaned(out, held, first)
+    return out.select(names)
 
 
 def tokens(text: Column) -> Column:
@@ -184,3 +249,40 @@ def survey_plmn(texts: DataFrame, text: str) -> DataFrame:
     """PLMN pairs that 3GPP names in the data declare: mcc, mnc, how often."""
     pairs = F.regexp_extract_all(text, F.lit(r"mnc([0-9]{2,3})\.mcc([0-9]{3})"), 0)
     return texts.select(F.explode(pairs).alias("p")).groupBy(F.regexp_extract("p", r"mcc([0-9]{3})", 1).alias("mcc"), F.regexp_extract("p", r"mnc([0-9]{2,3})", 1).alias("mnc")).agg(F.count("*").alias("n"))
+
+
+def learn_words(names: DataFrame, name: str, least: int = 4) -> DataFrame:
+    """word, n: parts of host names that say whose they are, to be found wherever they stand: labels, and what hyphens divide, of `least` characters with a letter in them; nothing that only says what an element is."""
+    labels = F.split(F.lower(F.col(name)), r"\.")
+    whole = names.select(F.explode(labels).alias("label")).where("label is not null")
+    parts = whole.select(F.explode(F.array_distinct(F.concat(F.array("label"), F.split("label", "[-_]")))).alias("word"))
+    numbered = "^(" + "|".join(sorted(STRUCTURE, key=len, reverse=True)) + ")[0-9]+$"
+    kept = parts.where((F.length("word") >= least) & F.col("word").rlike("[a-z]") & ~F.col("word").rlike("^(mnc|mcc)[0-9]+$") & ~F.col("word").rlike(numbered) & ~F.col("word").isin(*sorted(STRUCTURE | TLDS)))
+    return kept.groupBy("word").agg(F.count("*").alias("n"))
+
+
+def host_names(df: DataFrame, text: str) -> DataFrame:
+    """name: host names that texts hold."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            yield pd.DataFrame({"name": [v for t in p["text"] for _, _, kind, v in spans_of(t, hosts=True) if kind == "fqdn"]}, dtype=object)
+
+    return df.select(F.col(text).alias("text")).where("text is not null").mapInPandas(run, "name string")
+
+
+def learned_mcc3(pairs: DataFrame) -> tuple[str, ...]:
+    """Country codes that the data (mcc, mnc, n) show with network codes of three digits, not counting a zero in front. At most a thousand."""
+    return tuple(sorted(r[0] for r in pairs.where("length(mnc) = 3 and mnc not like '0%' and length(mcc) = 3").select("mcc").distinct().collect()))
+
+
+def keyed_columns(df: DataFrame, columns: list[str], key: bytes) -> DataFrame:
+    """Values that place an element or cell (tracking areas, cell ids; decimal or hexadecimal text), permuted under the key."""
+
+    @F.pandas_udf("string")
+    def keyed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        fake = Permuter(key)
+        for p in parts:
+            yield p.map(lambda v: fake.of("topology", v) if isinstance(v, str) else None)
+
+    return df.withColumns({c: keyed(c) for c in columns})
