@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callweave.operators.sequences import detail
-from callweave.schema import ROW
+from callweave.operators.validity import owned, owner_at, values_of
+from callweave.schema import IN_TIME, ROW
 
 
 def with_owner(messages: DataFrame, segments: DataFrame) -> DataFrame:
@@ -60,3 +61,31 @@ def numbers_in_calls(calls: DataFrame, subscribers: DataFrame) -> DataFrame:
     by_flow = calls.join(subscribers.select("capture_id", "flow_id", "subscriber"), ["capture_id", "flow_id"]).select("capture_id", "call", "subscriber")
     by_number = calls.where("number like '+%'").join(subscribers.select("capture_id", "number", "subscriber"), ["capture_id", "number"]).select("capture_id", "call", "subscriber")
     return by_flow.unionByName(by_number).distinct()
+
+
+def sightings_of_addresses(messages: DataFrame) -> DataFrame:
+    """address, supi, ts, frame, seq: what messages say about which subscriber's session holds a UE address, and when its session is released."""
+    supi = F.get(values_of("supi", F.col("keys")), F.lit(0))
+    freed = F.col("label").rlike("(?i)release|delet|detach|deregistration")
+    return messages.select("capture_id", detail("ue-ipv4").alias("address"), supi.alias("supi"), *IN_TIME, freed.alias("released")).where("address is not null and supi is not null")
+
+
+def subscriber_of_address(targets: DataFrame, messages: DataFrame) -> DataFrame:
+    """targets (capture_id, address, ts) with the SUPI that held the UE address at that time; null where nobody is known to."""
+    held = owned(sightings_of_addresses(messages), ["capture_id", "address"], "supi", "ts", list(IN_TIME), "released")
+    return owner_at(targets, held, ["capture_id", "address"], "ts", "supi")
+
+
+def session_messages(messages: DataFrame) -> DataFrame:
+    """capture_id, supi, pdu_id, frame, seq, protocol, side: PFCP and GTP-U messages on the tunnels of each PDU session, while it had them.
+
+    Tunnels are the keys that a message with subscriber and session id states; another
+    session that states the same tunnel later has it from then on.
+    """
+    supi = F.get(values_of("supi", F.col("keys")), F.lit(0))
+    stated = messages.select("capture_id", *IN_TIME, supi.alias("supi"), detail("pdu-session-id").alias("pdu_id"), F.coalesce(detail("gtp-teid-owner"), F.lit("upf")).alias("side"), F.explode(values_of("gtp_teid", F.col("keys"))).alias("tunnel"), F.lit(False).alias("released"))
+    stated = stated.where("supi is not null and pdu_id is not null").withColumn("owner", F.struct("supi", "pdu_id", "side"))
+    held = owned(stated, ["capture_id", "tunnel"], "owner", "ts", list(IN_TIME), "released")
+    rows = messages.where("protocol in ('pfcp', 'gtp')").select("capture_id", *IN_TIME, "protocol", F.explode(F.array_distinct(values_of("gtp_teid", F.col("keys")))).alias("tunnel"))
+    got = owner_at(rows, held, ["capture_id", "tunnel"], "ts", "owner").where("owner is not null")
+    return got.select("capture_id", "owner.supi", "owner.pdu_id", "frame", "seq", "protocol", "owner.side").distinct()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from callweave.functions.staging import staged
 from callweave.operators.rollups import dimension
 
 QUOTE_AGE, FORWARD_LEAD = 60.0, 10.0
@@ -58,6 +59,44 @@ def pair_hops(requests: DataFrame, answers: DataFrame, slot: list[str], order: l
     return r.join(a, [*slot, "n"], "full")
 
 
+#: Diameter: a hop by its peers and hop-by-hop id, then by its peers and end-to-end id.
+HOP_STAGES = (("hop", ("capture_id", "peers", "hop")), ("end", ("capture_id", "peers", "end")))
+
+
+def pair_cascade(requests: DataFrame, answers: DataFrame, stages=HOP_STAGES, order: tuple[str, ...] = ("frame", "seq")) -> DataFrame:
+    """request, answer (structs of their rows), stage: pairs by the first stage's slot, then by the next one's among what is left.
+
+    In a slot the n-th request meets the n-th answer. A row that lacks a part of a
+    slot waits for a later stage; what no stage pairs is a leg of its own ("loose"):
+    rather one leg more than two messages that don't belong together. Each row is
+    used once. A stage is one full outer join of what the stage before has left.
+    """
+    req, ans = requests, answers
+    paired = None
+    for name, slot in stages:
+        whole = lambda df: F.lit(True) if not slot else F.expr(" and ".join(f"{c} is not null" for c in slot))  # noqa: B023, E731
+        number = F.row_number().over(Window.partitionBy(*slot).orderBy(*order))
+        side = lambda df, as_: df.where(whole(df)).select(*slot, number.alias("n"), F.struct(*df.columns).alias(as_))  # noqa: B023, E731
+        met = staged(side(req, "request").join(side(ans, "answer"), [*slot, "n"], "full").select("request", "answer"), f"legs-{name}")
+        both = met.where("request is not null and answer is not null").withColumn("stage", F.lit(name))
+        paired = both if paired is None else paired.unionByName(both)
+        req = req.where(~whole(req)).unionByName(met.where("answer is null").select("request.*"))
+        ans = ans.where(~whole(ans)).unionByName(met.where("request is null").select("answer.*"))
+    kinds = {f.name: f.dataType for f in paired.schema.fields}
+    alone = req.select(F.struct(*requests.columns).alias("request"), F.lit(None).cast(kinds["answer"]).alias("answer")).unionByName(ans.select(F.lit(None).cast(kinds["request"]).alias("request"), F.struct(*answers.columns).alias("answer")))
+    return paired.unionByName(alone.withColumn("stage", F.lit("loose")))
+
+
+def diameter_legs(messages: DataFrame) -> DataFrame:
+    """capture_id, request_frame, answer_frame, hop, end, stage: the legs of Diameter messages between two peers."""
+    part = lambda n: F.try_element_at("detail", F.lit(n))
+    rows = messages.where("protocol = 'diameter'").select("capture_id", "frame", "seq", "label", F.array_join(F.array_sort(F.array("src.ip", "dst.ip")), "|").alias("peers"), part("hop-by-hop-id").alias("hop"), part("end-to-end-id").alias("end"))
+    asks = F.col("label").rlike("(^| )Request$")
+    legs = pair_cascade(rows.where(asks), rows.where(~asks))
+    first = lambda c: F.coalesce(F.col(f"request.{c}"), F.col(f"answer.{c}"))
+    return legs.select(first("capture_id").alias("capture_id"), F.col("request.frame").alias("request_frame"), F.col("answer.frame").alias("answer_frame"), first("hop").alias("hop"), first("end").alias("end"), "stage")
+
+
 def unanswered(requests: DataFrame, answers: DataFrame, by: list[str]) -> DataFrame:
     return requests.join(answers.select(*by).distinct(), by, "left_anti")
 

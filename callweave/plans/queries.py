@@ -468,16 +468,6 @@ def normalised_pfcp(spark, d):
     return rows.select("capture_id", "frame", "label", "is_failure", F.get("keys.value", F.lit(0)).alias("seid"), F.size("releases").alias("releases"))
 
 
-@query("select capture_id, flow_id, frame from m")
-def episodes_and_flows(spark, d):
-    rows = messages(spark, d).drop("flow_id")
-    freed = F.when(F.col("label") == "purchase", F.filter("keys", lambda k: k["kind"] == "amf_ue_ngap_id")).otherwise(F.col("releases"))
-    return C.correlate(C.assign_episodes(rows.withColumn("releases", freed))).select("capture_id", "frame", "flow_id")
-
-
-del ORACLE_SQL["episodes_and_flows"]
-
-
 VOTES = ", v as (select capture_id, frame, k, src_ip, dst_ip, protocol, case when protocol = 'pfcp' and label = 'view' then 'smf' when protocol = 'ngap' and label = 'view' then 'amf-answer' when protocol = 'ngap' and label = 'click' then 'n2' when protocol = 'diameter' and label = 'view' then 'air' end as what from m), u as (select capture_id, src_ip address, case what when 'smf' then 'SMF' when 'amf-answer' then 'AMF' when 'air' then 'MME' end as role, case what when 'smf' then 'pfcp-dir' when 'air' then 'diameter-dir' else 'ngap-dir' end basis, frame, null::int port from v union all select capture_id, dst_ip, case what when 'smf' then 'UPF' when 'amf-answer' then 'gNB' when 'air' then 'HSS' when 'n2' then 'AMF' end, case what when 'smf' then 'pfcp-dir' when 'air' then 'diameter-dir' when 'n2' then 'n2-port' else 'ngap-dir' end, frame, case when what = 'n2' then 38412 end from v) "
 
 
@@ -634,4 +624,4 @@ def message_owners(spark, d):
     return L.with_owner(rows, X.segment_procedures(rows, 3600.0, EVENT_OPENERS)).select("capture_id", "frame", "segment", "procedure")
 
 
-from callweave.plans import protocol_queries, rule_queries, scalar_queries, view_queries  # noqa: E402, F401
+from callweave.plans import protocol_queries, rule_queries, scalar_queries, time_queries, view_queries  # noqa: E402, F401

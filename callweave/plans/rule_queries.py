@@ -84,12 +84,6 @@ def tunnel_packets(spark, d):
     return D.tunnel_packets(sessions, gtp)
 
 
-@query("select case when k % 4 = 0 then 'refused' when k % 4 = 1 then 'already joined' else 'joined' end verdict, count(*) n from m where label = 'view' group by 1")
-def quote_verdicts(spark, d):
-    verdict = F.when(k() % 4 == 0, "refused").when(k() % 4 == 1, "already joined").otherwise("joined")
-    return L.inferred_joins(messages(spark, d).where("label = 'view'").select(verdict.alias("verdict")))
-
-
 @query("select capture_id, protocol as transport, count(*) frames from m where user_id % 9 > 3 group by 1, 2")
 def left_out_by_transport(spark, d):
     frames = messages(spark, d).select("capture_id", F.col("frame").alias("number"), F.col("protocol").alias("transport"), "flow_id")

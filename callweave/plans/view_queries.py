@@ -88,12 +88,6 @@ def parties_of_calls(spark, d):
     return V.call_parties(rows)
 
 
-@query(", s as (select capture_id, user_id % 7 as call, frame, seq from m where protocol = 'sip'), w as (select capture_id, call, frame, seq, 0 r from s union all select capture_id, user_id % 7, frame, seq, 1 from m where k % 11 = 0 union all select capture_id, user_id % 7, frame, seq, 2 from m where protocol = 'diameter' union all select capture_id, user_id % 7, frame, seq, 3 from m where k % 3 = 0) select capture_id, call::int as call, frame, seq, ['signalling', 'media', 'charging', 'number'][min(r) + 1] way from w group by 1, 2, 3, 4")
-def messages_of_calls(spark, d):
-    rows = messages(spark, d).withColumns({"call": F.col("flow_id").cast("int") % 7, "k": Q.detail("seqno").cast("int")})
-    return V.end_to_end(rows.where("protocol = 'sip'"), rows.where("k % 11 = 0"), rows.where("protocol = 'diameter'"), rows.where("k % 3 = 0"))
-
-
 @query(", s as (select capture_id, e2e session, max(case when k % 10 = 3 then 'i' || (k % 4) end) icid from m where protocol = 'diameter' group by 1, 2) select m.capture_id, m.frame, 'call' || substr(icid, 2) as call from m join s on m.capture_id = s.capture_id and m.e2e = s.session where protocol = 'diameter' and icid is not null")
 def charged_messages(spark, d):
     entry = F.create_map(F.lit("session-id"), Q.detail("end-to-end-id"))
