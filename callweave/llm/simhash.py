@@ -17,13 +17,10 @@ every such position with every one of its bits left out. Parts that are too long
 split again while that holds; what is then left has a bound of 2**18 members. Every
 list, long or short, is read in the same way.
 
-`similar` is for documents alike in their shingles rather than in 64 bits: 64 bytes
-of fingerprint and an index over three positions at a time (`KEYS` triples), so that
-a pair in a list has a tally of three at least. The lists that a pair shares are
-tallied, and each fingerprint is compared with the lesser ones it shares most lists
-with, by exact similarity of their shingle sets. Pairs at 0.8
-differ in some 77 bits of 512, and a triple meets them with a chance of 0.02, so the
-recall is high but not certain; it is measured in the README.
+`similar` is for documents alike in their shingles rather than in 64 bits. Texts alike
+at 0.8 differ in some ten of 64 bits or 77 of 512, so no number of equal bytes is
+guaranteed that would sort them out: the inverted index is kept over shingles instead,
+with the places that prefix filtering guarantees, and verified exactly (near_text).
 
 Null texts have no words; a fingerprint without words is zero and is linked
 like others. Repeated rows get a row each. Rows with a null doc_id take part
@@ -32,7 +29,6 @@ and get the component's least non-null doc_id. Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -44,7 +40,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from callweave.functions.staging import shuffle_partitions, staged
-from callweave.llm.words import as_long, mix
+from callweave.llm import near_text
+from callweave.llm.words import as_long
 from callweave.operators.components import connected_components
 
 SHINGLE = 4
@@ -52,10 +49,8 @@ BITS = 4
 SEED = 42
 #: Members of a list that are compared in one row; longer lists are split.
 MOST = 4096
-#: For `similar`: shingle, similarity, longs of a fingerprint, triples of byte positions, lesser ones that a fingerprint is compared with.
-WORDS, ALIKE, WIDE, KEYS, NEAREST = 5, 0.8, 8, 256, 3
-#: Lists of up to so many members give all pairs, longer ones each member with the one before it and the first.
-FEW = 8
+#: For `similar`: words of a shingle, similarity.
+WORDS, ALIKE = 5, 0.8
 
 
 def shingles(text: str | None, shingle: int) -> np.ndarray:
@@ -71,12 +66,12 @@ def shingles(text: str | None, shingle: int) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)), np.uint64, len(words) - shingle + 1)
 
 
-def majority(h: np.ndarray, wide: int = 1) -> np.ndarray:
-    """A bit is set if it is in over half of the hashes, repeats included; further longs come from further hashes of these."""
-    every = np.stack([mix(h, k) if k else h for k in range(wide)], 1).astype("<u8", copy=False)
-    counts = np.zeros(64 * wide, np.int64)
+def majority(h: np.ndarray) -> np.ndarray:
+    """A bit is set if it is in over half of the hashes, repeats included."""
+    every = h.astype("<u8", copy=False)
+    counts = np.zeros(64, np.int64)
     for lo in range(0, len(h), 2048):
-        counts += np.unpackbits(every[lo : lo + 2048].view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint16)
+        counts += np.unpackbits(every[lo : lo + 2048].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.uint16)
     return np.packbits(2 * counts > len(h), bitorder="little").view("<u8").astype(np.uint64)
 
 
@@ -84,22 +79,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(majority(shingles(text, shingle))[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, wide: int = 1) -> DataFrame:
-    """doc_id, text_hash, fp (the fingerprint's bits as a long); if wide, more of them (fp1, ...), and each shingle counts once."""
-    names = ["fp", *(f"fp{k}" for k in range(1, wide))]
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, text_hash, fp (the fingerprint's bits as a long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                found = np.zeros((part.num_rows, wide), np.uint64)
-                for row, text in enumerate(part.column(1).to_pylist()):
-                    h = shingles(text, shingle)
-                    h = np.unique(h) if wide > 1 else h
-                    found[row] = majority(h, wide)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *(as_long(found[:, k].copy()) for k in range(wide))], ["doc_id", "text_hash", *names])
+            found = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), as_long(found)], ["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, " + ", ".join(f"{n} long" for n in names))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def linked(codes: np.ndarray, k: int, bits: int, first: int | None) -> np.ndarray:
@@ -195,68 +183,6 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, m
     return found.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _triples(n: int = KEYS, positions: int = 8 * WIDE) -> list[tuple[int, int, int]]:
-    """Triples of byte positions, spread by a fixed rule."""
-    out: dict[tuple[int, int, int], None] = {}
-    step = 1
-    while len(out) < n:
-        a = len(out) % positions
-        b, c = (a + step) % positions, (a + 3 * step + 1 + step // positions) % positions
-        if len({a, b, c}) == 3:
-            out.setdefault(tuple(sorted((a, b, c))))
-        step += 1
-    return list(out)
-
-
-def candidate_pairs(distinct: DataFrame, most: int = MOST) -> DataFrame:
-    """id and WIDE longs of fingerprint -> a, b (ids, a < b): every b with those of the lesser ids that share most lists with it.
-
-    So a group of any size gives a few pairs a member, and each member a way to the
-    group's least id.
-    """
-    names = ["fp", *(f"fp{k}" for k in range(1, WIDE))]
-    spread = distinct.select("id", *names).repartition(shuffle_partitions(distinct.sparkSession), "id")
-    triples = np.array(_triples())
-
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 2048):
-                part = batch.slice(lo, 2048)
-                codes = np.stack([c.to_numpy() for c in part.columns[1:]], 1).view(np.uint8).astype(np.int32)
-                keys = codes[:, triples[:, 0]] | codes[:, triples[:, 1]] << 8 | codes[:, triples[:, 2]] << 16
-                ids = np.repeat(part.column(0).to_numpy(), len(triples))
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(len(triples), dtype=np.int16), len(codes))), pa.array(keys.ravel()), pa.array(ids)], ["k", "bytes", "id"])
-
-    posted = spread.mapInArrow(post, "k short, bytes int, id long")
-    hot = staged(posted.groupBy("k", "bytes").agg(F.count("*").alias("n")).where(F.col("n") > most), "hot")
-    members = F.collect_list("id").alias("members")
-    if hot.isEmpty():
-        lists = posted.groupBy("k", "bytes").agg(members)
-    else:
-        # Long lists are dealt into blocks, differently for every triple.
-        cold = posted.join(hot.hint("merge"), ["k", "bytes"], "left_anti").groupBy("k", "bytes").agg(members)
-        block = F.pmod(F.xxhash64("k", "id"), F.ceil(F.col("n") / most))
-        blocks = posted.join(hot.hint("merge"), ["k", "bytes"]).withColumn("block", block).groupBy("k", "bytes", "block").agg(members)
-        lists = cold.select("members").unionByName(blocks.select("members"))
-
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tally: Counter[tuple[int, int]] = Counter()
-            for m in batch.column(0).to_pylist():
-                m.sort()
-                if len(m) <= FEW:
-                    tally.update(combinations(m, 2))
-                else:
-                    tally.update({p for before, x in zip(m, m[1:], strict=False) for p in ((m[0], x), (before, x))})
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in tally], pa.int64()), pa.array([p[1] for p in tally], pa.int64()), pa.array(list(tally.values()), pa.int64())], ["a", "b", "tally"])
-
-    met = lists.where(F.size("members") > 1).select("members").mapInArrow(pair, "a long, b long, tally long")
-    each = met.groupBy("a", "b").agg(F.sum("tally").alias("tally"))
-    # At most FEW of each of KEYS lists meet here.
-    best = each.groupBy("b").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("tally")).alias("t"), "a"))), 1, NEAREST).alias("best"))
-    return staged(best.select("b", F.explode("best.a").alias("a")).select("a", "b"), "candidates")
-
-
 def jaccard(a: str | None, b: str | None, shingle: int = WORDS) -> float:
     """Similarity of the sets of shingles; 1 for two texts without words."""
     x, y = np.unique(shingles(a, shingle)), np.unique(shingles(b, shingle))
@@ -264,49 +190,25 @@ def jaccard(a: str | None, b: str | None, shingle: int = WORDS) -> float:
     return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
 
 
-def similar_pairs(docs: DataFrame, distinct: DataFrame, alike: float = ALIKE) -> DataFrame:
-    """a, b (ids): candidates whose shingle sets are at least `alike`."""
-    pairs = candidate_pairs(distinct)
-    needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    first = distinct.join(needed, "id", "left_semi").select("id", F.col("first.doc_id").alias("d"), F.col("first.text_hash").alias("h"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    texts = texts.join(first.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))).select("id", "text")
-    texts = staged(texts.dropDuplicates(["id"]), "texts")
-    side = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
-    held = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").select("a", "b", "text_a", "text_b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            alike_ = [jaccard(x, y) >= alike for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield batch.select([0, 1]).filter(pa.array(alike_, pa.bool_()))
-
-    return staged(held.mapInArrow(run, "a long, b long"), "alike")
-
-
 def _groups(docs: DataFrame, alike: float) -> tuple[DataFrame, DataFrame]:
-    """Fingerprints of all rows; and per different fingerprint the first row (doc_id, text_hash) of its group, as `first`."""
-    names = ["fp", *(f"fp{k}" for k in range(1, WIDE))]
-    found = staged(fingerprints(docs, WORDS, WIDE), "fingerprints")
-    distinct = found.groupBy(*names).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first"))
-    distinct = staged(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct")
-    parts = staged(connected_components(similar_pairs(docs, distinct, alike), "a", "b"), "parts")
-    rooted = distinct.join(parts.withColumnRenamed("node", "id").hint("merge"), "id", "left").select(*names, "first", F.coalesce("component", "id").alias("root"))
+    """Rows (doc_id, text_hash, id); and per id the first row (doc_id, text_hash) of its group, as `first`."""
+    found, groups = near_text.alike_groups(docs, WORDS, alike)
+    rooted = found.join(groups.hint("merge"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     rooted = staged(rooted, "rooted")
-    firsts = staged(rooted.groupBy("root").agg(F.min("first").alias("first")), "firsts")
-    return found, rooted.select(*names, "root").join(firsts.hint("merge"), "root")
+    firsts = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first"))
+    return rooted, staged(firsts, "firsts")
 
 
 def similar(docs: DataFrame, alike: float = ALIKE) -> DataFrame:
     """doc_id, text_hash, group_id: the first doc_id of each row's group of texts alike in their five-word shingles."""
-    found, groups = _groups(docs, alike)
-    names = ["fp", *(f"fp{k}" for k in range(1, WIDE))]
-    return found.join(groups.select(*names, F.col("first.doc_id").alias("group_id")), names).select("doc_id", "text_hash", "group_id")
+    rooted, firsts = _groups(docs, alike)
+    return rooted.join(firsts.hint("merge"), "root").select("doc_id", "text_hash", F.col("first.doc_id").alias("group_id"))
 
 
 def keep_first(docs: DataFrame, alike: float = ALIKE) -> DataFrame:
     """The first row of each group of similar texts, by doc_id and text hash, with all its columns; of equal rows that with the least columns."""
-    _, groups = _groups(docs, alike)
-    first = staged(groups.select(F.col("first.doc_id").alias("d"), F.col("first.text_hash").alias("h")).distinct(), "kept")
+    _, firsts = _groups(docs, alike)
+    first = staged(firsts.select(F.col("first.doc_id").alias("d"), F.col("first.text_hash").alias("h")).distinct(), "kept")
     held = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("hash"))
     held = held.join(first.hint("merge"), F.col("doc").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h")))
     order = [F.col("row")[c] for c in sorted(docs.columns)]
