@@ -22,7 +22,7 @@ carries texts. The grid's counts are a few rows (strata x rules x cutoffs),
 bounded by the parameters, and come to the driver to become literals.
 
 Null texts are empty; a null or unknown language is the stratum "other";
-repeated rows are judged alike; labels without a document, or null, count
+repeated rows are judged alike, and count as one trial, as equal texts do; labels without a document, or null, count
 nothing; without labels only the base rule rejects. Extra columns are kept by
 `judge`.
 """
@@ -137,9 +137,15 @@ def p_value(n: Column, k: Column, risk: float) -> Column:
 
 
 def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> dict[tuple[str, str], float]:
-    """(stratum, rule) -> the lowest certified cutoff. measured: doc_id, stratum, m."""
+    """(stratum, rule) -> the lowest certified cutoff. measured: doc_id, stratum, m, text_hash.
+
+    The exact bound holds for independent trials, so copies don't count: a labelled
+    doc_id is one trial, by the least of its texts' hashes, and so are equal texts.
+    """
     good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    held = measured.select("doc_id", "stratum", "m").join(good, "doc_id", "left_semi").where(~base_failed(F.col("m")))
+    held = measured.select("doc_id", "stratum", "m", "text_hash").join(good, "doc_id", "left_semi").where(~base_failed(F.col("m")))
+    once = held.groupBy("doc_id").agg(F.min(F.struct("text_hash", "stratum", "m")).alias("x")).select("x.*")
+    held = once.groupBy("text_hash").agg(F.min(F.struct("stratum", "m")).alias("x")).select("x.*")
     found = rates(F.col("m"))
     tests = [(rule, c) for rule, grid in GRID.items() for c in grid]
     sums = [F.count_if(found[rule] > c).alias(f"k{i}") for i, (rule, c) in enumerate(tests)]
@@ -158,7 +164,7 @@ def kept(m: Column, where: Column, chosen: dict[tuple[str, str], float]) -> Colu
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), stratum(F.col("lang")).alias("stratum"), measures(F.col("text")).alias("m"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), stratum(F.col("lang")).alias("stratum"), measures(F.col("text")).alias("m"), F.xxhash64("text").alias("text_hash"))
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -173,5 +179,5 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs that pass, unchanged. Each row is staged with its measures, which are taken once."""
     m = measures(F.col("text")).alias("m")
     held = staged(docs.select(F.struct("*").alias("row"), stratum(F.col("lang")).alias("stratum"), m), "judged")
-    chosen = cutoffs(held.select(F.col("row.doc_id").cast("long").alias("doc_id"), "stratum", "m"), labels)
+    chosen = cutoffs(held.select(F.col("row.doc_id").cast("long").alias("doc_id"), "stratum", "m", F.xxhash64("row.text").alias("text_hash")), labels)
     return held.where(kept(F.col("m"), F.col("stratum"), chosen)).select("row.*")
