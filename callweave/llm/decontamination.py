@@ -110,12 +110,13 @@ class Matcher:
         for n, starts in seen.items():
             _, pattern, k = self.items[n]
             best, where = k + 1, 0
-            starts = sorted(set(starts))
-            while starts:
-                lo = max(0, starts[0] - k)
-                hi = starts[0] + len(pattern) + k
-                while starts and starts[0] - k <= hi:  # overlapping stretches are read once
-                    hi = max(hi, starts.pop(0) + len(pattern) + k)
+            starts, next_ = sorted(set(starts)), 0
+            while next_ < len(starts):
+                lo = max(0, starts[next_] - k)
+                hi = starts[next_] + len(pattern) + k
+                while next_ < len(starts) and starts[next_] - k <= hi:  # overlapping stretches are read once
+                    hi = max(hi, starts[next_] + len(pattern) + k)
+                    next_ += 1
                 got, at = best_match(pattern, words[lo:hi])
                 if got < best:
                     best, where = got, lo + at

@@ -56,3 +56,14 @@ def test_equals_brute_force(spark):
         assert sorted(x.doc_id for x in dc.drop_contaminated(frame, bench, block=block).collect()) == sorted(d for d, _ in docs if d not in bad)
     assert dc.matches(frame, bench.where("false")).count() == 0
     assert dc.matches(frame.where("false"), bench).count() == 0
+
+
+def test_a_text_of_hits_takes_time_in_proportion():
+    import time
+
+    took = []
+    for n in (100_000, 400_000):
+        began = time.process_time()
+        assert dc.Matcher([([1], ["a"])], dc.BUDGET).find("a " * n)[0][:2] == (0, 0)
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0]
