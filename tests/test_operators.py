@@ -191,7 +191,7 @@ def test_privacy_keeps_shape_and_leaks_nothing(spark):
     found, out = PR.originals(df, "id", "text"), PR.scrub(df, "text", b"k")
     got = {r.id: r.text for r in out.collect()}
     assert len(got[1]) == len(texts[0][1]) and got[2] is None and got[3] == texts[2][1]
-    assert {r.kind for r in found.collect()} == {"email", "ipv4", "identity", "number", "digits"}
+    assert {r.kind for r in found.collect()} == {"email", "ipv4", "imsi", "number", "digits"}
     for r in PR.leak_scan(found, df, out, "id", "text").collect():
         assert r.leaked == 0 and r.control == r.originals and not r.blind
     assert PR.pseudonym(b"k", "x", "aB3-") == PR.pseudonym(b"k", "x", "aB3-") != PR.pseudonym(b"j", "x", "aB3-")
