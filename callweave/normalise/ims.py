@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callweave.functions.scalars import imsi_from_ims_identity, integer_of, international_msisdn, msisdn_from_enum_name
@@ -11,9 +11,23 @@ from callweave.normalise.core import blocks, cause, details, key, messages, numb
 NAPTR = 35
 
 
+# What stands for the host: an address in brackets, all up to a single colon, or IPv6 without brackets.
+CONTACT_HOST = r"(?i)^(?:sips?:)?(?:[^@]*@)?(?:\[([^\]]*)\].*|([^:;]+)(?::[0-9]+)?(?:;.*)?|([^;]*)(?:;.*)?)$"
+
+
+def _contact_claims(rows: DataFrame) -> DataFrame:
+    """claim: ip=UE;ip=P-CSCF where a Contact names its own sender and carries a subscriber: an IMSI as user part, or a device instance."""
+    rows = rows.withColumns({"contact": text("sip_sip_Contact"), "uri": F.coalesce(text("sip_sip_contact_addr"), text("sip_sip_Contact"))})
+    rows = rows.withColumn("uri", F.regexp_replace("uri", "^[^<]*<([^>]*)>.*$", "$1"))
+    own = F.regexp_replace("uri", CONTACT_HOST, "$1$2$3") == F.col("src_ip")
+    subscriber = F.col("uri").rlike(r"(?i)^(?:sips?:)?[0-9]{14,15}@") | F.coalesce(F.col("contact").contains("+sip.instance"), F.lit(False))
+    return rows.withColumn("claim", F.when(own & subscriber & F.col("dst_ip").isNotNull(), F.concat("src_ip", F.lit("=UE;"), "dst_ip", F.lit("=P-CSCF"))))
+
+
 def sip(frames: DataFrame) -> DataFrame:
     f = lambda n: text(f"sip_sip_{n}")
-    rows = blocks(frames, "sip").withColumns({"status": integer_of(f("Status-Code")), "method": f("Method"), "call": f("Call-ID")})
+    rows = blocks(frames.withColumn("protected", F.try_variant_get("layers", "$.esp", "variant").isNotNull()), "sip").withColumns({"status": integer_of(f("Status-Code")), "method": f("Method"), "call": f("Call-ID")})
+    rows = _contact_claims(rows)
     status = F.col("status")
     reason = F.trim(F.regexp_extract(f("Status-Line"), r"^SIP/2\.0 [0-9]{3} ?(.*)$", 1))
     label = F.when(status.isNotNull(), F.trim(F.concat_ws(" ", status.cast("string"), reason))).otherwise(F.col("method"))
@@ -24,7 +38,7 @@ def sip(frames: DataFrame) -> DataFrame:
     q850, own = integer_of(f("reason_cause_q850")), integer_of(f("reason_cause_sip"))
     given = F.when(status >= 300, cause("sip_status", status)).when(q850.isNotNull(), cause("q850", q850)).when(own.isNotNull(), cause("sip_status", own))
     failed = (status >= 400) & ~status.isin(401, 407)
-    detail = details(CSeq=f("CSeq"), cseq_method=f("CSeq_method"), from_tag=f("from_tag"), to_tag=f("to_tag"), From=who, To=f("to_addr"), Request_URI=f("r-uri"), P_Asserted_Identity=f("P-Asserted-Identity"), Privacy=f("Privacy"), access_type=F.regexp_extract(f("P-Access-Network-Info"), r"^([^;]+)", 1), icid=f("icid_value"), dedupe_id=F.when(F.col("call").isNotNull(), F.concat_ws("/", "call", f("CSeq"))))
+    detail = details(ipsec_roles=F.when(F.col("protected"), F.lit("UE|P-CSCF")), fallback_role_hints=F.col("claim"), CSeq=f("CSeq"), cseq_method=f("CSeq_method"), from_tag=f("from_tag"), to_tag=f("to_tag"), From=who, To=f("to_addr"), Request_URI=f("r-uri"), P_Asserted_Identity=f("P-Asserted-Identity"), Privacy=f("Privacy"), access_type=F.regexp_extract(f("P-Access-Network-Info"), r"^([^;]+)", 1), icid=f("icid_value"), dedupe_id=F.when(F.col("call").isNotNull(), F.concat_ws("/", "call", f("CSeq"))))
     released = F.when(F.col("method") == "BYE", F.array(key("sip_call_id", F.col("call"))))
     return messages(rows, "sip", label, keys, failed, detail, released, given)
 

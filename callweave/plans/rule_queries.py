@@ -111,3 +111,16 @@ def ladder_places(spark, d):
     role = F.element_at(F.array(F.lit("UE"), F.lit("gNB"), F.lit("zz")), F.col("c_nationkey") % 3 + 1)
     rows = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("c"), F.col("c_nationkey") % 2).alias("capture_id"), role.alias("role"), F.concat(F.lit("n"), "c_custkey").alias("label"))
     return O.participants(rows, ["UE", "gNB"]).select("c_custkey", "rank", "place")
+
+
+@query(", s as (select capture_id, src_ip, dst_ip, k from m where protocol = 'nas-5gs'), g as (select distinct capture_id, src_ip a, dst_ip b from m where protocol = 'sip' and capture_id = 'cap0'), e as (select capture_id, a x, b y from g union select capture_id, b, a from g), h as (select capture_id, x address from e group by 1, 2 having count(distinct y) >= 2), c as (select * from m where protocol = 'sip' and capture_id not in (select capture_id from h)) select capture_id, src_ip address, case k % 4 when 0 then 'AUSF' when 1 then 'AMF' else 'SMF' end as role, case k % 4 when 1 then 'resource-consumer' else 'service-consumer' end basis from s where k % 4 <> 2 union select capture_id, dst_ip, case when k % 4 = 3 then 'PCF' else 'UDM' end, 'service' from s union select capture_id, address, 'P-CSCF', 'ipsec-fanout' from h union select capture_id, y, 'UE', 'ipsec-fanout' from e where (capture_id, x) in (select capture_id, address from h) and (capture_id, y) not in (select capture_id, address from h) union select capture_id, src_ip, 'UE', 'contact' from c union select capture_id, dst_ip, 'P-CSCF', 'contact' from c")
+def consumer_and_access_votes(spark, d):
+    """Consumers by service and resource; protected SIP in one capture, Contact headers in all."""
+    rows, k = messages(spark, d).where("protocol in ('nas-5gs', 'sip')"), Q.detail("seqno").cast("int")
+    pick = lambda *values: F.element_at(F.array(*map(F.lit, values)), k % 4 + 1)
+    asked = F.map_from_arrays(F.array(F.lit("service"), F.lit("path")), F.array(pick("nudm-ueau", "nudm-sdm", "nudm-sdm", "npcf-smpolicycontrol"), pick("/nudm-ueau/v1/x", "/nudm-sdm/v2/x/am-data", "/nudm-sdm/v2/x/sms-data", "/npcf-smpolicycontrol/v1/sm-policies")))
+    claim = F.create_map(F.lit("fallback-role-hints"), F.concat("src.ip", F.lit("=UE;"), "dst.ip", F.lit("=P-CSCF")))
+    access = F.when(F.col("capture_id") == "cap0", F.map_concat(claim, F.create_map(F.lit("ipsec-roles"), F.lit("UE|P-CSCF")))).otherwise(claim)
+    sbi = F.col("protocol") == "nas-5gs"
+    held = rows.withColumns({"detail": F.when(sbi, asked).otherwise(access), "protocol": F.when(sbi, "sbi").otherwise(F.col("protocol"))})
+    return O.role_votes(held).select("capture_id", "address", "role", "basis")
