@@ -200,6 +200,11 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return whole.unionByName(single)
 
 
+def spans_of_copies(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, text_hash, spans (of start, windows): a row for all copies of a row, each span once however many there are."""
+    return repeated_spans(docs, window).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "windows")).alias("spans"))
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the kept words, joined by one space)."""
 
@@ -219,6 +224,5 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                         column.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "n_words", "n_removed", "kept"])
 
-    spans = repeated_spans(docs, window).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
-    held = keyed(docs).alias("d").join(staged(spans, "spans").alias("s"), same_doc("d", "s"), "left").select("d.doc_id", "d.text", "s.spans")
+    held = keyed(docs).alias("d").join(staged(spans_of_copies(docs, window), "spans").alias("s"), same_doc("d", "s"), "left").select("d.doc_id", "d.text", "s.spans")
     return held.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept binary").withColumn("kept", F.col("kept").cast("string"))
