@@ -47,6 +47,10 @@ NETWORK_TRIGGERS = ("Downlink Data Notification", "Paging")
 #: What a cancelling message's own label begins with.
 CANCELS = ("HandoverCancel", "Relocation Cancel")
 RELEASES = ("ue-context-release",)
+# Handover types between the systems, and which element asks for the context of a UE that has come to it.
+TO_EPS, TO_5GS = "5gs-to-eps", "eps-to-5gs"
+HANDOVER_WAYS = (("fivegs-to-eps", TO_EPS), ("eps-to-5gs", TO_5GS))
+ASKER_WAYS = (("MME", TO_EPS), ("AMF", TO_5GS))
 UNFINISHED_ABSORB = ("tau", "attach", "registration")
 
 
@@ -130,7 +134,12 @@ SEGMENT = ["capture_id", "flow_id", "segment", "kind"]
 
 
 def finish(messages: DataFrame, segments: DataFrame, openers=OPENERS) -> DataFrame:
-    """One row per segment: outcome, causes, span, trigger, timings, attributes."""
+    """One row per segment: outcome, causes, span, trigger, timings, attributes.
+
+    direction: from the handover type, from who asks for a context, or of an update
+    that fetches one; null where nothing says it. family: 5g with any NGAP or 5GS NAS
+    message, else 4g with S1AP, EPS NAS or GTPv2-C, else other.
+    """
     rows = messages.join(segments.where("segment is not null").drop("flow_id"), list(ROW))
     success = F.coalesce(*(F.when(F.col("kind") == k, F.exists(F.array(*map(F.lit, sorted({s for kk, _, _, ss in openers if kk == k for s in ss}))), lambda s: F.col("label").contains(s))) for k in sorted({o[0] for o in openers})), F.lit(False))
     place = F.struct("ts", "frame", "seq")
@@ -138,6 +147,7 @@ def finish(messages: DataFrame, segments: DataFrame, openers=OPENERS) -> DataFra
     cancel = own.startswith(CANCELS[0]) | own.startswith(CANCELS[1])
     reason = F.coalesce("cause_name", "label") if "cause_name" in messages.columns else F.coalesce(F.concat_ws(" ", "cause.table", "cause.value"), "label")
     failed = F.col("is_failure")
+    has = lambda *names: F.max(F.col("protocol").isin(*names))
     only = lambda name: F.when(F.min(detail(name)) == F.max(detail(name)), F.min(detail(name)))
     made = rows.groupBy(*SEGMENT).agg(
         F.min("frame").alias("start_frame"), F.max("frame").alias("end_frame"), F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("messages"), F.max(place).alias("last_pos"), F.min(place).alias("first_pos"),
@@ -145,15 +155,21 @@ def finish(messages: DataFrame, segments: DataFrame, openers=OPENERS) -> DataFra
         F.max(cancel).alias("cancelled"), F.max(F.col("label").isin(*NETWORK_TRIGGERS)).alias("network"), F.max(detail("handover-type")).alias("handover_type"),
         F.max((F.col("cause.table") == "ngap_radioNetwork") & (F.col("cause.value") == 36)).alias("fallback"),
         only("pdu-session-id").alias("pdu_session_id"), only("dnn").alias("dnn"), F.min_by(F.col("src.role"), place).alias("initiator"),
-        F.min(F.when(F.col("label").contains("HandoverPreparationResponse") | F.col("label").contains("HandoverCommand"), F.col("ts"))).alias("command"), F.min(F.when(F.col("label").contains("HandoverNotification"), F.col("ts"))).alias("notify"),
+        F.min(F.when(F.col("label").contains("HandoverPreparationResponse") | F.col("label").contains("HandoverCommand"), F.col("ts"))).alias("command"), F.min(F.when(own == "HandoverResourceAllocationResponse", F.col("ts"))).alias("acknowledged"), F.min(F.when(F.col("label").contains("HandoverNotification"), F.col("ts"))).alias("notify"),
         F.min(F.get(F.transform(F.filter("keys", lambda k: k["kind"] == "supi"), lambda k: k["value"]), F.lit(0))).alias("supi"),
+        F.max(own == "Context Request").alias("context"), has("ngap", "nas-5gs").alias("five"), has("s1ap", "nas-eps", "gtpv2").alias("four"),
     )
     outcome = F.when(F.col("s").isNotNull() & (F.col("f").isNull() | (F.col("s") > F.col("f.p"))), "success").when(F.col("f").isNotNull(), "failure").otherwise("incomplete")
     made = made.withColumn("outcome", outcome).withColumn("outcome", F.when((F.col("kind") == "handover") & F.col("cancelled") & (F.col("outcome") != "success"), "cancelled").otherwise(F.col("outcome")))
     kind = F.when((F.col("kind") == "pdu-session-modification") & F.coalesce("fallback", F.lit(False)), "eps-fallback").otherwise(F.col("kind"))
+    # The source side's command says that all is prepared; a trace of the target side alone has only its acknowledgement.
+    ready = F.coalesce("command", "acknowledged")
+    moved = lambda c, ways: F.coalesce(*(F.when(c == k, v) for k, v in ways))
+    direction = F.when(F.col("kind") == "handover", moved(F.col("handover_type"), HANDOVER_WAYS)).when(F.col("kind") == "context-transfer", moved(F.col("initiator"), ASKER_WAYS)).when((F.col("kind") == "tau") & F.col("context"), TO_EPS)
     return made.select(
         "capture_id", "flow_id", "segment", kind.alias("kind"), "outcome", F.col("f.c").alias("cause"), F.when(F.col("f0.c") != F.col("f.c"), F.col("f0.c")).alias("first_failure"), "start_frame", "end_frame", "start", "end", F.round(F.col("end") - F.col("start"), 6).alias("duration"), "messages",
-        F.when(F.col("kind") == "service-request", F.when(F.col("network"), "network").otherwise("ue")).alias("trigger"), "handover_type", "pdu_session_id", "dnn", "initiator", F.round(F.col("command") - F.col("start"), 6).alias("prep_s"), F.round(F.col("notify") - F.col("command"), 6).alias("exec_s"), "supi", "first_pos", "last_pos",
+        F.when(F.col("kind") == "service-request", F.when(F.col("network"), "network").otherwise("ue")).alias("trigger"), "handover_type", "pdu_session_id", "dnn", "initiator", F.round(ready - F.col("start"), 6).alias("prep_s"), F.round(F.col("notify") - ready, 6).alias("exec_s"), "supi", "first_pos", "last_pos",
+        direction.alias("direction"), F.when(F.col("five"), "5g").when(F.col("four"), "4g").otherwise("other").alias("family"),
     )
 
 

@@ -242,7 +242,7 @@ FINISHED = (
 @query(FINISHED + "select capture_id, flow_id, segment, kind, outcome, cause, first_failure, start_frame, end_frame, \"start\", \"end\", duration, messages, null::varchar as trigger, null::varchar handover_type, null::varchar pdu_session_id, dnn, null::varchar initiator, null::double prep_s, null::double exec_s, supi from p")
 def procedures(spark, d):
     rows = messages(spark, d)
-    return X.finish(rows, X.segment_procedures(rows, 3600.0, EVENT_OPENERS), EVENT_OPENERS).drop("first_pos", "last_pos")
+    return X.finish(rows, X.segment_procedures(rows, 3600.0, EVENT_OPENERS), EVENT_OPENERS).drop("first_pos", "last_pos", "direction", "family")
 
 
 @query(SEGMENTED + "select capture_id, count(*) messages, count(segment) assigned, count(*) filter (segment is null) unassigned from g group by 1")
@@ -624,4 +624,4 @@ def message_owners(spark, d):
     return L.with_owner(rows, X.segment_procedures(rows, 3600.0, EVENT_OPENERS)).select("capture_id", "frame", "segment", "procedure")
 
 
-from callweave.plans import protocol_queries, rule_queries, scalar_queries, time_queries, view_queries  # noqa: E402, F401
+from callweave.plans import outcome_queries, protocol_queries, rule_queries, scalar_queries, time_queries, view_queries  # noqa: E402, F401
