@@ -221,9 +221,10 @@ def xdr_totals(messages: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def write_xdr(procedures: DataFrame, totals: DataFrame, path: str, version: int = 1) -> None:
-    """Records by capture, ordered by start frame and SUPI, beside the conservation counters."""
+    """Records by capture, ordered by start frame and SUPI, beside the conservation counters; a large capture is cut over files by range."""
     rows = procedures.drop("first_pos", "last_pos").withColumn("version", F.lit(version))
-    rows.repartition("capture_id").sortWithinPartitions("capture_id", "start_frame", "supi", "segment").write.partitionBy("capture_id").parquet(f"{path}/records")
+    order = ["capture_id", "start_frame", "supi", "segment"]
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("capture_id").parquet(f"{path}/records")
     totals.write.parquet(f"{path}/totals")
 
 

@@ -37,9 +37,9 @@ def failures(explained: DataFrame) -> DataFrame:
 def cause_rollup(explained: DataFrame, approximate: bool = False) -> DataFrame:
     """Per capture and cause: failures, first frame, subscribers. Frames stay rows (see failures), not arrays."""
     distinct = F.approx_count_distinct if approximate else F.count_distinct
-    held = explained.where("is_failure").withColumn("supi", F.explode_outer(supis()))
-    counts = held.groupBy("capture_id", "cause_name").agg(F.count_distinct("frame", "seq").alias("n"), F.min("frame").alias("first_frame"), distinct("supi").alias("subscribers"))
-    return counts
+    # A message counts at its first subscriber, so that one distinct count is left.
+    held = explained.where("is_failure").select("capture_id", "cause_name", "frame", F.posexplode_outer(supis()).alias("pos", "supi"))
+    return held.groupBy("capture_id", "cause_name").agg(F.count_if(F.coalesce("pos", F.lit(0)) == 0).alias("n"), F.min("frame").alias("first_frame"), distinct("supi").alias("subscribers"))
 
 
 def blast_radius(messages: DataFrame, dimensions: dict[str, Column], approximate: bool = False) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from callweave.functions.scalars import is_nas
+from callweave.operators.rollups import dimension
 from callweave.schema import IN_TIME
 
 SLOW_GAP, TAIL_SLACK, NAS_WINDOW, TOLERANCE = 1.0, 2.0, 30.0, 0.15
@@ -129,12 +130,23 @@ def collapse_frames(messages: DataFrame) -> DataFrame:
 
 
 def match_sequences(failures: DataFrame, rules: DataFrame, segment: list[str]) -> DataFrame:
-    """Segments whose consecutive failures' cause values hold a declared sequence; the longest rule, then the least. rules: table, values, says."""
-    rows = failures.groupBy(*segment).agg(F.array_sort(F.collect_list(F.struct(*IN_TIME, F.col("cause.table").alias("table"), F.col("cause.value").alias("value")))).alias("r"))
-    one = rows.where(F.size(F.array_distinct("r.table")) == 1).where(~F.exists("r.value", lambda v: v.isNull())).select(*segment, F.get("r.table", F.lit(0)).alias("table"), F.col("r.value").alias("seen"))
-    hit = F.concat(F.lit(","), F.array_join("seen", ","), F.lit(",")).contains(F.concat(F.lit(","), F.array_join("values", ","), F.lit(",")))
-    best = Window.partitionBy(*segment).orderBy(F.desc(F.size("values")), "says")
-    return one.join(rules, "table").where(hit).withColumn("n", F.row_number().over(best)).where("n = 1").select(*segment, "table", "values", "says")
+    """Segments whose consecutive failures' cause values hold a declared sequence; the longest rule, then the least. rules: table, values, says.
+
+    All failures of the segment must be of one table and have a value. Each failure sees
+    as many following ones as the longest rule has, and meets the rules that begin with
+    its value, so no segment is gathered whole and none meets every rule.
+    """
+    longest = rules.agg(F.max(F.size("values"))).first()[0] or 1
+    rows = failures.select(*segment, *IN_TIME, F.col("cause.table").alias("table"), F.col("cause.value").alias("value"))
+    whole = Window.partitionBy(*segment)
+    seen = F.collect_list("value").over(whole.orderBy(*IN_TIME).rowsBetween(0, longest - 1))
+    # A null value is no list entry, so the segment is left out before its lists are compared.
+    alike = (F.min("table").over(whole) == F.max("table").over(whole)) & (F.count("table").over(whole) == F.count(F.lit(1)).over(whole)) & (F.count("value").over(whole) == F.count(F.lit(1)).over(whole))
+    marked = rows.withColumns({"__seen": seen, "__alike": alike}).where("__alike")
+    dim = dimension(rules.select("table", F.get("values", F.lit(0)).alias("value"), "values", "says"))
+    hits = marked.join(dim, ["table", "value"]).where(F.slice("__seen", F.lit(1), F.size("values")) == F.col("values"))
+    best = F.min(F.struct((-F.size("values")).alias("n"), "says", "values", "table")).alias("b")
+    return hits.groupBy(*segment).agg(best).select(*segment, "b.table", "b.values", "b.says")
 
 
 def truncate_ladder(messages: DataFrame, limit: int) -> DataFrame:
