@@ -33,7 +33,9 @@ def correlate(messages: DataFrame) -> DataFrame:
     Keyless rows never enter the joins on keys. Components of exchange keys
     alone share the null flow.
     """
-    return with_flows(messages, staged(connected_components(edges_of(messages), "a", "b"), "components"))
+    # The edges are read twice, by the rounds and for the nodes; staged, they cost one pass over the messages.
+    edges = staged(edges_of(messages), "edges_of_keys")
+    return with_flows(messages, staged(connected_components(edges, "a", "b"), "components"))
 
 
 def with_flows(messages: DataFrame, parts: DataFrame) -> DataFrame:
