@@ -135,6 +135,35 @@ def lookup(identities: DataFrame, q: str) -> DataFrame:
     return identities.where(F.lower("value").contains(q.lower()) | (F.concat_ws("=", "kind", "value") == q))
 
 
+def search_reasons(captures: DataFrame, identities: DataFrame, blind_spots: DataFrame, q: str) -> DataFrame:
+    """capture_id, hits, supis, reason: why a capture has no identity like q; null where it has one.
+
+    blind_spots: capture_id, kind, n; the kinds "protected" (concealed SUCI) and "ciphered" (NAS) count.
+    all-protected: concealed subscribers and no SUPI. some-protected: SUPIs, but none
+    alike, and whom is sought may be concealed. no-match: SUPIs, none alike. ciphered: no
+    SUPI, and NAS that can't be read. no-identity: none of these.
+    """
+    hits = lookup(identities, q).groupBy("capture_id").agg(F.count("*").alias("hits"))
+    people = identities.where("kind = 'supi'").groupBy("capture_id").agg(F.count("*").alias("supis"))
+    spots = blind_spots.groupBy("capture_id").agg(*(F.sum(F.when(F.col("kind") == k, F.col("n"))).alias(k) for k in ("protected", "ciphered")))
+    held = captures.select("capture_id").distinct()
+    for part in (hits, people, spots):
+        held = held.join(part, "capture_id", "left")
+    held = held.fillna(0, ["hits", "supis", "protected", "ciphered"])
+    some = F.col("supis") > 0
+    reason = F.when(F.col("hits") > 0, None).when((F.col("protected") > 0) & ~some, "all-protected").when(F.col("protected") > 0, "some-protected").when(some, "no-match").when(F.col("ciphered") > 0, "ciphered").otherwise("no-identity")
+    return held.select("capture_id", "hits", "supis", reason.alias("reason"))
+
+
+def select_flows(messages: DataFrame, wanted: list[tuple[str, str]]) -> DataFrame:
+    """Messages of the wanted (capture_id, flow_id); a flow that isn't there is an error, not an empty answer."""
+    given = messages.sparkSession.createDataFrame(wanted, "capture_id string, flow_id string").distinct()
+    missing = given.join(messages.select("capture_id", "flow_id"), ["capture_id", "flow_id"], "left_anti").limit(5).collect()
+    if missing:
+        raise LookupError(f"no such flow: {[tuple(r) for r in missing]}")
+    return messages.join(given, ["capture_id", "flow_id"], "left_semi")
+
+
 def piece_frames(packets: DataFrame, decoded: DataFrame) -> DataFrame:
     """Fragments that are no messages themselves."""
     pieces = packets.select("capture_id", F.explode("fragments").alias("frame")).distinct()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from callweave.operators import coverage as V
 from callweave.operators import diameter_paths as D
 from callweave.operators import links as L
 from callweave.operators import procedures as X
@@ -145,3 +146,11 @@ def summary_sections(spark, d):
     hidden = L.not_visible(rows, rows.where("not exists(keys, k -> k.kind = 'supi')").select("capture_id", F.lit("no-subscriber").alias("kind"), F.lit(1).alias("n")), ["no-subscriber", "ciphered"])
     made = X.finish(rows, X.segment_procedures(rows, 3600.0, base.EVENT_OPENERS), base.EVENT_OPENERS)
     return Y.summary_sections(R.capture_facts(rows), hidden, base.network_elements(spark, d), R.identities(rows), made, _failures(spark, d), R.cause_rollup(base.explained(spark, d)), base.blast_radius(spark, d))
+
+
+@query(base.KEYS + ", i as (select distinct capture_id, kind, value from keys where value is not null and (kind <> 'supi' or capture_id = 'cap0')), h as (select capture_id, count(*) filter (contains(value, '00101') or kind || '=' || value = '00101') hits, count(*) filter (kind = 'supi') supis from i group by 1), b as (select capture_id, count(*) n from m where k >= 95 group by 1) select c.capture_id, coalesce(hits, 0) hits, coalesce(supis, 0) supis, case when hits > 0 then null when n > 0 and c.capture_id <> 'cap2' then case when supis > 0 then 'some-protected' else 'all-protected' end when supis > 0 then 'no-match' when n > 0 then 'ciphered' else 'no-identity' end reason from (select distinct capture_id from m) c left join h using (capture_id) left join b using (capture_id)")
+def search_reasons(spark, d):
+    """SUPIs are known in one capture only; in one of the others they are concealed, in the other the NAS can't be read."""
+    rows = messages(spark, d)
+    spots = rows.where(Q.detail("seqno").cast("int") >= 95).select("capture_id", F.when(F.col("capture_id") == "cap2", "ciphered").otherwise("protected").alias("kind"), F.lit(1).alias("n"))
+    return V.search_reasons(rows, R.identities(rows).where("kind <> 'supi' or capture_id = 'cap0'"), spots, "00101")

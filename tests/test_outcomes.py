@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from callweave.operators import coverage as V
 from callweave.operators import diameter_paths as D
 from callweave.operators import procedures as X
 from callweave.operators import sequences as Q
@@ -119,3 +120,18 @@ def test_sequences_of_failures_need_one_table_and_neighbours(spark, table):
     rows = [message(10 * int(f[1]) + n, n, "x", flow=f, failed=True, cause=c) for f, seen in cases.items() for n, c in enumerate(seen)]
     got = {r.flow_id: r.says for r in Q.match_sequences(table(rows).where(F.col("is_failure")), rules, ["capture_id", "flow_id"]).collect()}
     assert got == {"f1": "long", "f2": "short", "f5": "else"}
+
+
+def test_reasons_of_searches_that_find_nothing(spark):
+    captures = spark.createDataFrame([(c,) for c in "abcdef"], "capture_id string")
+    found = spark.createDataFrame([("a", "supi", "001"), ("b", "supi", "777"), ("c", "supi", "777"), ("e", "amf_ue_ngap_id", "7")], "capture_id string, kind string, value string")
+    spots = spark.createDataFrame([("a", "protected", 1), ("b", "protected", 2), ("d", "protected", 1), ("d", "ciphered", 1), ("e", "ciphered", 4), ("f", "other", 1)], "capture_id string, kind string, n long")
+    got = {r.capture_id: r.reason for r in V.search_reasons(captures, found, spots, "001").collect()}
+    assert got == {"a": None, "b": "some-protected", "c": "no-match", "d": "all-protected", "e": "ciphered", "f": "no-identity"}
+
+
+def test_unknown_flow_is_an_error(table):
+    rows = table([message(1, 1, "x", flow="f"), message(2, 2, "x", flow="g")])
+    assert [r.frame for r in V.select_flows(rows, [("cap", "g"), ("cap", "g")]).collect()] == [2]
+    with pytest.raises(LookupError, match="zz"):
+        V.select_flows(rows, [("cap", "g"), ("cap", "zz")])
