@@ -20,8 +20,12 @@ Scores are calibrated by Platt's method on findings kept out of training, among
 kinds of keys that training never sees; the threshold is the highest that keeps the
 required recall there.
 
-The table's part of the training findings is bounded: `SAMPLE` windows of each sort,
-those with the least hash. The network is trained and used at every table size.
+All of the table's base findings and plain candidates are trained on, at every table
+size: they are dealt by hash to shards of about `SHARD` each; in each of `ROUNDS` rounds
+every shard goes once through its own, beside a set of made findings, from the weights of
+the round before, and the shards' weights are averaged. However many findings of a sort a
+shard has, they weigh as much as `MASS` made ones at most. Every fifth finding (by hash) is
+kept for calibration, which reads all of those. Equal findings count once.
 Texts are read once; only candidates with their surroundings go on.
 
 Null and empty texts have no finding; rows with a null id and repeated rows are
@@ -53,10 +57,12 @@ KINDS = ("assign", "access", "hex", "cnn")
 AROUND, INSIDE = 16, 40
 STEP = INSIDE // 2
 WIDTH = 2 * AROUND + INSIDE
-SAMPLE = 4000
+#: Findings of the table in a shard; the weight of a sort of them there, in made findings; rounds; findings made for a round.
+SHARD, MASS, ROUNDS = 1 << 16, 4000, 6
+PER_SHAPE, DECOYS = 400, 6000
 RECALL = 0.97
 _SPAN = "array<struct<kind:string,start:long,end:long>>"
-_FOUND = f"doc_id long, base {_SPAN}, candidates array<struct<start:long,end:long,windows:array<string>,labelled:boolean>>"
+_FOUND = f"doc_id long, base {_SPAN}, candidates array<struct<start:long,end:long,windows:array<string>,labelled:boolean,plain:boolean>>"
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -85,8 +91,8 @@ def windows_of(text: str, start: int, end: int) -> list[str]:
     return out
 
 
-def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, list[str], bool]]:
-    """(start, end, windows, overlaps a base finding)."""
+def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, list[str], bool, bool]]:
+    """(start, end, windows, overlaps a base finding, is otherwise plainly no key)."""
     out, at, k = [], 0, 0
     reach = 0  # the furthest end of the base findings that begin before a candidate's end
     for word in text.split():
@@ -96,7 +102,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
                 s, e = at + m.start(), at + m.end()
                 while k < len(base) and base[k][0] < e:
                     reach, k = max(reach, base[k][2]), k + 1
-                out.append((s, e, windows_of(text, s, e), reach > s))
+                out.append((s, e, windows_of(text, s, e), reach > s, reach <= s and bool(PLAIN.fullmatch(m[0]))))
         at += len(word)
     return out
 
@@ -106,7 +112,7 @@ def findings(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
-        found = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("windows", pa.list_(pa.string())), ("labelled", pa.bool_())])
+        found = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("windows", pa.list_(pa.string())), ("labelled", pa.bool_()), ("plain", pa.bool_())])
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 out: list[list] = [[], [], []]
@@ -115,7 +121,7 @@ def findings(docs: DataFrame) -> DataFrame:
                     base = base_spans(text or "")
                     out[0].append(doc)
                     out[1].append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in base])
-                    out[2].append([{"start": s, "end": e, "windows": w, "labelled": x} for s, e, w, x in candidates(text or "", base)])
+                    out[2].append([{"start": s, "end": e, "windows": w, "labelled": x, "plain": y} for s, e, w, x, y in candidates(text or "", base)])
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(span)), pa.array(out[2], pa.list_(found))], ["doc_id", "base", "candidates"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _FOUND)
@@ -189,113 +195,203 @@ class Network:
         r = np.random.default_rng(seed)
         self.wide = wide
         self.w = {"e": r.normal(0, 0.3, (128, depth)), "k": r.normal(0, 0.2, (wide * depth, filters)), "b": np.zeros(filters), "o": r.normal(0, 0.2, 3 * filters), "c": np.zeros(1)}
-        n = WIDTH - wide + 1
-        middle = np.arange(n) + wide // 2
-        self.parts = [np.flatnonzero(middle < AROUND), np.flatnonzero((middle >= AROUND) & (middle < AROUND + INSIDE)), np.flatnonzero(middle >= AROUND + INSIDE)]
+        self.span = WIDTH - wide + 1
+        edges = 0, AROUND - wide // 2, AROUND + INSIDE - wide // 2, self.span
+        self.parts = [slice(a, b) for a, b in zip(edges, edges[1:])]  # noqa: B905
         self.scale, self.shift, self.threshold = 1.0, 0.0, 2.0
 
+    def flat(self) -> np.ndarray:
+        return np.concatenate([v.ravel() for v in self.w.values()])
+
+    def load(self, flat: np.ndarray) -> Network:
+        ends = np.cumsum([v.size for v in self.w.values()])
+        self.w = {k: part.reshape(self.w[k].shape) for k, part in zip(self.w, np.split(flat, ends[:-1]), strict=True)}
+        return self
+
     def whole(self, runs: list[list[str]]) -> np.ndarray:
         """The score of each run of windows: that of its highest window."""
-        each = self.score(self.codes([w for windows in runs for w in windows]))
+        return self.score(self.highest(runs))
+
+    def highest(self, runs: list[list[str]]) -> np.ndarray:
+        """The output for each run's highest window, before calibration."""
+        each = self.output(self.codes([w for windows in runs for w in windows]))
         return np.maximum.reduceat(each, np.cumsum([0] + [len(w) for w in runs[:-1]])) if runs else each
 
     @staticmethod
     def codes(windows: list[str]) -> np.ndarray:
-        return np.array([[min(ord(c), 127) for c in w[:WIDTH].ljust(WIDTH, "\x01")] for w in windows], np.int64).reshape(len(windows), WIDTH)
-
-    def forward(self, x: np.ndarray):
-        w = self.w
-        e = w["e"][x]
-        unfolded = np.concatenate([e[:, j : x.shape[1] - self.wide + 1 + j] for j in range(self.wide)], axis=2)
-        h = np.maximum(unfolded @ w["k"] + w["b"], 0)
-        top = [h[:, p].argmax(1) for p in self.parts]
-        pooled = np.concatenate([np.take_along_axis(h[:, p], t[:, None], 1)[:, 0] for p, t in zip(self.parts, top, strict=True)], axis=1)
-        return unfolded, h, top, pooled, pooled @ w["o"] + w["c"]
-
-    def backward(self, x: np.ndarray, state, error: np.ndarray) -> dict:
-        unfolded, h, top, pooled, _ = state
-        w, n, f = self.w, len(x), self.w["b"].size
-        grad = {"o": pooled.T @ error / n, "c": np.array([error.mean()])}
-        back = np.zeros_like(h)
-        for j, (p, t) in enumerate(zip(self.parts, top, strict=True)):
-            back[np.arange(n)[:, None], p[t], np.arange(f)[None]] += error[:, None] * w["o"][None, j * f : (j + 1) * f]
-        back *= h > 0
-        grad["b"] = back.sum((0, 1)) / n
-        grad["k"] = np.einsum("npd,npf->df", unfolded, back, optimize=True) / n
-        down, depth = back @ w["k"].T, w["e"].shape[1]
-        grad["e"] = np.zeros_like(w["e"])
-        summed = np.zeros((*x.shape, depth))
+        points = np.frombuffer("".join(w[:WIDTH].ljust(WIDTH, "\x01") for w in windows).encode("utf-32-le", "surrogatepass"), np.uint32)
+        return np.minimum(points, 127).astype(np.uint8).reshape(len(windows), WIDTH)
+
+    def _table(self) -> np.ndarray:
+        """What a character adds to each filter at each offset: embedding times convolution."""
+        return np.stack([self.w["e"] @ k for k in np.split(self.w["k"], self.wide)]).astype(np.float32)
+
+    def _hidden(self, x: np.ndarray, table: np.ndarray) -> np.ndarray:
+        h = table[0].take(x[:, : self.span], axis=0)
+        for j in range(1, self.wide):
+            h += table[j].take(x[:, j : j + self.span], axis=0)
+        return h
+
+    def output(self, x: np.ndarray) -> np.ndarray:
+        table, out = self._table(), []
+        for lo in range(0, len(x), 256):
+            h = self._hidden(x[lo : lo + 256], table)
+            pooled = np.concatenate([h[:, p].max(1) for p in self.parts], axis=1) + np.tile(self.w["b"], 3)
+            # A sum per row: a matrix product could round a row by its neighbours.
+            out.append((np.maximum(pooled, 0) * self.w["o"]).sum(1) + self.w["c"])
+        return np.concatenate(out) if out else np.zeros(0)
+
+    def gradient(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict:
+        """Of the mean weighted logistic loss. Only the places of the maxima have a part in it."""
+        w, n, filters = self.w, len(x), self.w["b"].size
+        weight = weight / weight.sum()
+        h = self._hidden(x, self._table())
+        top = np.concatenate([h[:, p].argmax(1) + p.start for p in self.parts], axis=1)
+        pooled = np.take_along_axis(h.reshape(n, -1), top * filters + np.tile(np.arange(filters), 3), 1) + np.tile(w["b"], 3)
+        open_ = pooled > 0
+        pooled = np.where(open_, pooled, 0)
+        error = weight * (1 / (1 + np.exp(-np.clip((pooled * w["o"]).sum(1) + w["c"], -30, 30))) - y)
+        back = open_ * error[:, None] * w["o"]
+        grad = {"e": np.zeros_like(w["e"]), "k": np.zeros_like(w["k"]), "b": back.sum(0).reshape(3, filters).sum(0), "o": error @ pooled, "c": np.array([error.sum()])}
+        row, filter_ = np.arange(n)[:, None], np.tile(np.arange(filters), 3)
+        depth = w["e"].shape[1]
         for j in range(self.wide):
-            summed[:, j : j + down.shape[1]] += down[:, :, j * depth : (j + 1) * depth]
-        for j in range(depth):
-            grad["e"][:, j] = np.bincount(x.ravel(), summed[:, :, j].ravel(), 128) / n
+            at = slice(j * depth, (j + 1) * depth)
+            by_char = np.bincount((x[row, top + j].astype(np.int64) * filters + filter_).ravel(), back.ravel(), 128 * filters).reshape(128, filters)
+            grad["k"][at] = w["e"].T @ by_char
+            grad["e"] += by_char @ w["k"][at].T
         return grad
 
-    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.01, seed: int = 1) -> None:
-        r = np.random.default_rng(seed)
-        m = {k: np.zeros_like(v) for k, v in self.w.items()}
-        v = {k: np.zeros_like(g) for k, g in self.w.items()}
-        step = 0
-        for _ in range(epochs):
-            order = r.permutation(len(x))
-            for lo in range(0, len(x), batch):
-                at, step = order[lo : lo + batch], step + 1
-                state = self.forward(x[at])
-                grad = self.backward(x[at], state, 1 / (1 + np.exp(-np.clip(state[4], -30, 30))) - y[at])
-                for k, g in grad.items():
-                    m[k] = 0.9 * m[k] + 0.1 * g
-                    v[k] = 0.999 * v[k] + 0.001 * g * g
-                    self.w[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
-
-    def calibrate(self, runs: list[list[str]], y: np.ndarray, recall: float = RECALL) -> None:
-        """Platt scaling of whole runs' scores, then the highest threshold that keeps the recall."""
-        p, a, b = self.whole(runs), 1.0, 0.0
-        raw = np.log(p.clip(1e-12, 1 - 1e-12) / (1 - p).clip(1e-12, 1 - 1e-12))
-        target = np.where(y == 1, ((y == 1).sum() + 1) / ((y == 1).sum() + 2), 1 / ((y == 0).sum() + 2))
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(a * raw + b, -30, 30)))
-            g = np.array([((p - target) * raw).sum() + (a - 1), (p - target).sum()])
-            s = p * (1 - p) + 1e-4
-            a, b = np.array([a, b]) - np.linalg.solve(np.array([[(s * raw * raw).sum() + 1, (s * raw).sum()], [(s * raw).sum(), s.sum()]]), g)
-        self.scale, self.shift = float(a), float(b)
-        positive = np.sort(self.whole(runs)[y == 1])
-        self.threshold = float(positive[int((1 - recall) * len(positive))])
-
-    def score(self, x: np.ndarray) -> np.ndarray:
-        raw = np.concatenate([self.forward(x[lo : lo + 2048])[4] for lo in range(0, len(x), 2048)]) if len(x) else np.zeros(0)
+    def train(self, batches: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], rate: float) -> None:
+        """Adam over batches of codes, labels, weights."""
+        m, v = ({k: np.zeros_like(g) for k, g in self.w.items()} for _ in range(2))
+        for step, (x, y, weight) in enumerate(batches, 1):
+            for k, g in self.gradient(x, y, weight).items():
+                m[k] = 0.9 * m[k] + 0.1 * g
+                v[k] = 0.999 * v[k] + 0.001 * g * g
+                self.w[k] = self.w[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+
+    def score(self, raw: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale * raw + self.shift, -30, 30)))
 
 
-def fit(found: DataFrame, sample: int = SAMPLE, seed: int = 7) -> Network:
-    """Train and calibrate on made findings and a bounded part of the table's own."""
-    each = found.select(F.explode("candidates").alias("c")).select(F.get("c.windows", F.lit(0)).alias("window"), "c.labelled", F.size("c.windows").alias("n")).where("n = 1").select("window", "labelled").distinct()
-    inside = F.regexp_replace(F.substring("window", AROUND + 1, INSIDE), "\x01+$", "")
-    plain = ~F.col("labelled") & inside.rlike(f"^(?:{PLAIN.pattern})$")
-    got = [sorted(x[0] for x in each.where(c).orderBy(F.xxhash64("window"), "window").limit(sample).select("window").collect()) for c in (F.col("labelled"), plain)]
-    r = random.Random(seed)
-    cut = lambda w: (w[:AROUND].replace("\x01", ""), w[AROUND : AROUND + INSIDE].replace("\x01", ""), w[AROUND + INSIDE :].replace("\x01", ""))
-    around = [(b, a) for b, _, a in map(cut, got[1])] or [("", ""), ("\n", "\n"), (" ", " ")]
-    made: list[tuple[list[str], float, bool]] = []  # windows, label, kept out of training
-    for kind, shape in SHAPES.items():
-        made += [(_placed(r, shape(r), around, True), 1.0, kind in UNSEEN or r.random() < 0.2) for _ in range(400)]
-    for w in got[0]:
-        _, run, _ = cut(w)
+def own(found: DataFrame) -> tuple[DataFrame, int]:
+    """shard, kept (for calibration), keys (runs), plain (windows of each): all findings of the table that have a label, two rows per shard; number of shards."""
+    last = F.size("c.windows") - 1
+    run = F.array_join(F.transform("c.windows", lambda w, k: F.substring(w, F.lit(AROUND + 1), F.when(k < last, STEP).otherwise(INSIDE))), "")
+    each = found.select(F.explode("candidates").alias("c")).where("c.labelled or c.plain")
+    each = staged(each.select(F.when(F.col("c.labelled"), F.array(F.rtrim(run, F.lit("\x01")))).otherwise(F.col("c.windows")).alias("x"), "c.labelled").distinct(), "labelled")
+    shards = max(1, -(-each.count() // SHARD))
+    dealt = each.withColumn("shard", F.pmod(F.xxhash64("x"), F.lit(shards)).cast("int")).withColumn("kept", F.pmod(F.xxhash64("x", F.lit("kept")), F.lit(5)) == 0)
+    part = lambda c: F.sort_array(F.collect_list(F.when(c, F.col("x"))))
+    parts = dealt.groupBy("shard", "kept").agg(part(F.col("labelled")).alias("keys"), part(~F.col("labelled")).alias("plain"))
+    every = found.sparkSession.range(2 * shards).select(F.floor(F.col("id") / 2).cast("int").alias("shard"), (F.col("id") % 2 == 1).alias("kept"))
+    return staged(every.join(parts, ["shard", "kept"], "left").repartition(2 * shards), "own"), shards
+
+
+def _around(plain: list[list[str]]) -> list[tuple[str, str]]:
+    return [(w[0][:AROUND].replace("\x01", ""), w[-1][AROUND + INSIDE :].replace("\x01", "")) for w in plain] or [("", ""), ("\n", "\n"), (" ", " ")]
+
+
+def _made(r: random.Random, around: list[tuple[str, str]], share: float, kinds: tuple[str, ...]) -> tuple[list[list[str]], list[list[str]]]:
+    """Keys and look-alikes as windows, that share of a full set."""
+    some = lambda n: range(int(n * share + r.random()))
+    keys = [_placed(r, SHAPES[kind](r), around, True) for kind in kinds for _ in some(PER_SHAPE)]
+    return keys, [_placed(r, _decoy(r), around, r.random() < 0.3) for _ in some(DECOYS)]
+
+
+def _changed(r: random.Random, keys: list[list[str]], around: list[tuple[str, str]]) -> list[list[str]]:
+    """Base findings of the table with their prefix or surroundings changed."""
+    out = []
+    for (run,) in keys:
         run = run[4:] if run.startswith("AKIA") and len(run) >= LEAST + 4 and r.random() < 0.5 else run
-        made.append((_placed(r, run, around, True), 1.0, r.random() < 0.2))
-    made += [(_placed(r, _decoy(r), around, r.random() < 0.3), 0.0, r.random() < 0.2) for _ in range(6000)]
-    made += [([w], 0.0, r.random() < 0.2) for w in got[1]]
-    learn = [(w, y) for windows, y, kept in made if not kept for w in windows]
+        out.append(_placed(r, run, around, True))
+    return out
+
+
+def _batches(r: random.Random, keys: list[list[str]], plain: list[list[str]], batch: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """A round of a shard: all its own findings once, dealt out beside a set of made ones."""
+    around, order = _around(plain), np.random.default_rng(r.randrange(1 << 32))
+    made, alike = _made(r, around, 1.0, tuple(k for k in SHAPES if k not in UNSEEN))
+    sorts = [(made, 1.0, None), (alike, 0.0, None), (_changed(r, keys, around), 1.0, MASS), (plain, 0.0, MASS)]
+    codes, labels, weights, steps = [], [], [], 0
+    for runs, label, mass in sorts:
+        x = Network.codes([w for windows in runs for w in windows])
+        codes.append(x)
+        labels.append(np.full(len(x), label))
+        weights.append(np.full(len(x), min(1.0, mass / max(1, len(x))) if mass else 1.0))
+        steps += int(np.ceil(weights[-1].sum() / batch))
+    mixed = [order.permutation(len(x)) for x in codes]
+    for step in range(steps):
+        at = [m[len(m) * step // steps : len(m) * (step + 1) // steps] for m in mixed]
+        yield tuple(np.concatenate([c[a] for c, a in zip(every, at, strict=True)]) for every in (codes, labels, weights))
+
+
+def fit(found: DataFrame, seed: int = 7) -> Network:
+    """Train and calibrate on made findings and all of the table's own."""
+    mine, shards = own(found)
     net = Network()
-    net.train(Network.codes([w for w, _ in learn]), np.array([y for _, y in learn]), seed=seed)
-    held = [(windows, y) for windows, y, kept in made if kept]
-    net.calibrate([w for w, _ in held], np.array([y for _, y in held]))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                shard, kept, keys, plain = (c[k].as_py() for c in batch.columns)
+                yield shard, kept, keys or [], plain or []
+
+    for nth in range(ROUNDS):
+
+        def trained(batches: Iterator[pa.RecordBatch], start: np.ndarray = net.flat(), nth: int = nth) -> Iterator[pa.RecordBatch]:
+            for shard, kept, keys, plain in rows(batches):
+                if kept:
+                    continue
+                local = Network().load(start)
+                local.train(_batches(random.Random(f"{seed} {nth} {shard}"), keys, plain), 0.01 / (1 + nth / 2))
+                n = len(keys) + sum(map(len, plain))
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([n + DECOYS], pa.int64()), pa.array([local.flat().tolist()], pa.list_(pa.float64()))], ["shard", "n", "w"])
+
+        got = sorted(mine.mapInArrow(trained, "shard int, n long, w array<double>").collect())
+        net.load(np.average([x.w for x in got], axis=0, weights=[x.n for x in got]))
+    weights = net.flat()
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        local = Network().load(weights)
+        for shard, kept, keys, plain in rows(batches):
+            if not kept:
+                continue
+            r, around = random.Random(f"{seed} kept {shard}"), _around(plain)
+            unseen, _ = _made(r, around, 1 / shards, UNSEEN)
+            seen, alike = _made(r, around, 0.2 / shards, tuple(k for k in SHAPES if k not in UNSEEN))
+            for runs, label in ((unseen + seen + _changed(r, keys, around), 1), (alike + plain, 0)):
+                raw = local.highest(runs)
+                yield pa.RecordBatch.from_arrays([pa.array(raw), pa.array(np.full(len(raw), label, np.int32))], ["raw", "y"])
+
+    calibrate(net, staged(mine.mapInArrow(held, "raw double, y int"), "held"))
     return net
 
 
-def scan(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def calibrate(net: Network, held: DataFrame, recall: float = RECALL) -> None:
+    """Platt scaling of all kept findings' outputs, then the highest threshold that keeps the recall."""
+    count = {x.y: x.n for x in held.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    yes, no = count.get(1, 0), count.get(0, 0)
+    target = F.when(F.col("y") == 1, (yes + 1) / (yes + 2)).otherwise(1 / (no + 2))
+    a, b, raw = 1.0, 0.0, F.col("raw")
+    for _ in range(50):
+        p = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), a * raw + b))))
+        terms = held.select("raw", (p - target).alias("g"), (p * (1 - p) + 1e-4).alias("s"))
+        x = terms.agg(*(F.coalesce(F.sum(e), F.lit(0.0)) for e in (F.col("g") * raw, F.col("g"), F.col("s") * raw * raw, F.col("s") * raw, F.col("s")))).first()
+        step = np.linalg.solve(np.array([[x[2] + 1, x[3]], [x[3], x[4] + 1e-9]]), np.array([x[0] + a - 1, x[1]]))
+        a, b = float(a - step[0]), float(b - step[1])
+        if np.abs(step).max() < 1e-6:
+            break
+    net.scale, net.shift = a, b
+    at = held.where("y = 1").orderBy("raw").offset(int((1 - recall) * yes)).limit(1).first()
+    net.threshold = float(net.score(np.array([at.raw]))[0]) if at else 2.0
+
+
+def scan(docs: DataFrame) -> DataFrame:
     """doc_id, base and spans (arrays of kind, start, end), sorted by start, then kind."""
     found = staged(findings(docs), "findings")
-    shared = docs.sparkSession.sparkContext.broadcast(fit(found, sample))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(found))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
