@@ -1,4 +1,7 @@
-"""Texts alike in their five-word shingles: an exact join by prefix filtering, without limits on partners.
+"""Texts alike in their five-word shingles: SimHash over byte positions, then an exact join by prefix filtering.
+
+Fingerprints bring most near copies together; as texts alike at 0.8 may lie further apart
+than any number of equal bytes reaches, the join gives the rest, without limits on partners.
 
 Two texts with n and m distinct shingles and a similarity of t or more share at least
 t / (1 + t) * (n + m) of them. With all shingles in one order, rare ones first, the first
@@ -12,9 +15,11 @@ the first n - ceil(2t / (1 + t) * n) + 1 of the shorter. Only those places are i
 2. Dealt by text, each gets its recurring shingles in order. Those that occur nowhere
    else stand before them, so most texts have no recurring one among their first
    places: they have no partner and are done.
-3. Of each shingle's list every member is compared with the list's first, exactly, and
-   what is alike is joined; then with one of another group that each list chooses for
-   itself. Groups of copies fall together here, by a few pairs a member.
+3. The SimHash of each text that may have a partner goes into the inverted index over byte
+   positions (simhash.links: bytes tallied, count filter, bits); what it links is compared
+   exactly, and what is alike is joined. In the lists of shingles that then hold different
+   groups, every member is compared with one of another group that each list chooses for
+   itself. Groups of near copies fall together here, by a few pairs a member.
 4. Lists that still hold different groups give all pairs across groups, after bounds by
    length, place and marks; long lists are dealt into blocks, and each pair of blocks
    meets. Each pair is verified. So every pair that is alike lies in one group, at any
@@ -38,7 +43,7 @@ from callweave.operators.components import connected_components
 
 #: Texts hashed at once; entries of a bucket held before hot shingles are looked for, and how many make one hot; members of a list that meet in one row; entries packed at once.
 SLICE, HELD, HOT, BLOCK, PACK = 2048, 4_000_000, 65_536, 1024, 1_000_000
-_DOCS = "doc_id long, text_hash long, ref long, id long, n int"
+_DOCS = "doc_id long, text_hash long, ref long, id long, n int, fp long"
 _ENTRY = np.dtype([("ref", "<i8"), ("token", "<i8"), ("df", "<i4")])
 NEVER = np.int32(2**31 - 1)
 
@@ -52,10 +57,10 @@ def lengths(n: np.ndarray, alike: Fraction) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _hashed(docs: DataFrame, words: int, bits: int) -> DataFrame:
-    """Rows of texts (kind 0: doc_id, text_hash, ref, id, n) and of packed shingles (kind 1: bucket, tokens, places, ref of the slice)."""
-    from callweave.llm.simhash import shingles
+    """Rows of texts (kind 0: doc_id, text_hash, ref, id, n, fp: the SimHash of the distinct shingles) and of packed shingles (kind 1: bucket, tokens, places, ref of the slice)."""
+    from callweave.llm.simhash import majority, shingles
 
-    schema = "kind byte, bucket int, doc_id long, text_hash long, ref long, id long, n int, tokens binary, places binary"
+    schema = "kind byte, bucket int, doc_id long, text_hash long, ref long, id long, n int, fp long, tokens binary, places binary"
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,18 +70,19 @@ def _hashed(docs: DataFrame, words: int, bits: int) -> DataFrame:
                 piece = batch.slice(lo, SLICE)
                 base = (part << 40) + (nth << 16)
                 nth += 1
-                ids, sizes, seen, sets, rows = [], [], set(), [], []
+                ids, sizes, prints, seen, sets, rows = [], [], [], set(), [], []
                 for k, text in enumerate(piece.column(1).to_pylist()):
                     h = np.unique(shingles(text, words))
                     name = int((mix(h).sum() + np.uint64(len(h))).astype(np.int64)) if len(h) else 0
                     ids.append(name)
                     sizes.append(len(h))
+                    prints.append(int(majority(h).view(np.int64)[0]))
                     if name not in seen and len(h):
                         seen.add(name)
                         sets.append(h)
                         rows.append(k)
                 count = piece.num_rows
-                yield _batch(names, [0] * count, [(base + k) % (1 << bits) for k in range(count)], piece.column(0), piece.column(2), [base + k for k in range(count)], ids, sizes, [None] * count, [None] * count)
+                yield _batch(names, [0] * count, [(base + k) % (1 << bits) for k in range(count)], piece.column(0), piece.column(2), [base + k for k in range(count)], ids, sizes, prints, [None] * count, [None] * count)
                 if sets:
                     every, place = np.concatenate(sets), np.repeat(np.array(rows, np.uint16), [len(s) for s in sets])
                     bucket = (every >> np.uint64(64 - bits)).astype(np.int64)
@@ -88,13 +94,13 @@ def _hashed(docs: DataFrame, words: int, bits: int) -> DataFrame:
                     held, count = [low[a:b].tobytes() for a, b in zip(edges, ends, strict=True)], len(edges)
                     where = [place[a:b].tobytes() for a, b in zip(edges, ends, strict=True)]
                     none = [None] * count
-                    yield _batch(names, [1] * count, bucket[edges].tolist(), none, none, [base] * count, none, none, held, where)
+                    yield _batch(names, [1] * count, bucket[edges].tolist(), none, none, [base] * count, none, none, none, held, where)
 
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     return given.mapInArrow(run, schema)
 
 
-_TYPES = (pa.int8(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+_TYPES = (pa.int8(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
 
 
 def _batch(names: list[str], *columns) -> pa.RecordBatch:
@@ -147,8 +153,8 @@ def _entries(refs: np.ndarray, tokens: np.ndarray, df) -> np.ndarray:
 def _recurring(hashed: DataFrame, shards: int) -> DataFrame:
     """Rows of texts as they are (kind 0), and of entries that occur again, packed by the shard of their text (kind 1)."""
     schema = f"kind byte, shard int, {_DOCS}, entries binary"
-    types = (pa.int8(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-    names = ["kind", "shard", "doc_id", "text_hash", "ref", "id", "n", "entries"]
+    types = (pa.int8(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+    names = ["kind", "shard", "doc_id", "text_hash", "ref", "id", "n", "fp", "entries"]
 
     def packed(entries: np.ndarray) -> pa.RecordBatch:
         shard = _shard(entries["ref"], shards)
@@ -157,7 +163,7 @@ def _recurring(hashed: DataFrame, shards: int) -> DataFrame:
         edges = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else np.zeros(0, np.int64)
         ends = np.append(edges[1:], len(shard)) if len(shard) else edges
         none = [None] * len(edges)
-        columns = [1] * len(edges), shard[edges].tolist(), none, none, none, none, none, [entries[a:b].tobytes() for a, b in zip(edges, ends, strict=True)]
+        columns = [1] * len(edges), shard[edges].tolist(), none, none, none, none, none, none, [entries[a:b].tobytes() for a, b in zip(edges, ends, strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,9 +181,9 @@ def _recurring(hashed: DataFrame, shards: int) -> DataFrame:
             rows = batch.filter(pa.array(kind == 0))
             if rows.num_rows:
                 shard = _shard(rows.column(4).to_numpy(), shards).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(shard), *rows.columns[2:7], pa.nulls(rows.num_rows, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(shard), *rows.columns[2:8], pa.nulls(rows.num_rows, pa.binary())], names)
             packs = batch.filter(pa.array(kind == 1))
-            for b, base, tokens, places in zip(packs.column(1).to_pylist(), packs.column(4).to_pylist(), packs.column(7).to_pylist(), packs.column(8).to_pylist(), strict=True):
+            for b, base, tokens, places in zip(packs.column(1).to_pylist(), packs.column(4).to_pylist(), packs.column(8).to_pylist(), packs.column(9).to_pylist(), strict=True):
                 if b != at:
                     yield from sent(bucket.out())
                     at, bucket = b, _Bucket()
@@ -204,41 +210,41 @@ def _shard(refs: np.ndarray, shards: int) -> np.ndarray:
 
 
 def _sets(recurring: DataFrame, alike: Fraction) -> DataFrame:
-    """id, n, tokens (recurring ones, in order), asked and indexed (how many of the first of them), marks: texts that may have a partner."""
+    """id, n, fp, tokens (recurring ones, in order), asked and indexed (how many of the first of them), marks: texts that may have a partner."""
 
     def made(docs: dict, entries: list[np.ndarray]) -> pa.RecordBatch:
-        out: list[list] = [[], [], [], [], [], []]
+        out: list[list] = [[], [], [], [], [], [], []]
         if entries and docs:
             every = np.concatenate(entries)
             every = every[np.lexsort((every["token"], every["df"], every["ref"]))]
             edges = np.flatnonzero(np.append(True, every["ref"][1:] != every["ref"][:-1]))
             ends = np.append(edges[1:], len(every))
             for a, b in zip(edges.tolist(), ends.tolist(), strict=True):
-                name, n = docs[int(every["ref"][a])]
+                name, n, fp = docs[int(every["ref"][a])]
                 alone = n - (b - a)
                 asked, indexed = (int(x) for x in lengths(np.array(n), alike))
                 if asked > alone:
-                    for column, x in zip(out, (name, n, every["token"][a:b], min(asked - alone, b - a), max(indexed - alone, 0), marks(every["token"][a:b])), strict=True):
+                    for column, x in zip(out, (name, n, fp, every["token"][a:b], min(asked - alone, b - a), max(indexed - alone, 0), marks(every["token"][a:b])), strict=True):
                         column.append(x)
-        kinds = pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.binary()
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["id", "n", "tokens", "asked", "indexed", "marks"])
+        kinds = pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.binary()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["id", "n", "fp", "tokens", "asked", "indexed", "marks"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, docs, entries = None, {}, []
         for batch in batches:
-            for kind, shard, ref, name, n, held in zip(*(batch.column(c).to_pylist() for c in (0, 1, 4, 5, 6, 7)), strict=True):
+            for kind, shard, ref, name, n, fp, held in zip(*(batch.column(c).to_pylist() for c in (0, 1, 4, 5, 6, 7, 8)), strict=True):
                 if shard != at:
                     yield made(docs, entries)
                     at, docs, entries = shard, {}, []
                 if kind == 0:
-                    docs[ref] = name, n
+                    docs[ref] = name, n, fp
                 else:
                     entries.append(np.frombuffer(held, _ENTRY))
         yield made(docs, entries)
 
     parts = shuffle_partitions(recurring.sparkSession)
     dealt = recurring.repartition(parts, "shard").sortWithinPartitions("shard")
-    every = dealt.mapInArrow(run, "id long, n int, tokens array<long>, asked int, indexed int, marks binary")
+    every = dealt.mapInArrow(run, "id long, n int, fp long, tokens array<long>, asked int, indexed int, marks binary")
     # Equal sets have equal tokens, whichever copy they were taken from.
     return every.dropDuplicates(["id"])
 
@@ -258,11 +264,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, alike: Fraction) -> DataFrame:
     return held.where(shared * (alike.numerator + alike.denominator) >= alike.numerator * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
-def _with_first(posted: DataFrame, alike: Fraction) -> DataFrame:
-    """a, b: of each list every member with the first indexed one, by length and id."""
-    first = posted.where("indexed").groupBy("token").agg(F.min(F.struct("n", "id", "rest")).alias("f"))
-    met = posted.join(first.hint("merge"), "token").where((F.struct("n", "id") > F.struct("f.n", "f.id")))
-    return _bounded(met.select(F.col("f.id").alias("a"), "f.n", F.col("f.rest").alias("rest_a"), F.col("id").alias("b"), F.col("n").alias("m"), F.col("rest").alias("rest_b")), alike)
+def by_fingerprint(sets: DataFrame) -> DataFrame:
+    """a, b: ids that the index over byte positions links, to be compared; of equal fingerprints each with the least id."""
+    from callweave.llm.simhash import links
+
+    firsts = staged(sets.groupBy("fp").agg(F.min("id").alias("first")), "near-prints")
+    equal = sets.select("id", "fp").join(firsts.hint("merge"), "fp").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    side = lambda c: firsts.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}")).hint("merge")
+    apart = links(firsts.select("fp")).join(side("a"), "a").join(side("b"), "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    return equal.unionByName(apart)
 
 
 def _bounded(met: DataFrame, alike: Fraction) -> DataFrame:
@@ -341,7 +351,7 @@ def alike_groups(docs: DataFrame, words: int, alike: float, block: int = BLOCK)
     found = recurring.where("kind = 0").select("doc_id", "text_hash", "id")
     sets = staged(_sets(recurring, share), "near-sets")
     posted = _postings(sets)
-    links = staged(_verified(_with_first(posted, share), sets, share), "near-first-links")
+    links = staged(_verified(by_fingerprint(sets), sets, share), "near-first-links")
     first = staged(connected_components(links, "a", "b"), "near-first-groups")
     links = links.unionByName(staged(_verified(_with_pivots(_in_groups(posted, first), share), sets, share), "near-pivot-links"))
     second = staged(connected_components(links, "a", "b"), "near-second-groups")

@@ -17,10 +17,11 @@ every such position with every one of its bits left out. Parts that are too long
 split again while that holds; what is then left has a bound of 2**18 members. Every
 list, long or short, is read in the same way.
 
-`similar` is for documents alike in their shingles rather than in 64 bits. Texts alike
-at 0.8 differ in some ten of 64 bits or 77 of 512, so no number of equal bytes is
-guaranteed that would sort them out: the inverted index is kept over shingles instead,
-with the places that prefix filtering guarantees, and verified exactly (near_text).
+`similar` is for documents alike in their five-word shingles. The same fingerprints, index,
+tally and count of bits link near copies first, and each link is verified by its shingles.
+Texts alike at 0.8 differ in some ten of 64 bits or 77 of 512, so no number of equal bytes is
+guaranteed that would reach them all: an inverted index over the shingles, with the places
+that prefix filtering guarantees, gives the rest, verified exactly as well (near_text).
 
 Null texts have no words; a fingerprint without words is zero and is linked
 like others. Repeated rows get a row each. Rows with a null doc_id take part
