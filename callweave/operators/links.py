@@ -21,11 +21,16 @@ def first_connection(members: DataFrame, connections: DataFrame) -> DataFrame:
     return members.join(connections.select(*ROW, "connection"), list(ROW)).groupBy("capture_id", "flow_id", "segment").agg(F.min_by("connection", F.struct("frame", "seq")).alias("connection"))
 
 
+def carrying_sessions(messages: DataFrame, calls: DataFrame) -> DataFrame:
+    """capture_id, session, call: Diameter sessions in which any message carries the ICID of a call, each once. calls: capture_id, call, icid."""
+    rows = messages.where("protocol = 'diameter'").select("capture_id", detail("session-id").alias("session"), detail("icid").alias("icid")).where("session is not null and icid is not null")
+    return rows.distinct().join(calls.select("capture_id", "icid", "call").distinct(), ["capture_id", "icid"]).select("capture_id", "session", "call").distinct()
+
+
 def charged_messages(messages: DataFrame, calls: DataFrame) -> DataFrame:
-    """Diameter messages of sessions in which any message carries the ICID of a call. calls: capture_id, call, icid."""
-    rows = messages.where("protocol = 'diameter'").withColumns({"session": detail("session-id"), "icid": detail("icid")}).where("session is not null")
-    carrying = rows.where("icid is not null").select("capture_id", "session", "icid").distinct().join(calls.select("capture_id", "icid", "call").distinct(), ["capture_id", "icid"])
-    return rows.drop("icid").join(carrying.select("capture_id", "session", "call").distinct(), ["capture_id", "session"])
+    """Diameter messages of sessions in which any message carries the ICID of a call, each once per call. calls: capture_id, call, icid."""
+    rows = messages.where("protocol = 'diameter'").withColumn("session", detail("session-id")).where("session is not null")
+    return rows.join(carrying_sessions(messages, calls), ["capture_id", "session"])
 
 
 def packet_status(packets: DataFrame, flowed: DataFrame, owners: DataFrame) -> DataFrame:
