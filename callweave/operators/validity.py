@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from callweave.functions.staging import staged
 from callweave.operators.pairing import asof_backward
 
 
@@ -60,15 +64,23 @@ def overlapping(spans: DataFrame, intervals: DataFrame, by: list[str], bucket: f
 
 
 def counted_within(spans: DataFrame, points: DataFrame, by: list[str], at: str, name: str, on: tuple[str, str] = ("start", "stop")) -> DataFrame:
-    """spans with how many points of their key lie in them, ends included: a difference of running counts, so no span meets its points."""
+    """spans with how many points of their key lie in them, ends included: a difference of running counts, so no span meets its points.
+
+    Ranges of (key, time) are counted apart and offset by the counts before them, so one
+    key with all points is no single task.
+    """
     keys = [F.col(b) for b in by]
     marks = spans.withColumn("__id", F.struct(*spans.columns))
     events = points.select(*keys, F.col(at).alias("__t"), F.lit(1).alias("__o"), F.lit(1).alias("__n"), F.lit(None).cast(marks.schema["__id"].dataType).alias("__id"), F.lit(0).alias("__s"))
     ends = marks.select(*keys, F.explode(F.array(F.struct(F.col(on[0]).alias("t"), F.lit(0).alias("o"), F.lit(-1).alias("s")), F.struct(F.col(on[1]).alias("t"), F.lit(2).alias("o"), F.lit(1).alias("s")))).alias("e"), "__id")
     ends = ends.select(*keys, F.col("e.t").alias("__t"), F.col("e.o").alias("__o"), F.lit(0).alias("__n"), "__id", F.col("e.s").alias("__s"))
-    w = Window.partitionBy(*by).orderBy("__t", "__o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = events.unionByName(ends).withColumn("__c", F.sum("__n").over(w)).where("__s <> 0")
-    return sums.groupBy("__id").agg(F.sum(F.col("__c") * F.col("__s")).cast("long").alias("__count")).select("__id.*", F.col("__count").alias(name))
+    dealt = staged(events.unionByName(ends).repartitionByRange(*by, "__t", "__o").withColumn("__part", F.spark_partition_id()), "counted")
+    counts = dealt.groupBy(*by, "__part").agg(F.sum("__n").alias("__m"))
+    before = counts.select(*(F.col(b).alias(f"__{b}") for b in by), F.col("__part").alias("__p"), (F.sum("__m").over(Window.partitionBy(*by).orderBy("__part")) - F.col("__m")).alias("__before"))
+    w = Window.partitionBy(*by, "__part").orderBy("__t", "__o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = dealt.withColumn("__c", F.sum("__n").over(w)).where("__s <> 0")
+    sums = sums.join(before, reduce(and_, (F.col(b).eqNullSafe(F.col(f"__{b}")) for b in by), F.col("__part") == F.col("__p")))
+    return sums.groupBy("__id").agg(F.sum((F.col("__c") + F.col("__before")) * F.col("__s")).cast("long").alias("__count")).select("__id.*", F.col("__count").alias(name))
 
 
 def values_of(kind: str, keys: Column) -> Column:

@@ -175,12 +175,12 @@ def _calls(spark, d):
 @query(CALLS + "select capture_id, call, frame, way from ways")
 def messages_of_calls(spark, d):
     """H8 put together from media closure, charging sessions and numbers in the time of the call."""
-    return A.assembled_calls(_calls(spark, d), 3600.0)[0].select("capture_id", "call", "frame", "way")
+    return A.messages_of_calls(_calls(spark, d), 3600.0).select("capture_id", "call", "frame", "way")
 
 
 @query(CALLS + "select s.capture_id, s.call, count(l.frame) - count(w.frame) as unattributed from spans s left join lone l on l.capture_id = s.capture_id and l.ts between s.start and s.stop left join ways w on w.capture_id = s.capture_id and w.call = s.call and w.frame = l.frame group by 1, 2")
 def unattributed_of_calls(spark, d):
-    return A.assembled_calls(_calls(spark, d), 3600.0)[1]
+    return A.unattributed_of_calls(_calls(spark, d))
 
 
 @query("""with items as (select *, l_shipdate::timestamp + to_days((l_linenumber * 3 + l_partkey % 11)::int) l_end from lineitem), p as (select o_orderkey, o_orderdate::timestamp a, greatest(max(l_end), o_orderdate::timestamp) z from orders join items on l_orderkey = o_orderkey group by 1, 2), i as (select l_orderkey, l_returnflag || '/' || l_linenumber leg, greatest(l_shipdate::timestamp, a) s, least(l_end, z) e from items join p on l_orderkey = o_orderkey),

@@ -1,6 +1,6 @@
 """Calls of one number at different times: their joins grow with the calls, not with the pairs of calls and flows."""
 
-from callweave.operators import calls
+from callweave.operators import calls, validity
 from callweave.schema import MESSAGES
 from tests.test_ordered_streams import message
 
@@ -35,7 +35,7 @@ def at_hours(n, session=None):
 
 def test_calls_meet_flows_of_their_number_in_their_time_only(spark):
     n = 120
-    ways, _ = calls.assembled_calls(spark.createDataFrame(at_hours(n), MESSAGES + ", call string, flow_id string"), HOUR)
+    ways = calls.messages_of_calls(spark.createDataFrame(at_hours(n), MESSAGES + ", call string, flow_id string"), HOUR)
     rows, most = rows_of_joins(ways)
     assert {(x.call, x.frame): x.way for x in rows} == {(f"call{h}", h * 10 + k): "number" if k == 2 else "signalling" for h in range(n) for k in range(3)}
     assert most <= 4 * n
@@ -47,3 +47,24 @@ def test_a_message_of_several_ways_is_there_once(spark):
     got = sorted((x.call, x.frame, x.way) for x in ways.collect())
     assert got == sorted([("call0", 0, "signalling"), ("call0", 1, "signalling"), ("call0", 2, "charging"), ("call0", 3, "charging"), ("call0", 900, "charging"), ("call0", 901, "number"), ("call1", 10, "signalling"), ("call1", 11, "signalling"), ("call1", 12, "number")])
     assert {(x.call, x.unattributed) for x in left.collect()} == {("call0", 0), ("call1", 0)}
+
+
+def test_what_a_call_lacks_is_counted_without_pairs(spark):
+    """Calls of one session of charging, whose messages have no subscriber."""
+    n = 60
+    rows = at_hours(n)
+    for h in range(n):
+        facts = {"session-id": "one", "icid": f"i{h}"}
+        rows += [(*message(5000 + h * 10 + k, h * HOUR + t, protocol="diameter", detail=d), None, None) for k, (t, d) in enumerate([(20, facts), (70, facts), (40, {"session-id": "two"})])]
+    left = calls.unattributed_of_calls(spark.createDataFrame(rows, MESSAGES + ", call string, flow_id string"))
+    got, most = rows_of_joins(left)
+    assert {x.call: x.unattributed for x in got} == {f"call{h}": 1 for h in range(n)}
+    assert most <= 6 * n
+
+
+def test_counts_of_one_key_are_dealt_by_ranges(spark):
+    spans = spark.createDataFrame([("a", n, float(n), float(n + 5)) for n in range(100)] + [(None, 100, 0.0, 9.0)], "key string, n int, start double, stop double")
+    points = spark.createDataFrame([("a", float(t)) for t in range(103)] + [(None, 4.0)], "key string, at double")
+    got = validity.counted_within(spans, points, ["key"], "at", "c")
+    assert {x.n: x.c for x in got.collect()} == {**{n: min(n + 5, 102) - n + 1 for n in range(100)}, 100: 1}
+    assert "__part" in got._jdf.queryExecution().optimizedPlan().toString().split("Window", 1)[1].split("\n")[0]
