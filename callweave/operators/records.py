@@ -44,7 +44,9 @@ def pdu_sessions(messages: DataFrame) -> DataFrame:
 def tunnel_packets(sessions: DataFrame, gtp: DataFrame) -> DataFrame:
     """User-plane packets per session and side, joined on the tunnel (address, TEID)."""
     keys = sessions.select("capture_id", "supi", "pdu_id", F.col("gtp_address.value").alias("address"), F.col("gtp_teid.value").alias("teid"), F.coalesce("gtp_teid_owner.value", F.lit("upf")).alias("side"))
-    return keys.join(gtp.select("capture_id", F.col("dst.ip").alias("address"), detail("teid").alias("teid")), ["capture_id", "address", "teid"]).groupBy("capture_id", "supi", "pdu_id", "side").agg(F.count("*").alias("packets"))
+    # Counted per tunnel first: sessions of one tunnel don't meet its packets one by one.
+    counts = gtp.groupBy("capture_id", F.col("dst.ip").alias("address"), detail("teid").alias("teid")).agg(F.count("*").alias("n"))
+    return keys.join(counts, ["capture_id", "address", "teid"]).groupBy("capture_id", "supi", "pdu_id", "side").agg(F.sum("n").alias("packets"))
 
 
 def security_associations(offers: DataFrame) -> DataFrame:
