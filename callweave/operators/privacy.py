@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from callweave.functions.staging import staged
 from callweave.operators.permutation import STRUCTURE, TLDS, Permuter
 
 #: Characters that identifiers are written with, those of single numbers and names, and mail addresses.
@@ -217,19 +218,43 @@ def scrub(df: DataFrame, text: str, key: bytes, words: DataFrame | None = None,
     return out.select(names)
 
 
+#: Everything an original could stand as: runs of letters, digits and marks, of letters, digits and dots, and of letters and digits.
+TOKENS = (r"([A-Za-z0-9._%+-]+)", r"([A-Za-z0-9.]*[A-Za-z0-9])", r"([A-Za-z0-9]+)")
+
+
 def tokens(text: Column) -> Column:
-    """Everything an original could stand as: runs of letters, digits and dots, and of letters and digits."""
-    words = F.regexp_extract_all(text, F.lit(r"([A-Za-z0-9._%+-]+)"), 1)
-    parts = F.regexp_extract_all(text, F.lit(r"([A-Za-z0-9.]*[A-Za-z0-9])"), 1)
-    return F.array_distinct(F.concat(words, parts, F.regexp_extract_all(text, F.lit(r"([A-Za-z0-9]+)"), 1)))
+    return F.array_distinct(F.concat(*(F.regexp_extract_all(text, F.lit(t), 1) for t in TOKENS)))
+
+
+def still_there(before: str | None, after: str, held: set[str]) -> set[str]:
+    """Tokens of held that stand in after where they stood in before. Where a text's length has changed places say nothing, and all of held count."""
+    if before is None or len(before) != len(after):
+        return held
+    return {m[0] for t in TOKENS for m in re.finditer(t, after) if m[0] in held and before[m.start() : m.end()] == m[0]}
 
 
 def leak_scan(found: DataFrame, before: DataFrame, after: DataFrame, id_: str, text: str) -> DataFrame:
-    """Per kind: originals that still stand in the output, and the same search on the input as a control; no control hit means blind."""
-    known = found.select("kind", F.col("value").alias("token")).distinct()
-    hits = lambda df, n: df.select(F.explode(tokens(F.col(text))).alias("token")).distinct().join(known, "token").groupBy("kind").agg(F.count("*").alias(n))
+    """Per kind: originals that still stand in the output, and the same search on the input as a control; no control hit means blind.
+
+    The pseudonym of one original can read like another: pseudonyms have the form of
+    originals. What stands in a place where something else stood is no leak.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            yield pd.DataFrame({"token": [t for b, a, held in zip(p["before"], p["after"], p["held"], strict=True) for t in still_there(b, a, set(held))]}, dtype=object)
+
+    known = staged(found.select("kind", F.col("value").alias("token")).distinct(), "known")  # read three times
+    hits = lambda df: df.select(F.explode(tokens(F.col(text))).alias("token")).distinct().join(known, "token")
+    after = staged(after.select(id_, text), "scrubbed")  # read three times
+    standing = staged(hits(after), "standing")
+    where = after.select(F.col(id_).alias("__id"), F.explode(tokens(F.col(text))).alias("token")).join(standing.select("token").distinct(), "token").groupBy("__id").agg(F.collect_set("token").alias("held"))
+    # A row without an id, or one that the input lacks, has nothing to be compared with.
+    rows = after.join(where, F.col(id_).eqNullSafe(F.col("__id"))).select("__id", F.col(text).alias("after"), "held").join(before.select(F.col(id_).alias("__id"), F.col(text).alias("before")), "__id", "left")
+    leaked = rows.select("before", "after", "held").mapInPandas(run, "token string").distinct().join(standing, "token")
     total = known.groupBy("kind").agg(F.count("*").alias("originals"))
-    held = total.join(hits(after, "leaked"), "kind", "left").join(hits(before, "control"), "kind", "left").fillna(0, ["leaked", "control"])
+    count = lambda df, n: df.groupBy("kind").agg(F.count("*").alias(n))
+    held = total.join(count(leaked, "leaked"), "kind", "left").join(count(hits(before), "control"), "kind", "left").fillna(0, ["leaked", "control"])
     return held.withColumn("blind", F.col("control") == 0)
 
 
