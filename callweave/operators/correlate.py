@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,6 +18,8 @@ from callweave.schema import REUSABLE, ROW, SOLITARY, SUBSCRIBER
 
 #: Kinds that may bridge by reuse, left out by the audit.
 BRIDGING = ("s_tmsi", "gtpv2_transaction")
+#: Reusable kinds whose keys meet others of their message.
+ASSOCIATING = frozenset(REUSABLE) - frozenset(SOLITARY)
 
 
 def edges_of(messages: DataFrame, without: tuple[str, ...] = ()) -> DataFrame:
@@ -86,7 +89,9 @@ class Episodes:
     of the reusable keys that its messages carried, and of no other.
     """
 
-    def __init__(self):
+    def __init__(self, anchors: tuple[str, ...] | None = None):
+        """anchors: kinds that are released and not used again, if they are known; else any may be."""
+        self.anchors = anchors
         self.episode: dict[tuple, int] = {}
         self.met: dict[tuple, set] = {}
         self.carried: dict[tuple, set] = {}
@@ -99,26 +104,36 @@ class Episodes:
 
     def step(self, keys: list[tuple], releases: list[tuple]) -> list[tuple]:
         """The message's keys with their episodes."""
-        pairing = {k for k in keys if k[0] in REUSABLE and k[0] not in SOLITARY}
-        out = [(k, f"{v}@{self.episode[k, v] + 1}" if self.episode.get((k, v)) else v) for k, v in keys]
-        for k in pairing:
-            self.met.setdefault(k, set()).update(pairing - {k})
-        for k in keys:
-            if k[0] not in REUSABLE:
-                self.carried.setdefault(k, set()).update(pairing)
-        ended, queue = set(), [k for k in releases if k[0] in REUSABLE]
-        while queue:
-            k = queue.pop()
-            if k not in ended:
-                ended.add(k)
-                queue += self.met.get(k, ())
-        self._end(ended)
-        for k in releases:
-            if k[0] not in REUSABLE:
-                self._end(self.carried.pop(k, set()))
+        out = [(k[0], f"{k[1]}@{self.episode[k] + 1}") if k in self.episode else k for k in keys]
+        pairing = {k for k in keys if k[0] in ASSOCIATING}
+        if len(pairing) > 1:
+            for k in pairing:
+                self.met.setdefault(k, set()).update(pairing - {k})
+        if pairing:
+            for k in keys:
+                if k[0] not in REUSABLE and (self.anchors is None or k[0] in self.anchors):
+                    self.carried.setdefault(k, set()).update(pairing)
+        if releases:
+            ended, queue = set(), [k for k in releases if k[0] in REUSABLE]
+            while queue:
+                k = queue.pop()
+                if k not in ended:
+                    ended.add(k)
+                    queue += self.met.get(k, ())
+            self._end(ended)
+            for k in releases:
+                if k[0] not in REUSABLE:
+                    self._end(self.carried.pop(k, set()))
         return out
 
 
+def _lists(column: pa.ListArray) -> tuple[list[int], list[tuple]]:
+    """Offsets and (kind, value) of a column of keys; a null list is empty."""
+    ends = pa.compute.cumulative_sum(pa.compute.fill_null(pa.compute.list_value_length(column), 0)).to_pylist()
+    held = column.flatten()
+    return [0, *ends], list(zip(held.field("kind").to_pylist(), held.field("value").to_pylist(), strict=True))
+
+
 def assign_episodes(messages: DataFrame) -> DataFrame:
     """Reusable keys rewritten per episode. Without any release the input comes back.
 
@@ -126,7 +141,7 @@ def assign_episodes(messages: DataFrame) -> DataFrame:
     released, are replayed: dealt and sorted by component and frame, in one pass
     over the batches that keeps the keys of the current component, never its
     messages. Solitary kinds never associate, so theirs is a running count of
-    earlier releases.
+    earlier releases. Every column goes through the replay: give only those needed.
     """
     freed = messages.where("size(releases) > 0").select(F.explode("releases.kind").alias("kind")).distinct()
     kinds = sorted(r[0] for r in freed.collect())  # of a fixed list of kinds
@@ -142,25 +157,32 @@ def assign_episodes(messages: DataFrame) -> DataFrame:
     live = staged(tagged.where(F.size("releases") > 0).select("component").distinct(), "released")
     cols = messages.columns
     place = cols.index("keys")
+    anchors = tuple(k for k in kinds if k not in REUSABLE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        component, state = None, Episodes()
-        plain = lambda ks: [(k["kind"], k["value"]) for k in ks or ()]
+        component, state = None, Episodes(anchors)
         for batch in batches:
+            column = batch.column("keys")
+            at, keys = _lists(column)
+            freed_at, freed = _lists(batch.column("releases"))
             made = []
-            for c, keys, releases in zip(batch.column("component").to_pylist(), batch.column("keys").to_pylist(), batch.column("releases").to_pylist(), strict=True):
+            for n, c in enumerate(batch.column("component").to_pylist()):
                 if c != component:
-                    component, state = c, Episodes()
+                    component, state = c, Episodes(anchors)
+                own, ended = keys[at[n] : at[n + 1]], freed[freed_at[n] : freed_at[n + 1]]
                 # Solitary kinds are counted over all messages, below.
-                named = iter(state.step([k for k in plain(keys) if k[0] not in SOLITARY], [k for k in plain(releases) if k[0] not in SOLITARY]))
-                made.append([{"kind": k, "value": v} for k, v in (x if x[0] in SOLITARY else next(named) for x in plain(keys))])
+                named = iter(state.step([k for k in own if k[0] not in SOLITARY], [k for k in ended if k[0] not in SOLITARY]))
+                made += [k if k[0] in SOLITARY else next(named) for k in own]
             out = batch.select(cols)
-            yield out.set_column(place, out.schema.field(place), pa.array(made, out.schema.field(place).type))
+            kind = out.schema.field(place).type
+            held = pa.StructArray.from_arrays([pa.array([k for k, _ in made], pa.string()), pa.array([v for _, v in made], pa.string())], fields=list(kind.value_type))
+            yield out.set_column(place, out.schema.field(place), pa.ListArray.from_arrays(pa.array(at, pa.int32()), held, type=kind))
 
     dealt = tagged.join(live, "component", "left_semi").select(*cols, "component").repartition("component").sortWithinPartitions("component", "frame", "ts", "seq")
     replayed = dealt.mapInArrow(run, messages.schema)
     rest = tagged.join(live, "component", "left_anti").select(cols).unionByName(held.where(F.size("__r") == 0).select(cols))
-    return _solitary(replayed.unionByName(rest))
+    # Staged: a plan that reads the episodes again would replay them again, even to learn that a column of them is empty.
+    return _solitary(staged(replayed.unionByName(rest), "episodes"))
 
 
 def _solitary(messages: DataFrame) -> DataFrame:

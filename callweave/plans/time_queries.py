@@ -14,6 +14,7 @@ from callweave.operators import quotes as W
 from callweave.operators import sequences as Q
 from callweave.plans.registry import query, table
 from callweave.plans.standins import SQL, messages
+from callweave.schema import ROW
 
 KEY = b"test key"
 
@@ -77,9 +78,8 @@ walk as (select node, least(node, low) label, 0 n from least_of union all select
 
 
 def _episodes(spark, d):
-    rows = messages(spark, d).drop("flow_id")
     freed = F.when(F.col("label") == "purchase", F.filter("keys", lambda k: k["kind"] == "amf_ue_ngap_id")).otherwise(F.col("releases"))
-    return C.assign_episodes(rows.withColumn("releases", freed))
+    return C.assign_episodes(messages(spark, d).select(*ROW, "ts", "keys", freed.alias("releases")))
 
 
 @query(EPISODES + "select capture_id, frame, list_sort(list_transform(ks, lambda x: substr(x, instr(x, '|') + 1))) ks from keyed")
